@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lading import schemas
 from lading.functions.regex import escape_regex
+from lading.materialise import as_label, cut
 from lading.operators import classify as c
 from lading.operators import infer
 from lading.operators.nodes import data_nodes
@@ -207,7 +208,7 @@ def describe_types(
     typed = classified.filter(F.col("type").isNotNull()).join(
         specs.types.select("type", "standard"), "type"
     )
-    footers = probes.probe_footers(typed.filter(F.col("standard") == "parquet"), root)
+    footers = cut(probes.probe_footers(typed.filter(F.col("standard") == "parquet"), root))
     descriptions = unify_by_standard(probes.columns_of(footers), catalog, typed)
     probed = probes.load_errors(footers).join(typed.select("path", "type"), "path")
     unreadable = probed.groupBy("type").agg(
@@ -225,8 +226,9 @@ def describe_types(
             )
         )
     )
-    problems = reduce(
-        DataFrame.unionByName, [d.problems for d in descriptions], unreadable
+    problems = as_label(
+        reduce(DataFrame.unionByName, [d.problems for d in descriptions], unreadable),
+        "type string, problem string",
     )
     owner = specs.types.select("dataset", "delivery_id", "type")
 
@@ -248,8 +250,8 @@ def describe_types(
         },
     )
     columns = finished([d.columns for d in descriptions], schemas.SPEC_COLUMNS, {})
-    merged_objects = infer.merge_specs(specs.objects, objects)
-    merged_columns = infer.merge_specs(specs.columns, columns)
+    merged_objects = as_label(infer.merge_specs(specs.objects, objects), schemas.SPEC_OBJECTS)
+    merged_columns = as_label(infer.merge_specs(specs.columns, columns), schemas.SPEC_COLUMNS)
     return (
         specs.with_objects(merged_objects, merged_columns),
         problems.unionByName(skipped),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lading.functions import problems as p
 from lading.functions.scalars import failure_text
+from lading.materialise import cut
 from lading.operators import classify as c
 from lading.operators import hooks as h
 from lading.operators import manifest
@@ -79,7 +80,7 @@ def validate_parquet(
     files: DataFrame, specs: Specs, root: str, integrity: bool = True
 ) -> DataFrame:
     """V2: Parquet files (path, type, skips) against their one table spec."""
-    footers = probes.probe_footers(files, root)
+    footers = cut(probes.probe_footers(files, root))
     typed = files.select("path", "type")
     objects = typed.withColumn("obj_ix", F.lit(0))
     first = specs.with_objects(
