@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,11 +28,8 @@ def parse_bytes(text: Column) -> Column:
     written = F.regexp_extract(text, _BYTES, 3)
     digits = F.regexp_replace(F.regexp_extract(text, _BYTES, 2), r"[',._\s]+", "")
     suffix = F.regexp_replace(written, "B$", "")
-    scale = reduce(
-        lambda tail, kv: F.when(suffix == kv[0], F.lit(str(kv[1]))).otherwise(tail),
-        _scales().items(),
-        F.lit(None).cast("string"),
-    ).cast(_BIG)
+    known = [F.lit(text) for kv in _scales().items() for text in (kv[0], str(kv[1]))]
+    scale = F.create_map(*known)[suffix].cast(_BIG)  # a literal map once folded
     number = digits.try_cast(_BIG)
     product = F.try_multiply(number, scale).try_cast(_BIG)
     problem = (

@@ -52,13 +52,13 @@ def describe_tables(columns: DataFrame) -> Description:
     )
     return Description(
         _good(objects, problems),
-        _good(unified.withColumn("obj_ix", F.lit(0)), problems).select(*_COLUMN_FIELDS),
+        _good(unified.withColumn("obj_ix", F.lit(0)), problems).selectExpr(*_COLUMN_FIELDS),
         problems,
     )
 
 
 _COLUMN_FIELDS = (
-    "type", "obj_ix", F.col("group_id").alias("col_ix"), "name", "name_regex",
+    "type", "obj_ix", "group_id AS col_ix", "name", "name_regex",
     "dtype", "ndim", "repeated",
 )
 _OBJECT_FIELDS = (
@@ -106,7 +106,7 @@ def describe_hdus(objects: DataFrame, columns: DataFrame) -> Description:
             "name_path": F.lit(None).cast("array<string>"),
         }
     ).select(*_OBJECT_FIELDS)
-    spec_columns = schemas_.withColumn("obj_ix", F.col("__object")).select(*_COLUMN_FIELDS)
+    spec_columns = schemas_.withColumn("obj_ix", F.col("__object")).selectExpr(*_COLUMN_FIELDS)
     return Description(_good(spec_objects, problems), _good(spec_columns, problems), problems)
 
 
@@ -171,7 +171,7 @@ def describe_trees(nodes: DataFrame, columns: DataFrame) -> Description:
     problems = _first_failures(complex_, "object").unionByName(
         _first_failures(schemas_, "column")
     )
-    spec_columns = schemas_.withColumn("obj_ix", F.col("__object")).select(*_COLUMN_FIELDS)
+    spec_columns = schemas_.withColumn("obj_ix", F.col("__object")).selectExpr(*_COLUMN_FIELDS)
     return Description(
         _good(named.select(*_OBJECT_FIELDS), problems), _good(spec_columns, problems), problems
     )
