@@ -10,19 +10,29 @@ from lading.functions.regex import regex_test_by_row
 OBJECT = ("path", "type", "obj_ix")
 
 
+WIDTH = 2048  # items of one object walked in one go
+
+
 def spec_runs(
-    items: DataFrame, slots: DataFrame, portable: bool = True, strict: bool = False
+    items: DataFrame,
+    slots: DataFrame,
+    portable: bool = True,
+    strict: bool = False,
+    width: int = WIDTH,
 ) -> DataFrame:
     """Add `slot`, the spec slot each item consumes.
 
-    `items` has path, type, obj_ix, pos and name; `slots` has type, obj_ix,
-    slot, name, java_name and repeated.  Without repeated slots an item's slot
-    is its position.  A repeated slot takes the item it meets and all that
-    follow as long as their names match it; `strict` also wants the first to.
-
-    The greedy walk is a fold over the names of one object.  These come from
-    one footer or header, so the array it walks is never larger than what the
-    probe of that file held.
+    `items` has path, type, obj_ix, pos (from 0, without gaps) and name;
+    `slots` has type, obj_ix, slot, name, java_name and repeated.  Without
+    repeated slots an item's slot is its position.  A repeated slot takes the
+    item it meets and all that follow as long as their names match it;
+    `strict` also wants the first to.
+
+    The walk is greedy, hence sequential, but its state is just a slot number.
+    So an object's items are cut into runs of `width`; each full run is
+    reduced to a small table from the state before it to the state after it,
+    these tables are chained per object, and every run is then walked on its
+    own from its known start.
     """
     repeats = (
         slots.groupBy("type", "obj_ix")
@@ -34,35 +44,100 @@ def spec_runs(
                         F.struct("slot", F.col("name").alias("pattern"), "java_name"),
                     )
                 )
-            ).alias("__repeated")
+            ).alias("__repeated"),
+            F.count(F.lit(1)).cast("int").alias("__n_slots"),
         )
         .filter(F.size("__repeated") > 0)
     )
     keyed = items.join(repeats, ["type", "obj_ix"], "left")
     plain = keyed.filter(F.col("__repeated").isNull()).withColumn("slot", F.col("pos"))
-    walked = keyed.filter(F.col("__repeated").isNotNull()).withColumn(
-        "__hits", _hits(F.col("name"), F.col("__repeated"), portable)
+    marked = keyed.filter(F.col("__repeated").isNotNull()).withColumns(
+        {
+            "__hits": _hits(F.col("name"), F.col("__repeated"), portable),
+            "__run": F.floor(F.col("pos") / F.lit(width)).cast("int"),
+        }
     )
     fields = [c for c in items.columns if c not in OBJECT]
-    rows = walked.groupBy(*OBJECT).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "__hits", F.struct(*fields).alias("item")))).alias("__items")
+    runs = marked.groupBy(*OBJECT, "__run", "__n_slots").agg(
+        F.array_sort(
+            F.collect_list(F.struct("pos", "__hits", F.struct(*fields).alias("item")))
+        ).alias("__items")
     )
-    slots_taken = F.aggregate(
+    starts = _run_starts(marked, strict, width)
+    taken = F.aggregate(
         "__items",
         F.struct(
-            F.lit(-1).alias("slot"),
-            F.lit(True).alias("first_hit"),
+            F.coalesce("__start", F.lit(_BEGIN)).alias("code"),
             F.array().cast("array<int>").alias("taken"),
         ),
-        lambda state, item: _step(state, item["__hits"], strict),
+        lambda state, item: _walk(state, _step(state["code"], item["__hits"], strict)),
         lambda state: state["taken"],
     )
     walked = (
-        rows.withColumn("__slots", slots_taken)
-        .select(*OBJECT, F.explode(F.arrays_zip("__items", "__slots")).alias("z"))
-        .select(*OBJECT, "z.__items.item.*", F.col("z.__slots").alias("slot"))
+        runs.join(starts, [*OBJECT, "__run"], "left")
+        .withColumn("__taken", taken)
+        .select(*OBJECT, F.explode(F.arrays_zip("__items", "__taken")).alias("z"))
+        .select(*OBJECT, "z.__items.item.*", F.col("z.__taken").alias("slot"))
+    )
+    return plain.drop("__repeated", "__n_slots").unionByName(
+        walked.select(*items.columns, "slot")
+    )
+
+
+# State of a walk: twice the slot, plus one if the last item matched it.
+_BEGIN = -1
+
+
+def _step(code: Column, hits: Column, strict: bool) -> Column:
+    slot = F.shiftright(code, 1)
+    hit = F.array_contains(hits, slot)
+    stays = (hit & (code.bitwiseAND(1) == 1)) if strict else hit
+    after = F.when(stays, slot).otherwise(slot + 1)
+    return after * 2 + F.when(F.array_contains(hits, after), 1).otherwise(0)
+
+
+def _walk(state: Column, code: Column) -> Column:
+    return F.struct(
+        code.alias("code"),
+        F.array_append(state["taken"], F.shiftright(code, 1)).alias("taken"),
+    )
+
+
+def _run_starts(marked: DataFrame, strict: bool, width: int) -> DataFrame:
+    """`__start`, the state before each run but the first of an object.
+
+    Beyond the last slot a state only counts on, so the table of a run needs
+    entries up to there.
+    """
+    full = (
+        marked.groupBy(*OBJECT, "__run", "__n_slots")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "__hits"))).alias("__items"))
+        .filter(F.size("__items") == width)
+    )
+    ends = F.transform(
+        F.sequence(F.lit(-2), 2 * F.col("__n_slots") + 1),
+        lambda code: F.aggregate(
+            "__items", code, lambda state, item: _step(state, item["__hits"], strict)
+        ),
+    )
+    chained = full.select(*OBJECT, "__run", ends.alias("__ends")).groupBy(*OBJECT).agg(
+        F.array_sort(F.collect_list(F.struct("__run", "__ends"))).alias("__tables")
+    )
+
+    def chain(state: Column, table: Column) -> Column:
+        known = F.get(table["__ends"], state["code"] + 2)
+        code = F.coalesce(known, state["code"] + F.lit(2 * width))
+        return F.struct(code.alias("code"), F.array_append(state["starts"], code).alias("starts"))
+
+    starts = F.aggregate(
+        "__tables",
+        F.struct(F.lit(_BEGIN).alias("code"), F.array().cast("array<int>").alias("starts")),
+        chain,
+        lambda state: state["starts"],
+    )
+    return chained.select(*OBJECT, F.posexplode(starts).alias("__run", "__start")).withColumn(
+        "__run", F.col("__run") + 1
     )
-    return plain.drop("__repeated").unionByName(walked.select(*items.columns, "slot"))
 
 
 def _hits(name: Column, repeated: Column, portable: bool) -> Column:
@@ -94,17 +169,6 @@ def _python_hits(name: Column, patterns: Column, slots: Column) -> Column:
     return hits(name, patterns, slots)
 
 
-def _step(state: Column, hits: Column, strict: bool) -> Column:
-    hit = F.array_contains(hits, state["slot"])
-    stays = (hit & state["first_hit"]) if strict else hit
-    slot = F.when(stays, state["slot"]).otherwise(state["slot"] + 1)
-    return F.struct(
-        slot.alias("slot"),
-        F.array_contains(hits, slot).alias("first_hit"),
-        F.array_append(state["taken"], slot).alias("taken"),
-    )
-
-
 def align(
     items: DataFrame,
     slots: DataFrame,

@@ -352,16 +352,16 @@ def sessions(
 ) -> DataFrame:
     """Stretches of messages whose gaps stay within `gap_seconds`.
 
-    Built from two bucketed scans instead of session_window, which would sort
-    all rows of a sender in one task.
+    A bucketed scan instead of session_window, which would sort all rows of
+    a sender in one task.
     """
     timed = events.withColumn("__us", F.unix_micros(ts.cast("timestamp")))
     by_time = [F.col("__us"), *[F.col(o) for o in order]]
     bucket = F.floor(F.col("__us") / F.lit(bucket_seconds * 1_000_000))
-    linked = scans.neighbours(timed, keys, by_time, bucket, F.col("__us"), "__before")
-    far = (F.col("__us") - F.col("__before")) > F.lit(int(gap_seconds * 1_000_000))
-    opened = F.when(F.col("__before").isNull() | far, 1).otherwise(0)
-    numbered = scans.running(linked, keys, by_time, bucket, {"session": ("sum", opened)})
+    gap = F.lit(int(gap_seconds * 1_000_000))
+    numbered = scans.change_runs(
+        timed, keys, by_time, bucket, F.col("__us"), lambda a, b: b - a > gap, "session"
+    )
     return numbered.groupBy(*keys, "session").agg(
         F.min("__us").alias("start_us"),
         F.max("__us").alias("end_us"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lading.functions.names import generalise_repeated, stem_of
 from lading.functions.regex import escape_regex
+from lading.materialise import cut
 from lading.operators import scans
 
 
@@ -24,9 +25,7 @@ def name_counts(
     """A5: per name, the files that have it and the files of its scope."""
     in_file = items.groupBy(*scope, name, *file).agg(F.lit(1).alias("__one"))
     named = in_file.groupBy(*scope, name).agg(F.count(F.lit(1)).alias("n_with"))
-    return named.join(
-        file_counts(items, scope, file).select(*scope, "n_files"), list(scope)
-    )
+    return named.join(file_counts(items, scope, file), list(scope))
 
 
 def file_counts(
@@ -90,11 +89,11 @@ def recognised_stems(
     items: DataFrame, scope: Sequence[str], file: Sequence[str]
 ) -> DataFrame:
     """Stems of names missing from some file, where files differ in length."""
-    varying = file_counts(items, scope, file).filter(F.col("fewest") != F.col("most"))
-    loose = name_counts(items, scope, file).filter(F.col("n_with") < F.col("n_files"))
+    loose = name_counts(items, scope, file).filter(
+        (F.col("n_with") < F.col("n_files")) & (F.col("fewest") != F.col("most"))
+    )
     return (
-        loose.join(varying.select(*scope), list(scope), "left_semi")
-        .withColumn("stem", stem_of(F.col("name")))
+        loose.withColumn("stem", stem_of(F.col("name")))
         .filter(F.col("stem").isNotNull())
         .groupBy(*scope, "stem")
         .agg(F.lit(True).alias("__known"))
@@ -113,24 +112,26 @@ def stem_runs(
 
     Rows with a NULL stem start a group of their own.
     """
-    keys = [*scope, *file]
-    order = [F.col(position)]
-    bucket = scans.position_bucket(F.col(position), width)
-    marked = items.withColumn("stem", stem)
-    linked = scans.neighbours(marked, keys, order, bucket, F.col("stem"), "__before")
-    same = F.coalesce(F.col("__before") == F.col("stem"), F.lit(False))
-    numbered = scans.running(
-        linked, keys, order, bucket, {"__runs": ("sum", F.when(same, 0).otherwise(1))}
-    )
-    return numbered.withColumn("group_id", (F.col("__runs") - 1).cast("int")).drop(
-        "__before", "__runs"
+    numbered = scans.change_runs(
+        items.withColumn("stem", stem),
+        [*scope, *file],
+        [F.col(position)],
+        scans.position_bucket(F.col(position), width),
+        F.col("stem"),
+        lambda before, here: ~F.coalesce(before == here, F.lit(False)),
+        "__runs",
     )
+    return numbered.withColumn("group_id", (F.col("__runs") - 1).cast("int")).drop("__runs")
 
 
 def chunk_repeated(
     items: DataFrame, scope: Sequence[str], file: Sequence[str], position: str
 ) -> DataFrame:
-    """W1 with its gate: only recognised stems (see `recognised_stems`) group."""
+    """W1 with its gate: only recognised stems (see `recognised_stems`) group.
+
+    The result is materialised: unification reads it several times.
+    """
+    items = cut(items)
     known = recognised_stems(items, scope, file)
     stemmed = items.withColumn("__stem", stem_of(F.col("name")))
     joined = stemmed.join(
@@ -139,7 +140,7 @@ def chunk_repeated(
     grouped = stem_runs(
         joined, scope, file, position, F.when(F.col("__known"), F.col("__stem"))
     )
-    return grouped.drop("__stem", "__known")
+    return cut(grouped.drop("__stem", "__known"))
 
 
 def chunk_problems(
@@ -173,12 +174,14 @@ def stem_sets(nodes: DataFrame, scope: Sequence[str], file: Sequence[str]) -> Da
     """
     last = F.element_at("node", -1)
     parent = F.slice("node", 1, F.size("node") - 1)
-    named = nodes.withColumns(
-        {
-            "name": F.to_json("node"),
-            "parent": F.to_json(parent),
-            "__stem": stem_of(last),
-        }
+    named = cut(
+        nodes.withColumns(
+            {
+                "name": F.to_json("node"),
+                "parent": F.to_json(parent),
+                "__stem": stem_of(last),
+            }
+        )
     )
     loose = name_counts(named, scope, file).filter(F.col("n_with") < F.col("n_files"))
     known = (
@@ -189,12 +192,13 @@ def stem_sets(nodes: DataFrame, scope: Sequence[str], file: Sequence[str]) -> Da
     )
     joined = named.join(known, [*scope, "parent", "__stem"], "left")
     stem = F.when(F.col("__known"), F.col("__stem"))
-    return joined.withColumn("stem", stem).withColumn(
+    keyed = joined.withColumn("stem", stem).withColumn(
         "group_key",
         F.when(
             F.col("stem").isNotNull(), F.concat(F.col("parent"), F.lit("+"), F.col("stem"))
         ).otherwise(F.col("name")),
-    ).drop("__stem", "__known")
+    )
+    return cut(keyed.drop("__stem", "__known"))
 
 
 def generalise_names(

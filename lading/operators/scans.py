@@ -15,7 +15,7 @@ NULL.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,3 +141,55 @@ def neighbours(
     return joined.withColumn(
         name, F.coalesce(F.col("__near"), F.col("__beyond"))["__value"]
     ).drop(_BUCKET, "__value", "__near", "__beyond")
+
+
+def change_runs(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    bucket: Column,
+    value: Column,
+    changed: Callable[[Column, Column], Column],
+    name: str,
+) -> DataFrame:
+    """Number the runs of each key from 1 under `name`.
+
+    A row opens a run when it is the first of its key or when
+    `changed(value before, value)` holds.  A bucket is summed up by its first
+    and last value and the runs opened inside it.
+    """
+    rows = _with_bucket(df, bucket).withColumn("__value", F.struct(value.alias("v")))
+    inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
+    linked = rows.withColumn("__near", F.lag("__value").over(inside))
+
+    def opens(before: Column, here: Column) -> Column:
+        fresh = F.coalesce(changed(before["v"], here["v"]), F.lit(False))
+        return F.when(fresh, 1).otherwise(0)
+
+    marked = linked.withColumn(
+        "__opened",
+        F.when(F.col("__near").isNotNull(), opens(F.col("__near"), F.col("__value"))),
+    )
+    sortable = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    totals = marked.groupBy(*keys, _BUCKET).agg(
+        F.min_by("__value", sortable).alias("__first"),
+        F.max_by("__value", sortable).alias("__last"),
+        F.coalesce(F.sum("__opened"), F.lit(0)).alias("__inner"),
+    )
+    by_bucket = Window.partitionBy(*keys).orderBy(_BUCKET)
+    entered = totals.withColumn("__before", F.lag("__last").over(by_bucket)).withColumn(
+        "__entry",
+        F.when(F.col("__before").isNull(), 1).otherwise(
+            opens(F.col("__before"), F.col("__first"))
+        ),
+    )
+    earlier = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.coalesce(F.sum(F.col("__entry") + F.col("__inner")).over(earlier), F.lit(0))
+    carry = _carry(entered, keys, {"__base": gone + F.col("__entry")})
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = marked.withColumn("__so_far", F.sum(F.coalesce("__opened", F.lit(0))).over(so_far))
+    return (
+        _join_carry(local, carry, keys)
+        .withColumn(name, F.col("__base") + F.col("__so_far"))
+        .drop(_BUCKET, "__value", "__near", "__opened", "__so_far", "__base")
+    )

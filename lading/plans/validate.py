@@ -136,6 +136,7 @@ def validate_hdus(files: DataFrame, catalog: Catalog, specs: Specs) -> DataFrame
     )
     everything = typed.withColumn("obj_ix", F.lit(0))
     aligned, missing = align(items, slots, everything, specs.portable, strict=True)
+    aligned = cut(aligned)
     spec = F.col("spec")
     placed = aligned.filter(spec.isNotNull()).withColumn("obj_ix", F.col("pos"))
     one = lambda problem: F.filter(F.array(problem), lambda m: m.isNotNull())
@@ -216,7 +217,7 @@ def validate_nodes(files: DataFrame, catalog: Catalog, specs: Specs) -> DataFram
     """V4: tree nodes of ASDF files against node specs; other nodes may exist."""
     typed = files.select("path", "type", "skips")
     nodes = catalog.nodes.join(typed, "path")
-    matched = match_nodes(nodes, specs)
+    matched = cut(match_nodes(nodes, specs))
     spec_rows = specs.object_specs().select(
         "type", "obj_ix",
         F.struct("name", "objtype", "dtype", "ndim", "repeated", "optional", "value",
@@ -310,7 +311,7 @@ def validate_all(
     if index is not None:
         files = manifest.select_queued(files, index)
     classified = c.type_lookup(c.classify(files, specs, match), specs)
-    kept = classified.filter(~F.coalesce("ignore", F.lit(False)))
+    kept = cut(classified.filter(~F.coalesce("ignore", F.lit(False))))
     unusable = kept.filter(F.col("type").isNull()).select(
         "path", F.lit("").alias("object"), F.lit("filetype").alias("check"), F.lit("").alias("key"),
         F.when(F.size("types") == 0, "no filename patterns in label match")
@@ -318,7 +319,7 @@ def validate_all(
         .alias("message"),
     )
     content = validate_content(kept, specs, root, catalog, hooks, run_hooks)
-    failures = unusable.unionByName(content)
+    failures = cut(unusable.unionByName(content))  # content is read once
     note = F.when(
         F.col("type").isNotNull() & ~F.col("standard").isin(*DATA_STANDARDS),
         F.concat(
@@ -402,10 +403,11 @@ def server_validate(
     if "checksum" not in index.columns:
         index = index.withColumn("checksum", F.lit(None).cast("string"))
     present = manifest.check_presence_checksum(index.drop("status", "message"), listing)
+    present = cut(present)
     typed = c.type_lookup(
         present.filter(F.col("status") == "ok").select("path", "type"), specs
     )
-    failures = validate_content(typed, specs, root, catalog, hooks)
+    failures = cut(validate_content(typed, specs, root, catalog, hooks))
     crashed = F.col("check").startswith("hook:") & (F.col("key") == "error")
     text = failure_text(F.col("object"), F.col("check"), F.col("key"), F.col("message"))
     found = failures.groupBy("path").agg(

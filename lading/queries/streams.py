@@ -37,9 +37,14 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def _chunks(rows: DataFrame, n: int = 4) -> tuple[str, str]:
-    """Rows as a folder of chunk files, in time order over the files."""
+    """Rows as a folder of chunk files that arrive one after the other in time."""
     folder = _scratch(rows.sparkSession, "chunks")
-    rows.repartitionByRange(n, "time").write.mode("overwrite").parquet(f"{folder}/log")
+    ends = rows.agg(F.min("time").alias("first"), F.max("time").alias("last")).first()
+    step = (ends.last - ends.first) // n + 1
+    for i in range(n):
+        start = ends.first + i * step
+        chunk = rows.filter((F.col("time") >= start) & (F.col("time") < start + step))
+        chunk.write.mode("append").parquet(f"{folder}/log")
     return folder, f"{folder}/log"
 
 
@@ -106,7 +111,7 @@ def stream_once_only(spark, folder):
 def stream_sessions(spark, folder):
     """Sessions folded with state, last row per session."""
     stream, scratch = _follow(session_log(spark, folder))
-    current = session.session_stream(stream, ORDER)
+    current = session.session_stream(stream, ORDER, timeouts=False)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{scratch}/result/batch={batch_id}")

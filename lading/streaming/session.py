@@ -26,14 +26,16 @@ def session_stream(
     order: Sequence[str] = ("time",),
     missing_seconds: float = MISSING_SECONDS,
     absent_seconds: float = ABSENT_SECONDS,
+    timeouts: bool = True,
 ) -> DataFrame:
     """A row per delivery and micro-batch with its current status.
 
     `events` needs `delivery` and `n_expected` besides the event fields.  The
     state is four numbers per delivery.  A session's rows arrive as a series
-    of Arrow batches and are folded one batch at a time; `chunks_per_batch` of
-    the reader bounds them.  Only rows that can change the status are sent to
-    Python in full; the rest carry their category alone.
+    of Arrow batches; `chunks_per_batch` of the reader bounds how many there
+    are in one micro-batch.  Only the columns the fold needs go to Python.
+    Without `timeouts`
+    the clock plays no part, as when a finished log is worked off.
     """
     columns = ["delivery", "category", "status", "n_expected", *order]
     slim = events.select(*dict.fromkeys(columns))
@@ -74,10 +76,8 @@ def session_stream(
                     status = "working"
                 if problem and problem not in problems:
                     problems.append(problem)
-        if status in TERMINAL:
-            state.update((status, completed, rows, stops))
-        else:
-            state.update((status, completed, rows, stops))
+        state.update((status, completed, rows, stops))
+        if timeouts and status not in TERMINAL:
             wait = absent_seconds - missing_seconds if status == "missing" else missing_seconds
             state.setTimeoutDuration(max(1, int(wait * 1000)))
         yield pd.DataFrame(
@@ -91,7 +91,11 @@ def session_stream(
         )
 
     return slim.groupBy("delivery").applyInPandasWithState(
-        fold, _OUT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout
+        fold,
+        _OUT,
+        _STATE,
+        "update",
+        GroupStateTimeout.ProcessingTimeTimeout if timeouts else GroupStateTimeout.NoTimeout,
     )
 
 
