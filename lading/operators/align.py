@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,10 +156,6 @@ def _hits(name: Column, repeated: Column, portable: bool) -> Column:
 
 
 def _python_hits(name: Column, patterns: Column, slots: Column) -> Column:
-    import re
-
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
     def hits(names: pd.Series, regexes: pd.Series, ids: pd.Series) -> pd.Series:
         return pd.Series(

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lading import schemas
 from lading.sources.probes import _open
 
+_FIELDS = ["path", "object", "check", "key", "message"]
+
 # A hook gets an open file and its type's options and returns {key: message}.
 FileHook = Callable[[Any, Mapping], Mapping]
 # A set hook gets all files of the type at once and returns FAILURES.
@@ -57,7 +59,7 @@ def run_file_hooks(
                     found = {"error": f"{type(problem).__name__}: {problem}"}
                 rows = [(path, "", f"hook:{hook}", str(k), str(v)) for k, v in found.items()]
                 if rows:
-                    yield pd.DataFrame(rows, columns=["path", "object", "check", "key", "message"])
+                    yield pd.DataFrame(rows, columns=_FIELDS, dtype=object)
 
     return chosen.mapInPandas(run, schemas.FAILURES)
 

@@ -47,7 +47,8 @@ def from_manifest(index: DataFrame, root: str) -> DataFrame:
                     "path": batch["path"],
                     "length": [i.size if ok else None for i, ok in zip(infos, found)],
                     "mtime": [i.mtime if ok else None for i, ok in zip(infos, found)],
-                }
+                },
+                dtype=object,
             )[found]
 
     return index.select("path").mapInPandas(stat, "path string, length bigint, mtime timestamp")
@@ -166,7 +167,7 @@ def add_checksums(files: DataFrame, root: str, piece: int = 128 << 20) -> DataFr
             for path, length, ix in zip(batch["path"], batch["length"], batch["ix"]):
                 size = max(0, min(piece, int(length) - int(ix) * piece))
                 rows.append((path, int(ix), size, _range_crc(root, path, int(ix) * piece, size)))
-            yield pd.DataFrame(rows, columns=["path", "ix", "size", "crc"])
+            yield pd.DataFrame(rows, columns=["path", "ix", "size", "crc"], dtype=object)
 
     crcs = pieces.mapInPandas(read, "path string, ix bigint, size bigint, crc bigint")
 
@@ -213,6 +214,6 @@ def read_magic(files: DataFrame, root: str) -> DataFrame:
                 filesystem, full = open_filesystem(f"{root.rstrip('/')}/{path}")
                 with filesystem.open_input_file(full) as stream:
                     heads.append(stream.read(LONGEST_MAGIC))
-            yield pd.DataFrame({"path": batch["path"], "magic": heads})
+            yield pd.DataFrame({"path": batch["path"], "magic": heads}, dtype=object)
 
     return files.select("path").mapInPandas(read, "path string, magic binary")

@@ -70,8 +70,7 @@ def probe_footers(files: DataFrame, root: str) -> DataFrame:
             for path in batch["path"]:
                 rows = [{"path": path, **row} for row in _footer_rows(root, path)]
                 if rows:
-                    frame = pd.DataFrame(rows, columns=_FIELDS)
-                    yield frame.astype({"ix": "Int32", "size": "Int64"})
+                    yield pd.DataFrame(rows, columns=_FIELDS, dtype=object)
 
     return spread.mapInPandas(probe, _FOOTER)
 
@@ -139,7 +138,7 @@ def scan_parquet_integrity(footers: DataFrame, root: str) -> DataFrame:
                 except Exception as problem:
                     message = f"row group {ix}: {type(problem).__name__}: {problem}"
                     yield pd.DataFrame(
-                        {"path": [path], "stage": ["data"], "message": [message]}
+                        {"path": [path], "stage": ["data"], "message": [message]}, dtype=object
                     )
 
     return groups.mapInPandas(scan, "path string, stage string, message string")

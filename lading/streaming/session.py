@@ -87,7 +87,8 @@ def session_stream(
                 "n_completed": [completed],
                 "n_rows": [rows],
                 "problem": ["; ".join(problems) or None],
-            }
+            },
+            dtype=object,
         )
 
     return slim.groupBy("delivery").applyInPandasWithState(
