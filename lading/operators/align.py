@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lading.functions.regex import regex_test_by_row
+from lading.materialise import cut
 
 OBJECT = ("path", "type", "obj_ix")
 
@@ -66,7 +66,7 @@ def spec_runs(
             F.collect_list(F.struct("pos", "__hits", F.struct(*fields).alias("item")))
         ).alias("__items")
     )
-    starts = _run_starts(marked, strict, width)
+    starts = _run_starts(runs, strict, width)
     taken = F.aggregate(
         "__items",
         F.struct(
@@ -106,17 +106,13 @@ def _walk(state: Column, code: Column) -> Column:
     )
 
 
-def _run_starts(marked: DataFrame, strict: bool, width: int) -> DataFrame:
+def _run_starts(runs: DataFrame, strict: bool, width: int) -> DataFrame:
     """`__start`, the state before each run but the first of an object.
 
     Beyond the last slot a state only counts on, so the table of a run needs
     entries up to there.
     """
-    full = (
-        marked.groupBy(*OBJECT, "__run", "__n_slots")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "__hits"))).alias("__items"))
-        .filter(F.size("__items") == width)
-    )
+    full = runs.filter(F.size("__items") == width)
     ends = F.transform(
         F.sequence(F.lit(-2), 2 * F.col("__n_slots") + 1),
         lambda code: F.aggregate(
@@ -181,7 +177,7 @@ def align(
     objects to check, including those without any item.  Missing slots come
     with `pos`, numbered on from the last item.
     """
-    placed = spec_runs(items, slots, portable, strict)
+    placed = cut(spec_runs(items, slots, portable, strict))
     spec = slots.select("type", "obj_ix", "slot", F.struct(slots.columns).alias("spec"))
     aligned = placed.join(spec, ["type", "obj_ix", "slot"], "left")
     reached = placed.groupBy(*OBJECT).agg(

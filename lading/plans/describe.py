@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lading import schemas
 from lading.functions.regex import escape_regex
-from lading.materialise import as_label, cut
+from lading.materialise import LABEL_ROWS, as_label, cut
 from lading.operators import classify as c
 from lading.operators import infer
 from lading.operators.nodes import data_nodes
@@ -177,6 +177,13 @@ def describe_trees(nodes: DataFrame, columns: DataFrame) -> Description:
     )
 
 
+def _regexes(objects: DataFrame, columns: DataFrame) -> frozenset[str] | None:
+    """Name patterns of a label, unless it is too large to be one."""
+    names = [f.filter("name_regex").select("name") for f in (objects, columns)]
+    found = names[0].unionByName(names[1]).distinct().limit(LABEL_ROWS + 1).collect()
+    return frozenset(r.name for r in found) if len(found) <= LABEL_ROWS else None
+
+
 def unify_by_standard(
     columns: DataFrame | None, catalog: Catalog | None, files: DataFrame
 ) -> list[Description]:
@@ -253,6 +260,6 @@ def describe_types(
     merged_objects = as_label(infer.merge_specs(specs.objects, objects), schemas.SPEC_OBJECTS)
     merged_columns = as_label(infer.merge_specs(specs.columns, columns), schemas.SPEC_COLUMNS)
     return (
-        specs.with_objects(merged_objects, merged_columns),
+        specs.with_objects(merged_objects, merged_columns, _regexes(merged_objects, merged_columns)),
         problems.unionByName(skipped),
     )

@@ -84,8 +84,9 @@ def validate_parquet(
     typed = files.select("path", "type")
     objects = typed.withColumn("obj_ix", F.lit(0))
     first = specs.with_objects(
-        specs.objects.filter("obj_ix = 0"), specs.columns.filter("obj_ix = 0")
-    )
+        specs.objects.filter("obj_ix = 0"), specs.columns.filter("obj_ix = 0"),
+        specs.known_regexes,
+    )
     load = probes.load_errors(footers)
     readable = objects.join(load.select("path"), "path", "left_anti")
     schema = validate_schema(
@@ -136,7 +137,6 @@ def validate_hdus(files: DataFrame, catalog: Catalog, specs: Specs) -> DataFrame
     )
     everything = typed.withColumn("obj_ix", F.lit(0))
     aligned, missing = align(items, slots, everything, specs.portable, strict=True)
-    aligned = cut(aligned)
     spec = F.col("spec")
     placed = aligned.filter(spec.isNotNull()).withColumn("obj_ix", F.col("pos"))
     one = lambda problem: F.filter(F.array(problem), lambda m: m.isNotNull())

@@ -183,7 +183,7 @@ def hooked_checks(spark, folder):
 
 def skipped_checks(spark, folder):
     """Failures by return flag, some checks skipped by line status."""
-    lines = line_items(spark, folder)
+    lines = line_items(spark, folder, "l_returnflag", "l_linestatus", "l_quantity")
     path = F.concat_ws("-", "l_orderkey", "pos")
     failures = lines.select(
         path.alias("path"), F.lit("0").alias("object"),
@@ -224,7 +224,7 @@ RUN_LABEL = {
 
 def _order_columns(spark, folder):
     """Each order as a table whose columns are its lines, named by return flag."""
-    return line_items(spark, folder).select(
+    return line_items(spark, folder, "l_returnflag", "l_quantity").select(
         F.col("l_orderkey").cast("string").alias("path"), F.lit("order").alias("type"),
         F.lit(0).alias("obj_ix"), F.col("pos").alias("col_ix"), F.col("l_returnflag").alias("name"),
         F.when(F.col("l_quantity") > 45, "i8").otherwise("i4").alias("dtype"), F.lit(0).alias("ndim"),
@@ -414,7 +414,7 @@ HDU_LABEL = {
 
 def validate_orders_as_hdus(spark, folder):
     """An order is a primary HDU and one image HDU per line."""
-    lines = line_items(spark, folder).select(
+    lines = line_items(spark, folder, "l_returnflag", "l_quantity", "l_tax").select(
         F.col("l_orderkey").cast("string").alias("path"), (F.col("pos") + 1).alias("obj_ix"),
         F.col("l_returnflag").alias("name"), F.lit("image").alias("objtype"),
         F.when(F.col("l_quantity") > 45, "f8").otherwise("i4").alias("dtype"),

@@ -36,7 +36,7 @@ def name_stems(spark, folder):
 
 def stem_runs(spark, folder):
     """Runs of equal return flags along each order."""
-    items = line_items(spark, folder).select("l_orderkey", "pos", "l_returnflag")
+    items = line_items(spark, folder, "l_returnflag")
     runs = infer.stem_runs(items, [], ["l_orderkey"], "pos", F.col("l_returnflag"))
     return runs.select("l_orderkey", "pos", "group_id")
 
@@ -105,7 +105,7 @@ def unify_columns(spark, folder):
 
 def chunk_problems(spark, folder):
     """Stems that repeat apart or move; orders cut by return flag."""
-    items = line_items(spark, folder).select(
+    items = line_items(spark, folder, "l_returnflag").select(
         F.lit("orders").alias("type"), F.col("l_orderkey").alias("path"),
         F.col("pos").alias("col_ix"),
         F.concat("l_returnflag", F.lit("_"), F.col("pos").cast("string")).alias("name"),
@@ -125,7 +125,7 @@ def unify_sources(spark, folder):
 
 def tree_stems(spark, folder):
     """Orders as trees; a node per priority and line."""
-    items = line_items(spark, folder).select(
+    items = line_items(spark, folder, "l_linestatus").select(
         F.lit("orders").alias("type"), F.col("l_orderkey").alias("path"),
         F.array(F.col("l_linestatus"), F.concat(F.lit("line_"), F.col("pos").cast("string"))).alias("node"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lading.materialise import cut
 from lading.operators import scans
 
 
@@ -126,18 +127,23 @@ manifest AS (
 """
 
 
-def line_items(spark: SparkSession, folder: str) -> DataFrame:
+def line_items(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Each order as a file, its line items as ordered entries from 0.
 
-    The position is a running count cut into buckets of the line number.
+    The position is a running count cut into buckets of the line number.  The
+    result is materialised, as its readers use it several times.
     """
-    lines = table(spark, folder, "lineitem")
     order = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
+    lines = table(spark, folder, "lineitem").select(
+        *dict.fromkeys(["l_orderkey", *order, *columns])
+    )
     counted = scans.running(
         lines, ["l_orderkey"], [F.col(c) for c in order], F.col("l_linenumber"),
         {"__n": ("sum", F.lit(1))},
     )
-    return counted.withColumn("pos", (F.col("__n") - 1).cast("int")).drop("__n")
+    return cut(
+        counted.select("l_orderkey", (F.col("__n") - 1).cast("int").alias("pos"), *columns)
+    )
 
 
 LINE_ITEMS_SQL = """

@@ -14,14 +14,14 @@ from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from lading import schemas
 from lading.functions.names import EXCLUDE_MARK
-from lading.functions.regex import java_pattern, regex_portable
+from lading.functions.regex import anchored_java, java_pattern, regex_portable
 
 DATA_STANDARDS = ("asdf", "fits", "parquet")  # standards with data-level checks
 
@@ -52,6 +52,7 @@ class Specs:
     no_assigned_filetype_ok: bool = False
     portable: bool = True  # every name/value regex runs in the JVM
     known_patterns: dict[str, list[tuple[str, bool]]] | None = field(default=None)
+    known_regexes: frozenset[str] | None = None  # every name and value regex
 
     @classmethod
     def from_labels(cls, spark: SparkSession, labels: Iterable[Mapping]) -> Specs:
@@ -71,8 +72,9 @@ class Specs:
             global_skip=tuple(s for o in options for s in o.get("skip", ())),
             missing_filetypes_ok=any(o.get("missing_filetypes_ok") for o in options),
             no_assigned_filetype_ok=any(o.get("no_assigned_filetype_ok") for o in options),
-            portable=_all_portable(rows),
+            portable=all(regex_portable(p) is not None for p in _regexes(rows)),
             known_patterns=known,
+            known_regexes=frozenset(_regexes(rows)),
         )
 
     @cached_property
@@ -90,22 +92,34 @@ class Specs:
 
     def column_specs(self) -> DataFrame:
         """Column specs with the JVM form of their name pattern."""
-        return self.columns.withColumn(
-            "java_name", _when_regex("name_regex", "name", "fullmatch")
-        )
+        return self.columns.withColumn("java_name", self._java("name_regex", "name", "fullmatch"))
 
     def object_specs(self) -> DataFrame:
-        return self.objects.withColumn(
-            "java_name", _when_regex("name_regex", "name", "fullmatch")
-        ).withColumn("java_value", _when_regex("value_regex", "value", "match"))
+        return self.objects.withColumns(
+            {
+                "java_name": self._java("name_regex", "name", "fullmatch"),
+                "java_value": self._java("value_regex", "value", "match"),
+            }
+        )
 
     def meta_specs(self) -> DataFrame:
-        return self.meta.withColumn(
-            "java_value", _when_regex("value_regex", "value", "match")
-        )
+        return self.meta.withColumn("java_value", self._java("value_regex", "value", "match"))
 
-    def with_objects(self, objects: DataFrame, columns: DataFrame) -> Specs:
-        return replace(self, objects=objects, columns=columns)
+    def _java(self, flag: str, text: str, mode: str) -> Column:
+        """Translated on the driver when the patterns are known there."""
+        pattern = F.when(F.col(flag), F.col(text))
+        if self.known_regexes is None:
+            return java_pattern(pattern, mode)
+        pairs = {p: anchored_java(p, mode) for p in sorted(self.known_regexes)}
+        known = [F.lit(t) for kv in pairs.items() if kv[1] is not None for t in kv]
+        if not known:
+            return F.lit(None).cast("string")
+        return F.when(F.col(flag), F.create_map(*known)[F.col(text)])
+
+    def with_objects(
+        self, objects: DataFrame, columns: DataFrame, regexes: frozenset[str] | None = None
+    ) -> Specs:
+        return replace(self, objects=objects, columns=columns, known_regexes=regexes)
 
 
 def local_table(spark: SparkSession, rows: list[tuple], layout: str) -> DataFrame:
@@ -123,11 +137,7 @@ def local_table(spark: SparkSession, rows: list[tuple], layout: str) -> DataFram
     return spark.createDataFrame(table, schema)
 
 
-def _when_regex(flag: str, text: str, mode: str):
-    return java_pattern(F.when(F.col(flag), F.col(text)), mode)
-
-
-def _all_portable(rows: dict[str, list[tuple]]) -> bool:
+def _regexes(rows: dict[str, list[tuple]]) -> list[str]:
     patterns = [r[5] for r in rows["columns"] if r[6]]
     for r in rows["objects"]:
         if r[6]:
@@ -135,7 +145,7 @@ def _all_portable(rows: dict[str, list[tuple]]) -> bool:
         if r[14]:
             patterns.append(r[12])
     patterns += [r[5] for r in rows["meta"] if r[7]]
-    return all(regex_portable(p) is not None for p in patterns if p)
+    return [p for p in patterns if p]
 
 
 def _scalar(owner: Mapping) -> tuple[str | None, str | None]:
