@@ -176,8 +176,9 @@ def validate_hdus(files: DataFrame, catalog: Catalog, specs: Specs) -> DataFrame
             )
         )
     )
+    cards = catalog.meta.withColumn("key", F.upper(F.trim("key")))
     found.append(
-        _at_hdu(validate_metadata(_on_slot(catalog.meta, taken), _hdu_objects(taken), specs))
+        _at_hdu(validate_metadata(_on_slot(cards, taken), _hdu_objects(taken), specs))
     )
     return c.apply_skips(_union(found), files).select(*_FAILURE)
 

@@ -9,7 +9,7 @@ from lading.operators import hooks as h
 from lading.operators import metadata as md
 from lading.operators.align import spec_runs
 from lading.operators.manifest import check_presence_checksum
-from lading.operators.nodes import flatten_paths, match_nodes
+from lading.operators.nodes import data_nodes, flatten_paths, match_nodes
 from lading.plans import validate as v
 from lading.queries.inference import CODES_SQL, TABLES
 from lading.queries.readings import LINE_ITEMS_SQL, line_items, table
@@ -268,7 +268,7 @@ META_LABEL = {
                     "metadata": {
                         "K": {"value": 7},
                         "click": {"value": 10, "index": 0},
-                        "second click": {"key": "click", "value": r"[1-4]\d*$", "value_regex": True, "index": 1},
+                        "Click": {"value": r"[1-4]\d*$", "value_regex": True, "index": 1},
                         "error": {"index": 14},
                         "absent": {},
                     },
@@ -284,7 +284,7 @@ def _user_cards(spark, folder):
     value = F.get_json_object("props", "$.k")
     cards = table(spark, folder, "events").select(
         F.col("user_id").cast("string").alias("path"), F.lit("user").alias("type"),
-        F.lit(0).alias("obj_ix"), F.col("event_id").alias("pos"), F.col("event_type").alias("key"),
+        F.lit(0).alias("obj_ix"), F.col("event_id").alias("pos"), F.upper("event_type").alias("key"),
         value.alias("value"),
         F.when(F.col("value") > 10, "int").otherwise("str").alias("value_type"),
     )
@@ -433,7 +433,28 @@ def validate_orders_as_hdus(spark, folder):
     return found.select("path", F.col("object").cast("int").alias("hdu"), "check", "message")
 
 
+def validation_summary(spark, folder):
+    """Failed table files with their number of failures."""
+    summary = v.validate_all_summary(_checked(spark, folder))
+    return summary.select(_stem("path").alias("tab"), "n_failures")
+
+
+def data_nodes_of_conversations(spark, folder):
+    """array-like turns of assistants, and turns at the top of the tree."""
+    nodes = _conversation_nodes(spark, folder).withColumns(
+        {
+            "objtype": F.when(F.col("value") == "assistant", "numpy.ndarray").otherwise("builtins.dict"),
+            "node": F.when(F.col("value") == "system", F.array(F.lit("history")))
+            .when(F.col("node_ix") < 3, F.slice("node", 2, 1))
+            .otherwise(F.col("node")),
+        }
+    )
+    return data_nodes(nodes).select("path", "node_ix")
+
+
 QUERIES = {
+    "validation_summary": validation_summary,
+    "data_nodes_of_conversations": data_nodes_of_conversations,
     "table_listing": table_listing,
     "schema_codes": schema_codes,
     "schema_codes_from_spark": schema_codes_from_spark,
@@ -470,7 +491,7 @@ walk AS (
 """
 _CARDS = """
 cards AS (
-  SELECT CAST(user_id AS VARCHAR) AS path, event_type AS key, event_id AS pos, json_extract_string(props, '$.k') AS value,
+  SELECT CAST(user_id AS VARCHAR) AS path, upper(event_type) AS key, event_id AS pos, json_extract_string(props, '$.k') AS value,
     CASE WHEN events.value > 10 THEN 'int' ELSE 'str' END AS vt,
     row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS ix
   FROM events),
@@ -480,6 +501,10 @@ counts AS (SELECT path, key, count(*) AS n FROM cards GROUP BY 1, 2)
 _BAD_TYPE = "'wrong type for metadata value: expected '"
 
 ORACLE = {
+    "data_nodes_of_conversations": """
+SELECT CAST(conv_id AS VARCHAR) AS path, CAST(turn AS INTEGER) AS node_ix FROM conversations
+WHERE role = 'assistant' OR (role <> 'system' AND turn < 3)
+""",
     "table_listing": f"SELECT tab AS name, true AS filled FROM {_ALL_TABLES}",
     "schema_codes": f"WITH {CODES_SQL} SELECT * FROM actual",
     "schema_codes_from_spark": f"WITH {CODES_SQL} SELECT * FROM actual",
@@ -556,25 +581,25 @@ FROM events
     "meta_check": f"""
 WITH {_CARDS}
 SELECT u.path, k.key, 'required metadata key missing' AS message
-FROM users u, (VALUES ('K'), ('absent')) k(key)
+FROM users u, (VALUES ('K'), ('ABSENT')) k(key)
 UNION ALL
 SELECT u.path, k.key, 'required metadata key missing'
-FROM users u, (VALUES ('click'), ('error')) k(key)
+FROM users u, (VALUES ('CLICK'), ('ERROR')) k(key)
 WHERE NOT EXISTS (SELECT 1 FROM counts WHERE counts.path = u.path AND counts.key = k.key)
 UNION ALL
 SELECT path, key, 'metadata key appears ' || n || ' times in header; label expects '
-  || CASE key WHEN 'click' THEN 2 ELSE 15 END
-FROM counts WHERE (key = 'click' AND n < 2) OR (key = 'error' AND n < 15)
+  || CASE key WHEN 'CLICK' THEN 2 ELSE 15 END
+FROM counts WHERE (key = 'CLICK' AND n < 2) OR (key = 'ERROR' AND n < 15)
 UNION ALL
 SELECT path, key, CASE WHEN vt <> 'int' THEN {_BAD_TYPE} || 'int, got ' || vt
   ELSE 'incorrect metadata value: expected 10, got ' || value END
 FROM cards JOIN counts USING (path, key)
-WHERE key = 'click' AND n >= 2 AND ix = 0 AND (vt <> 'int' OR value <> '10')
+WHERE key = 'CLICK' AND n >= 2 AND ix = 0 AND (vt <> 'int' OR value <> '10')
 UNION ALL
 SELECT path, key, CASE WHEN vt <> 'str' THEN {_BAD_TYPE} || 'str, got ' || vt
   ELSE 'incorrect metadata value: ''' || value || ''' does not match /[1-4]\\d*$/' END
 FROM cards JOIN counts USING (path, key)
-WHERE key = 'click' AND n >= 2 AND ix = 1 AND (vt <> 'str' OR NOT regexp_matches(value, '^[1-4]\\d*$'))
+WHERE key = 'CLICK' AND n >= 2 AND ix = 1 AND (vt <> 'str' OR NOT regexp_matches(value, '^[1-4]\\d*$'))
 """,
     "footer_check": """
 WITH kv AS (SELECT CAST(event_id AS VARCHAR) AS path, CASE event_type WHEN 'view' THEN 'v' ELSE 'k' END AS key,
@@ -645,3 +670,9 @@ UNION ALL SELECT path, hdu, 'base', 'extra' FROM walk WHERE slot > 2
 UNION ALL SELECT path, CAST(n AS INTEGER), 'base', 'missing' FROM ends WHERE last < 1
 """,
 }
+ORACLE["validation_summary"] = f"""
+SELECT tab, count(*) AS n_failures FROM ({ORACLE["schema_conform"]}) GROUP BY tab
+UNION ALL
+SELECT tab, 1 FROM {_ALL_TABLES}
+WHERE tab NOT IN ('lineitem', 'nation', 'region', 'documents', 'pages', 'customer', 'conversations', 'orders')
+"""

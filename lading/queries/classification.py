@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lading.functions.names import infer_standard
+from lading.functions.names import infer_standard, order_patterns
 from lading.operators import classify as c
 from lading.operators import manifest
 from lading.queries.readings import table
@@ -157,7 +157,44 @@ def needs_data_check(spark, folder):
     return c.needs_data_check(specs).select("type", "standard", "needs_data")
 
 
+SKIP_LABEL = {
+    "dataset": "web",
+    "delivery_id": 3,
+    "filetypes": {
+        "feeds": {"filename": r"utm_source=", "ignore": True},
+        "secure": {"filename": ["^https", r"(?!)utm_"], "standard": "parquet"},
+        "plain": {"filename": ["^http:", r"(?!)utm_", r"(?!)/$"], "standard": "html"},
+    },
+}
+
+
+def files_to_check(spark, folder):
+    """Pages without ignored ones, with their type's options."""
+    specs = Specs.from_labels(spark, [SKIP_LABEL])
+    classified = c.exempt_label_file(c.classify(_urls(spark, folder), specs))
+    kept = c.type_lookup(c.drop_ignored(classified, specs), specs)
+    return kept.select("path", "type", "standard", "needs_data")
+
+
+def ordered_patterns(spark, folder):
+    """O1: three patterns per page, inclusions first."""
+    host = F.regexp_extract("url", "https?://([^/]+)", 1)
+    rest = F.regexp_extract("url", "https?://[^/]+(.*)$", 1)
+    patterns = F.array(
+        *[
+            F.struct(text.alias("pattern"), F.lit(include).alias("include"))
+            for text, include in ((host, False), (rest, True), (F.lit("/en/m"), True))
+        ]
+    )
+    ordered = F.transform(order_patterns(patterns), lambda p: p["pattern"])
+    return table(spark, folder, "pages").select(
+        "page_id", F.array_join(ordered, " ").alias("patterns")
+    )
+
+
 QUERIES = {
+    "files_to_check": files_to_check,
+    "ordered_patterns": ordered_patterns,
     "classify_pages": classify_pages,
     "classify_by_delivery": classify_by_delivery,
     "unassigned_pages": unassigned_pages,
@@ -207,6 +244,19 @@ counted AS (
 """
 
 ORACLE = {
+    "files_to_check": """
+WITH typed AS (
+  SELECT url AS path, CASE WHEN url LIKE 'https%' THEN 'secure' WHEN url NOT LIKE '%/' THEN 'plain' END AS type
+  FROM pages WHERE NOT contains(url, 'utm_source='))
+SELECT path, type, CASE type WHEN 'secure' THEN 'parquet' WHEN 'plain' THEN 'html' END AS standard,
+  coalesce(type = 'secure', false) AS needs_data
+FROM typed
+""",
+    "ordered_patterns": """
+WITH parts AS (SELECT page_id, regexp_extract(url, 'https?://([^/]+)', 1) AS host,
+  regexp_extract(url, 'https?://[^/]+(.*)$', 1) AS rest FROM pages)
+SELECT page_id, least(rest, '/en/m') || ' ' || greatest(rest, '/en/m') || ' ' || host AS patterns FROM parts
+""",
     "classify_pages": f"WITH {_HITS} SELECT path, filetypes, {_STATUS} AS status FROM report",
     "classify_by_delivery": f"""
 WITH {_HITS},

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lading.functions.names import resolve_path
+from lading.functions.scalars import nested_to_text
 from lading.operators import events as ev
+from lading.operators.manifest import can_transfer, is_complete, no_retry
 from lading.queries.readings import (
     EVENT_LOG_SQL,
     ORDER,
@@ -14,8 +17,10 @@ from lading.queries.readings import (
     log_bucket,
     log_time,
     session_log,
+    table,
     user_manifest,
 )
+from lading.sources.files import report_message
 
 FAILURE_LIMIT = 10
 
@@ -138,7 +143,33 @@ def appended_log(spark, folder):
     )
 
 
+def file_flags(spark, folder):
+    """What may still happen to each file of the manifest."""
+    states = ev.manifest_states(user_manifest(spark, folder), _states(spark, folder))
+    return states.select(
+        resolve_path("s3a://bucket/users/", F.col("path")).alias("path"),
+        can_transfer().alias("can_transfer"),
+        no_retry().alias("no_retry"),
+        is_complete().alias("is_complete"),
+    )
+
+
+def report_messages(spark, folder):
+    """The delivery report as a message."""
+    return report_message(delivery_report(spark, folder))
+
+
+def nested_messages(spark, folder):
+    """nested values in log texts."""
+    events = table(spark, folder, "events")
+    nested = F.struct(F.col("event_type").alias("type"), F.array("user_id", "event_id").alias("ids"))
+    return events.select("event_id", nested_to_text(nested).alias("message"))
+
+
 QUERIES = {
+    "file_flags": file_flags,
+    "report_messages": report_messages,
+    "nested_messages": nested_messages,
     "last_verdict": last_verdict,
     "event_seq": event_seq,
     "double_verdicts": double_verdicts,
@@ -211,6 +242,26 @@ gaps AS (
 """
 
 ORACLE = {
+    "file_flags": f"""{_MANIFEST_STATES}
+SELECT 's3a://bucket/users/' || path AS path,
+  state = 'ready' OR (state = 'failed' AND retries < 2) AS can_transfer,
+  state = 'failed' AND retries >= 2 AS no_retry,
+  state IN ('valid', 'invalid') OR (state = 'failed' AND retries >= 2) AS is_complete
+FROM known
+""",
+    "report_messages": f"""{_MANIFEST_STATES},
+c AS (
+  SELECT count(*) AS n, count(*) FILTER (state IN ('valid','invalid')) AS done,
+    count(*) FILTER (state = 'invalid') AS bad, CAST(sum(retries) AS BIGINT) AS failed
+  FROM known WHERE will_transfer)
+SELECT '{{"dataset":"users","delivery_id":"1","files_expected":' || n || ',"files_validated":' || done
+  || ',"n_errors":' || bad || ',"total_failures":' || (bad + failed) || ',"validation_result":"'
+  || CASE WHEN done <> n THEN 'incomplete' WHEN bad > 0 THEN 'failure' ELSE 'success' END || '"}}' AS value
+FROM c
+""",
+    "nested_messages": """
+SELECT event_id, '{"type":"' || event_type || '","ids":[' || user_id || ',' || event_id || ']}' AS message FROM events
+""",
     "last_verdict": f"""
 WITH {EVENT_LOG_SQL}
 SELECT ref, status, message FROM log WHERE category = 'validation'

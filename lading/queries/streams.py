@@ -12,17 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lading.operators import events as ev
+from lading.operators.classify import classify
 from lading.queries import eventlog
+from lading.queries.checks import CHECK_LABEL
 from lading.queries.readings import (
     EVENT_LOG_SQL,
     ORDER,
     SESSION_LOG_SQL,
+    USER_MANIFEST_SQL,
     event_log,
     session_log,
+    user_manifest,
 )
 from lading.sources import events as se
+from lading.sources.files import read_index, scan_files, write_index
+from lading.spec import Specs
 from lading.streaming import session
-from lading.streaming.delivery import checkpoint_dir, file_state_stream
+from lading.streaming.delivery import (
+    checkpoint_dir,
+    file_state_stream,
+    incremental_validate,
+    resume,
+)
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -156,7 +167,37 @@ def stream_event_text(spark, folder):
     )
 
 
+def incremental_verdicts(spark, folder):
+    """The table files reported in a client log, judged as they
+    come in; then what a resumed delivery would do with each."""
+    scratch = _scratch(spark, "delivery")
+    specs = Specs.from_labels(spark, [CHECK_LABEL])
+    listing = scan_files(spark, folder)
+    index = classify(listing.select("path"), specs).select(
+        "path", "type", F.lit(True).alias("will_transfer")
+    )
+    reports = listing.filter(F.col("path") != "region.parquet").select(
+        F.lit("transfer").alias("category"), F.col("path").alias("ref"), F.lit("ok").alias("status")
+    )
+    se.write_events(reports, f"{scratch}/client", {"agent_id": "client"})
+    stream = se.good_rows(se.stream_events(spark, f"{scratch}/client", chunks_per_batch=100))
+    incremental_validate(
+        stream, index, specs, folder, f"{scratch}/verdicts", f"{scratch}/conflicts", f"{scratch}/checkpoint"
+    ).awaitTermination()
+    plan = resume(spark, index, f"{scratch}/verdicts", listing)
+    return plan.select(F.regexp_replace("path", r"\.parquet$", "").alias("tab"), "reason")
+
+
+def index_roundtrip(spark, folder):
+    """A manifest written as CSV and read back."""
+    scratch = _scratch(spark, "index")
+    write_index(user_manifest(spark, folder), f"{scratch}/index")
+    return read_index(spark, f"{scratch}/index")
+
+
 QUERIES = {
+    "incremental_verdicts": incremental_verdicts,
+    "index_roundtrip": index_roundtrip,
     "stream_file_states": stream_file_states,
     "stream_progress": stream_progress,
     "stream_failures": stream_failures,
@@ -166,6 +207,12 @@ QUERIES = {
 }
 
 ORACLE = {
+    "incremental_verdicts": """
+SELECT tab, CASE tab WHEN 'region' THEN 'new' WHEN 'lineitem' THEN 'invalid' WHEN 'nation' THEN 'invalid' ELSE 'valid' END AS reason
+FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'),
+  ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')) t(tab)
+""",
+    "index_roundtrip": f"WITH {USER_MANIFEST_SQL} SELECT path, will_transfer FROM manifest",
     "stream_file_states": eventlog.ORACLE["file_states"],
     "stream_progress": f"""
 WITH {EVENT_LOG_SQL}

@@ -243,7 +243,8 @@ def _object_rows(
         rows["meta"].append(
             (
                 *key,
-                meta.get("key", meta_key),
+                # header keywords ignore case, so variants address one keyword
+                meta_key.strip().upper() if standard.lower() == "fits" else meta_key,
                 value,
                 value_type,
                 meta.get("value_regex", False),

@@ -7,10 +7,12 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lading.functions.scalars import event_time
 from lading.operators.events import FAILED, MAX_FAILURES, is_verdict
-from lading.sources.events import format_events
+from lading.sources.events import good_rows, read_events, write_events
 
 MISSING_SECONDS = 240  # silence after which a sender is missing
 ABSENT_SECONDS = 480  # silence that ends its session
@@ -105,23 +107,32 @@ def _in_order(batches: Iterator[pd.DataFrame], order: list[str]):
     return rows.sort_values(order, kind="stable").itertuples(index=False)
 
 
-def heartbeat_stream(
-    spark: SparkSession, seconds: int, agent_id: str, ref: str = "self"
-) -> DataFrame:
-    """T5: a keepalive event every `seconds`, in log layout."""
-    ticks = (
-        spark.readStream.format("rate-micro-batch")
-        .option("rowsPerBatch", 1)
-        .option("advanceMillisPerBatch", seconds * 1000)
-        .load()
+def start_heartbeat(
+    spark: SparkSession, log: str, checkpoint: str, agent_id: str, seconds: int = 10
+) -> StreamingQuery:
+    """T5: append a keepalive to `log` whenever its owner was silent for `seconds`.
+
+    A one-row rate source is the clock; the latest row of the log tells how
+    long the silence has lasted.
+    """
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    beat = spark.range(1).select(
+        F.lit("keepalive").alias("category"), F.lit("self").alias("ref"), F.lit("ok").alias("status")
     )
-    rows = ticks.select(
-        F.lit("keepalive").alias("category"),
-        F.lit(ref).alias("ref"),
-        F.lit("ok").alias("status"),
-        F.col("value").cast("string").alias("message"),
+
+    def tick(_: DataFrame, batch_id: int) -> None:
+        own = good_rows(read_events(spark, log)).filter(F.col("agent_id") == agent_id)
+        silence = F.current_timestamp().cast("double") - event_time(F.max("time")).cast("double")
+        silent = own.agg(silence.alias("s")).first().s
+        if silent is None or silent >= seconds:
+            write_events(beat, log, {"agent_id": agent_id})
+
+    return (
+        clock.writeStream.foreachBatch(tick)
+        .option("checkpointLocation", checkpoint)
+        .trigger(processingTime=f"{seconds} seconds")
+        .start()
     )
-    return format_events(rows, {"agent_id": agent_id})
 
 
 def live_progress(events: DataFrame, keys: Sequence[str] = ("delivery",)) -> DataFrame:

@@ -60,7 +60,7 @@ def _found(failures):
 
 GOOD = [
     {"name": "primary", "objtype": "primary", "ndim": 0, "metadata": {
-        "TELESCOP": {"value": "X"}, "GAIN": {"value": 1.5}, "h": {"key": "HISTORY", "index": 1, "value": "b"}}},
+        "TELESCOP": {"value": "X"}, "GAIN": {"value": 1.5}, "history": {"index": 1, "value": "b"}}},
     {"name": r"SCI_\d", "objtype": "image", "dtype": "i4", "ndim": 2, "repeated": True},
     {"name": "cat", "objtype": "bintable", "schema": [{"name": "id", "dtype": "i4"}, {"name": "mag", "dtype": "f4"}]},
 ]

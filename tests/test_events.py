@@ -121,6 +121,17 @@ def test_session_timeouts(spark, tmp_path):
     assert [s for d, s in seen if d == "s2"] == ["done"]
 
 
+def test_heartbeat(spark, tmp_path):
+    log = str(tmp_path / "log")
+    row = spark.createDataFrame([("2020-01-01T00:00:00.000Z", "init", "self", "ok")], "time string, category string, ref string, status string")
+    se.write_events(row, log, {"agent_id": "v"})
+    query = session.start_heartbeat(spark, log, str(tmp_path / "checkpoint"), "v", 2)
+    query.awaitTermination(9)
+    query.stop()
+    beats = se.read_events(spark, log).filter("category = 'keepalive'").count()
+    assert 2 <= beats <= 5
+
+
 def test_delivery_end_to_end(spark, tmp_path):
     root = tmp_path / "data"
     root.mkdir()
