@@ -12,7 +12,7 @@ from lading.operators.manifest import check_presence_checksum
 from lading.operators.nodes import data_nodes, flatten_paths, match_nodes
 from lading.plans import validate as v
 from lading.queries.inference import CODES_SQL, TABLES
-from lading.queries.readings import LINE_ITEMS_SQL, line_items, table
+from lading.queries.readings import LINE_ITEMS_SQL, line_items, of_row, table
 from lading.sources import files as sf
 from lading.sources import probes
 from lading.sources.catalog import Catalog
@@ -225,7 +225,7 @@ RUN_LABEL = {
 def _order_columns(spark, folder):
     """Each order as a table whose columns are its lines, named by return flag."""
     return line_items(spark, folder, "l_returnflag", "l_quantity").select(
-        F.col("l_orderkey").cast("string").alias("path"), F.lit("order").alias("type"),
+        F.col("l_orderkey").cast("string").alias("path"), of_row("order", "l_orderkey").alias("type"),
         F.lit(0).alias("obj_ix"), F.col("pos").alias("col_ix"), F.col("l_returnflag").alias("name"),
         F.when(F.col("l_quantity") > 45, "i8").otherwise("i4").alias("dtype"), F.lit(0).alias("ndim"),
     )
@@ -283,7 +283,7 @@ def _user_cards(spark, folder):
     """Users as headers: every event is a card with its k as integer value."""
     value = F.get_json_object("props", "$.k")
     cards = table(spark, folder, "events").select(
-        F.col("user_id").cast("string").alias("path"), F.lit("user").alias("type"),
+        F.col("user_id").cast("string").alias("path"), of_row("user", "user_id").alias("type"),
         F.lit(0).alias("obj_ix"), F.col("event_id").alias("pos"), F.upper("event_type").alias("key"),
         value.alias("value"),
         F.when(F.col("value") > 10, "int").otherwise("str").alias("value_type"),
@@ -316,7 +316,7 @@ def footer_check(spark, folder):
     """One key/value pair per event, read as the label's types."""
     value = F.get_json_object("props", "$.k")
     kv = table(spark, folder, "events").select(
-        F.col("event_id").cast("string").alias("path"), F.lit("event").alias("type"),
+        F.col("event_id").cast("string").alias("path"), of_row("event", "event_id").alias("type"),
         F.lit(0).alias("obj_ix"), F.lit(0).alias("pos"),
         F.when(F.col("event_type") == "view", "v").otherwise("k").alias("key"),
         value.alias("value"), F.lit("str").alias("value_type"),
@@ -369,7 +369,7 @@ def _conversation_nodes(spark, folder):
 
 def match_conversation_nodes(spark, folder):
     """Exact paths, bare names and regex paths."""
-    nodes = _conversation_nodes(spark, folder).withColumn("type", F.lit("conversation"))
+    nodes = _conversation_nodes(spark, folder).withColumn("type", of_row("conversation", "path"))
     found = match_nodes(nodes, Specs.from_labels(spark, [NODE_LABEL]))
     return found.select("path", F.element_at("node", -1).alias("turn"), "obj_ix")
 
@@ -383,7 +383,7 @@ def _catalog(spark, **frames):
 
 def _typed(paths, type_):
     return paths.select(
-        "path", F.lit(type_).alias("type"), F.array().cast("array<string>").alias("skips")
+        "path", of_row(type_, "path").alias("type"), F.array().cast("array<string>").alias("skips")
     ).distinct()
 
 

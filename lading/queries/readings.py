@@ -13,6 +13,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def of_row(value: str, column: str) -> Column:
+    """A constant type name tied to its row, so that it stays a join key."""
+    return F.when(F.col(column).isNotNull(), F.lit(value))
+
+
 def us(ts: str) -> Column:
     """Microseconds of a timestamp without zone, whatever the session's zone."""
     day = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
