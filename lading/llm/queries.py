@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lading.llm import langid, quality, simhash, toxicity
+from lading.llm import decontaminate, langid, quality, simhash, toxicity
 from lading.llm.common import fold, table
 
 
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, folder, "labels"))
@@ -35,6 +39,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_decontaminate": op5_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_language": op9_language,
