@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lading.llm import decontaminate, langid, quality, simhash, toxicity
+from lading.llm import decontaminate, langid, pieces, pii, quality, simhash, toxicity
 from lading.llm.common import fold, table
 
 
+def op1_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.mask(docs, "a key of this query's own").select("doc_id", "text", "n_replaced", "kinds")
+
+
+def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs, pieces.read_model())
+    return encoded.select("doc_id", F.size("ids").alias("n_pieces"), "lossless", "ids")
+
+
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -39,6 +50,8 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_surrogates": op1_surrogates,
+    "op4_pieces": op4_pieces,
     "op5_decontaminate": op5_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
