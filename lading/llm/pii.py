@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from lading.llm.common import whole_text
 
@@ -269,7 +269,7 @@ def collisions(found: DataFrame) -> DataFrame:
 def masked(text: Column, key: str) -> Column:
     """Struct of the masked text, the number of replaced mentions and their kinds."""
 
-    @F.pandas_udf(StructType().add("text", StringType()).add("n_replaced", "int").add("kinds", StringType()))
+    @F.pandas_udf(StructType().add("text", StringType()).add("n_replaced", IntegerType()).add("kinds", StringType()))
     def mask_all(texts: pd.Series) -> pd.DataFrame:
         masker = Masker(key)
         rows = []

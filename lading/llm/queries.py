@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lading.llm import decontaminate, langid, pieces, pii, quality, simhash, toxicity
-from lading.llm.common import fold, table
+from lading.llm import decontaminate, imatch, langid, licenses, pieces, pii, quality, simhash, toxicity, warc
+from lading.llm.common import fold, shared_folder, table
 
 
 def op1_surrogates(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,6 +16,15 @@ def op1_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return pii.mask(docs, "a key of this query's own").select("doc_id", "text", "n_replaced", "kinds")
 
 
+def op2_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.edited_likeness(table(spark, folder, "documents"))
+
+
+def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.drop("text")
+
+
 def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     encoded = pieces.encode(docs, pieces.read_model())
@@ -24,6 +35,14 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    records = warc.with_revisits(table(spark, folder, "pages"))
+    written = warc.write_monolithic(records, archives)
+    found = warc.read_all(warc.normalise_all(written))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, folder, "labels"))
@@ -51,11 +70,82 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_surrogates": op1_surrogates,
+    "op2_imatch": op2_imatch,
+    "op3_licenses": op3_licenses,
     "op4_pieces": op4_pieces,
     "op5_decontaminate": op5_decontaminate,
+    "op6_warc": op6_warc,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
 }
-ORACLE: dict[str, str] = {}
+_BASE = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _imatch_sql() -> str:
+    edges = ", ".join(f"'{e}'" for e in imatch.EDGES)
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+    coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id,
+    coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS next_text
+  FROM documents WINDOW w AS (ORDER BY doc_id DESC)),
+versions AS (
+  SELECT doc_id, 0 AS v, text FROM docs
+  UNION ALL
+  SELECT doc_id, 1, left(text, n - n // 3) || left(next_text, n // 3) FROM docs),
+terms AS (
+  SELECT DISTINCT doc_id, v, unnest(regexp_split_to_array({_BASE}, '[^\p{{L}}\p{{N}}]+')) AS term FROM versions),
+lexicon AS (
+  SELECT term FROM terms WHERE v = 0 AND term <> '' GROUP BY term
+  HAVING count(*) >= greatest(2, {imatch.LEAST_SHARE} * (SELECT count(*) FROM docs))
+     AND count(*) <= {imatch.MOST_SHARE} * (SELECT count(*) FROM docs)),
+parts AS (
+  SELECT term, k FROM lexicon, range({len(imatch.EDGES)}) AS t(k)
+  WHERE substr(md5(k || ':' || term), 1, 2) < [{edges}][k + 1]),
+hashes AS (
+  SELECT doc_id, v, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS h
+  FROM terms JOIN parts USING (term) GROUP BY doc_id, v, k),
+prints AS (
+  SELECT doc_id, v, list(coalesce(h, '{imatch.NONE}') ORDER BY k) AS f
+  FROM (SELECT doc_id, v, k FROM versions, range({len(imatch.EDGES)}) AS t(k)) LEFT JOIN hashes USING (doc_id, v, k)
+  GROUP BY doc_id, v),
+pairs AS (
+  SELECT d.doc_id, d.n AS n_chars, sha256(e.text) AS edited_sha256, a.f AS fa, b.f AS fb, c.f AS fc
+  FROM docs d JOIN versions e ON e.doc_id = d.doc_id AND e.v = 1
+  JOIN prints a ON a.doc_id = d.doc_id AND a.v = 0
+  JOIN prints b ON b.doc_id = d.doc_id AND b.v = 1
+  JOIN prints c ON c.doc_id = d.next_id AND c.v = 0)
+SELECT doc_id, n_chars, edited_sha256, array_to_string(fa, '.') AS fingerprint,
+  array_to_string(fb, '.') AS edited_fingerprint,
+  CASE WHEN fa = fb THEN 1.0::DOUBLE ELSE coalesce(
+    len(list_filter(list_zip(fa, fb), lambda x: x[1] = x[2] AND x[1] <> '{imatch.NONE}'))::DOUBLE
+    / nullif(len(list_filter(list_zip(fa, fb), lambda x: x[1] <> '{imatch.NONE}' OR x[2] <> '{imatch.NONE}')), 0), 1) END AS near_edited,
+  CASE WHEN fa = fc THEN 1.0::DOUBLE ELSE coalesce(
+    len(list_filter(list_zip(fa, fc), lambda x: x[1] = x[2] AND x[1] <> '{imatch.NONE}'))::DOUBLE
+    / nullif(len(list_filter(list_zip(fa, fc), lambda x: x[1] <> '{imatch.NONE}' OR x[2] <> '{imatch.NONE}')), 0), 1) END AS near_next
+FROM pairs
+"""
+
+
+_WARC_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+  FROM pages),
+hexed AS (
+  SELECT page_id, payload, last,
+    array_to_string(list_transform(range(1, 41), lambda i:
+      lpad(bin(instr('0123456789abcdef', substr(sha1(payload), i, 1)) - 1), 4, '0')), '') AS bits
+  FROM payloads)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + 16 * CAST(substr(bits, 1 + 5 * i, 1) AS INT) + 8 * CAST(substr(bits, 2 + 5 * i, 1) AS INT)
+      + 4 * CAST(substr(bits, 3 + 5 * i, 1) AS INT) + 2 * CAST(substr(bits, 4 + 5 * i, 1) AS INT)
+      + CAST(substr(bits, 5 + 5 * i, 1) AS INT) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM hexed
+"""
+
+ORACLE: dict[str, str] = {"op2_imatch": _imatch_sql(), "op6_warc": _WARC_SQL}
