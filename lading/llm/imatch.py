@@ -67,8 +67,9 @@ def _constant(numbers: list[int]) -> Column:
 def fingerprinter(words: DataFrame):
     """Function from a text column to its fingerprint column, for a lexicon of (term, n)."""
     mask = sum((F.when(F.substring(F.md5(F.concat(F.lit(f"{k}:"), "term")), 1, 2) < e, 1 << k).otherwise(0) for k, e in enumerate(EDGES)), F.lit(0))
-    rows = words.select(F.xxhash64("term").alias("h"), mask.alias("m")).filter("m <> 0").collect()
-    tables, power = _tables([(r["h"], r["m"]) for r in rows])
+    # terms of no subset go here, as Spark would move a filter on m, with its hashes, before the counting
+    rows = words.select(F.xxhash64("term").alias("h"), mask.alias("m")).collect()
+    tables, power = _tables([(r["h"], r["m"]) for r in rows if r["m"]])
     key1, mask1, key2, mask2 = map(_constant, tables)
     second = 20 if power <= 20 else 30
 
