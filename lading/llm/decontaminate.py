@@ -47,29 +47,35 @@ def _places(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
-def word_hashes(text: str, memo: dict[str, int]) -> np.ndarray:
+class Memo(dict):
+    """32-bit hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = h = zlib.crc32(word.encode())
+        return h
+
+
+def word_hashes(text: str, memo: Memo) -> np.ndarray:
     """32-bit hash of each lower-cased word."""
-    out = []
-    for word in WORD.findall(text.lower()):
-        h = memo.get(word)
-        if h is None:
-            if len(memo) >= MEMO:
-                memo.clear()
-            h = memo[word] = zlib.crc32(word.encode())
-        out.append(h)
-    return np.array(out, np.uint64)
+    words = WORD.findall(text.lower())
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+
+
+#: An odd factor for each place of a mask, of the first mask, then the next.
+FACTORS = np.random.default_rng(5).integers(0, 1 << 63, (len(MASKS), SPAN), dtype=np.uint64) * 2 + 1
 
 
 def seeds(words: np.ndarray) -> list[np.ndarray]:
     """For each mask, the hash of each window, as signed 64-bit numbers."""
     count = max(0, len(words) - SPAN + 1)
     out = []
-    for m, mask in enumerate(MASKS):
-        h = np.full(count, 2 * m + 1, np.uint64)
+    for mask, factors in zip(MASKS, FACTORS, strict=True):
+        h = np.zeros(count, np.uint64)
         for i in _places(mask):
-            h = (h ^ words[i : i + count]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        out.append(h.view(np.int64))
+            h += words[i : i + count] * factors[i]
+        out.append((h ^ (h >> np.uint64(32))).view(np.int64))
     return out
 
 
@@ -80,7 +86,7 @@ def _slot(h: np.ndarray, probe: int, power: int) -> np.ndarray:
 
 def benchmark_seeds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(item_id, at, seed) for each mask and window of each item."""
-    memo: dict[str, int] = {}
+    memo = Memo()
     for frame in frames:
         rows = []
         for item, text in zip(frame["item_id"], frame["text"], strict=True):
@@ -113,7 +119,7 @@ def _regions(bitmap):
     def regions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, power = bitmap.value
         known = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").view(bool)
-        memo: dict[str, int] = {}
+        memo = Memo()
         for frame in frames:
             rows = []
             for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
@@ -160,7 +166,7 @@ for _name in ("item_at", "n_words", "n_equal", "wanted"):
 
 @pandas_udf(VERDICT)
 def _verify(words: pd.Series, item: pd.Series, shift: pd.Series) -> pd.DataFrame:
-    memo: dict[str, int] = {}
+    memo = Memo()
     out = []
     for text, other, s in zip(words, item, shift, strict=True):
         other = word_hashes(other, memo).astype(np.int64)
