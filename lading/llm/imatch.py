@@ -40,7 +40,7 @@ def lexicon(docs: DataFrame) -> DataFrame:
 
 def _tables(rows: list[tuple[int, int]]) -> tuple[list[list[int]], int]:
     """Two hash tables (keys, masks, keys, masks) in which each key has one of two places."""
-    power = max(4, (4 * len(rows)).bit_length())
+    power = max(4, len(rows).bit_length())
     while True:
         size = 1 << power
         keys, masks = ([[0] * size, [0] * size] for _ in range(2))
