@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lading import schemas
+from lading.sources.files import spread
 from lading.sources.probes import _open
 
 _FIELDS = ["path", "object", "check", "key", "message"]
@@ -61,7 +62,7 @@ def run_file_hooks(
                 if rows:
                     yield pd.DataFrame(rows, columns=_FIELDS, dtype=object)
 
-    return chosen.mapInPandas(run, schemas.FAILURES)
+    return spread(chosen, "path").mapInPandas(run, schemas.FAILURES)
 
 
 def run_set_hooks(files: DataFrame, hooks: Mapping[str, SetHook]) -> DataFrame | None:
@@ -77,12 +78,8 @@ def run_set_hooks(files: DataFrame, hooks: Mapping[str, SetHook]) -> DataFrame |
 
 def merge_failures(standard: DataFrame, hooked: DataFrame) -> DataFrame:
     """U4: standard and hook failures; hook rows may only use ``hook:`` checks."""
-    guarded = hooked.withColumn(
-        "check",
-        F.when(F.col("check").startswith("hook:"), F.col("check")).otherwise(
-            F.raise_error(
-                F.concat(F.lit("failure namespace collision: "), F.col("check"))
-            ).cast("string")
-        ),
-    )
+    collision = F.raise_error(F.concat(F.lit("failure namespace collision: "), F.col("check")))
+    own = F.coalesce(F.col("check").startswith("hook:"), F.lit(False))
+    # a filter, as a column nobody reads would be pruned with its check
+    guarded = hooked.filter(F.when(own, True).otherwise(collision.cast("boolean")))
     return standard.unionByName(guarded.select(*standard.columns))

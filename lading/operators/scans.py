@@ -55,7 +55,7 @@ def _carry(totals: DataFrame, keys: Sequence[str], columns: Mapping[str, Column]
 def _join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     condition = F.col(_BUCKET) == F.col("__carry_bucket")
     for key in reversed(keys):
-        condition = (F.col(key) == F.col(f"__carry_{key}")) & condition
+        condition = F.col(key).eqNullSafe(F.col(f"__carry_{key}")) & condition
     return rows.join(carry, condition, "left").drop(
         "__carry_bucket", *[f"__carry_{k}" for k in keys]
     )

@@ -77,11 +77,9 @@ def enforce_event_format(rows: DataFrame, strict: bool = False) -> DataFrame:
     """With `strict`, a malformed row fails the batch that holds it."""
     if not strict:
         return rows
-    checked = F.when(
-        F.col("problem").isNotNull(),
-        F.raise_error(F.concat(F.col("problem"), F.lit(" in "), F.col("chunk"))).cast("string"),
-    ).otherwise(F.col("time"))
-    return rows.withColumn("time", checked)
+    failed = F.raise_error(F.concat(F.col("problem"), F.lit(" in "), F.col("chunk")))
+    # a filter, as a column nobody reads would be pruned with its check
+    return rows.filter(F.when(F.col("problem").isNotNull(), failed.cast("boolean")).otherwise(True))
 
 
 def good_rows(rows: DataFrame) -> DataFrame:

@@ -15,6 +15,18 @@ from lading.functions.names import relative_path
 from lading.operators.manifest import check_index_header
 
 
+def spread(work: DataFrame, *keys: str) -> DataFrame:
+    """Rows that each stand for the opening of a file, dealt over all cores.
+
+    The number of partitions is given, as adaptive execution would otherwise
+    put many rows of few bytes into one task.
+    """
+    spark = work.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    number = 2 * max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return work.repartition(number, *keys)
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """`path` (relative), `length`, `mtime` of all files below a root.
 
@@ -51,7 +63,7 @@ def from_manifest(index: DataFrame, root: str) -> DataFrame:
                 dtype=object,
             )[found]
 
-    return index.select("path").mapInPandas(stat, "path string, length bigint, mtime timestamp")
+    return spread(index.select("path"), "path").mapInPandas(stat, "path string, length bigint, mtime timestamp")
 
 
 def open_filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -159,7 +171,7 @@ def add_checksums(files: DataFrame, root: str, piece: int = 128 << 20) -> DataFr
         F.explode(
             F.sequence(F.lit(0), F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / piece))
         ).alias("ix"),
-    ).repartition("path", "ix")
+    )
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -169,7 +181,7 @@ def add_checksums(files: DataFrame, root: str, piece: int = 128 << 20) -> DataFr
                 rows.append((path, int(ix), size, _range_crc(root, path, int(ix) * piece, size)))
             yield pd.DataFrame(rows, columns=["path", "ix", "size", "crc"], dtype=object)
 
-    crcs = pieces.mapInPandas(read, "path string, ix bigint, size bigint, crc bigint")
+    crcs = spread(pieces, "path", "ix").mapInPandas(read, "path string, ix bigint, size bigint, crc bigint")
 
     @F.pandas_udf("string")
     def joined(pieces_of_file: pd.Series) -> pd.Series:
@@ -216,4 +228,4 @@ def read_magic(files: DataFrame, root: str) -> DataFrame:
                     heads.append(stream.read(LONGEST_MAGIC))
             yield pd.DataFrame({"path": batch["path"], "magic": heads}, dtype=object)
 
-    return files.select("path").mapInPandas(read, "path string, magic binary")
+    return spread(files.select("path"), "path").mapInPandas(read, "path string, magic binary")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lading.functions.dtypes import arrow_dtype_code
-from lading.sources.files import open_filesystem
+from lading.sources.files import open_filesystem, spread
 
 _FOOTER = (
     "path string, kind string, ix int, name string, dtype string, "
@@ -63,7 +63,7 @@ def probe_footers(files: DataFrame, root: str) -> DataFrame:
     Only footers are read (O5), whatever the file's size, so files are spread
     by their path alone.
     """
-    spread = files.select("path").distinct()
+    once = spread(files.select("path").distinct(), "path")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -72,7 +72,7 @@ def probe_footers(files: DataFrame, root: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=_FIELDS, dtype=object)
 
-    return spread.mapInPandas(probe, _FOOTER)
+    return once.mapInPandas(probe, _FOOTER)
 
 
 def columns_of(footers: DataFrame) -> DataFrame:
@@ -122,11 +122,7 @@ def scan_parquet_integrity(footers: DataFrame, root: str) -> DataFrame:
     The unit of work is a row group, shuffled by (path, row group): a file that
     holds most of the bytes is read by many tasks, batch by batch.
     """
-    groups = (
-        footers.filter(F.col("kind") == "row_group")
-        .select("path", "ix")
-        .repartition("path", "ix")
-    )
+    groups = spread(footers.filter(F.col("kind") == "row_group").select("path", "ix"), "path", "ix")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

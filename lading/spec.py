@@ -119,7 +119,10 @@ class Specs:
     def with_objects(
         self, objects: DataFrame, columns: DataFrame, regexes: frozenset[str] | None = None
     ) -> Specs:
-        return replace(self, objects=objects, columns=columns, known_regexes=regexes)
+        known = None
+        if regexes is not None and self.known_regexes is not None:
+            known = regexes | self.known_regexes  # values and metadata keep theirs
+        return replace(self, objects=objects, columns=columns, known_regexes=known)
 
 
 def local_table(spark: SparkSession, rows: list[tuple], layout: str) -> DataFrame:
