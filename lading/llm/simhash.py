@@ -36,6 +36,7 @@ from lading.materialise import cut
 BITS, RADIUS, SEED = 64, 4, 42
 CROWD = 256  # different fingerprints in a bucket from which shared points are cheaper than pairs
 BANDS, BAND_ROWS = 16, 4  # at a resemblance of 0.8: 0.02 % of the pairs share no band
+PAIRED = 8  # members up to which a band's bucket is paired wholly, at most four pairs a member
 BLOCK = 1 << 16  # shingle hashes unpacked at once
 
 
@@ -169,13 +170,20 @@ def _shingle_set(texts: pd.Series) -> pd.Series:
 
 
 def _band_candidates(nodes: DataFrame) -> DataFrame:
-    """Each member of a band's bucket with the bucket's centre, another one in every band."""
+    """Pairs to compare: all of a band's bucket of at most PAIRED members, else each with the bucket's centre.
+
+    A larger bucket has another centre in every band.
+    """
     band = F.posexplode("bands").alias("band", "value")
     rows = nodes.select("id", band).select("id", F.xxhash64("band", "value").alias("key"))
     centre = F.min(F.struct(F.xxhash64("key", "id").alias("rank"), F.col("id").alias("id")))["id"]
-    centres = rows.groupBy("key").agg(centre.alias("a"), F.count("*").alias("n")).filter("n > 1")
-    pairs = rows.join(centres.select("key", "a"), "key").filter("id <> a")
-    return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+    centres = rows.groupBy("key").agg(centre.alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    shared = cut(rows.join(centres, "key"))
+    few = shared.filter(F.col("n") <= PAIRED)
+    left, right = (few.select("key", F.col("id").alias(x)) for x in "ab")
+    pairs = left.join(right, "key").filter("a < b").select("a", "b")
+    many = shared.filter((F.col("n") > PAIRED) & (F.col("id") != F.col("centre")))
+    return pairs.unionByName(many.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")))
 
 
 def near_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
