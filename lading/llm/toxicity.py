@@ -21,12 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import BinaryType
 
 from lading.llm.common import agreed_labels, balanced_sample, fold
 
 PER_CLASS = 5000  # sampled training rows of each label; the bound of what is fitted on
 SLOTS = 1 << 22  # hashed terms
+BLOCK = 1 << 18  # slots weighed at once, to spare the driver's memory
 LEAST_Z = 3.0
 RANK, EPOCHS, BATCH, RATE = 4, 12, 64, 0.1
 LASSO = 0.0002  # shrinks single weights to zero, factors follow
@@ -44,9 +45,11 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-@pandas_udf(ArrayType(IntegerType()))
+@pandas_udf(BinaryType())
 def _terms(texts: pd.Series) -> pd.Series:
-    return pd.Series([np.unique([t for w in words_of(x) for t in terms_of(w)]).astype(np.int32) for x in texts])
+    """Distinct terms of each text as the bytes of 32-bit numbers."""
+    found = (np.unique([t for w in words_of(x) for t in terms_of(w)]).astype("<i4") for x in texts)
+    return pd.Series([f.tobytes() for f in found])
 
 
 def _by_row(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -65,11 +68,17 @@ def margins(w0, w, v, flat, sizes):
 
 def telling(texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Terms whose share of texts differs between the labels beyond chance."""
-    seen = [np.bincount(np.concatenate([t for t, l in zip(texts, y) if l == k]), minlength=SLOTS) for k in (0, 1)]
+    seen = [np.zeros(SLOTS, np.int32) for _ in range(2)]
+    for t, label in zip(texts, y, strict=True):
+        seen[label][t] += 1  # a text's terms are distinct
     sizes = np.bincount(y, minlength=2)
-    both = (seen[0] + seen[1]) / sizes.sum()
-    error = np.sqrt(both * (1 - both) * (1 / sizes[0] + 1 / sizes[1])) + 1e-12
-    return np.flatnonzero(np.abs(seen[1] / sizes[1] - seen[0] / sizes[0]) >= LEAST_Z * error)
+    found = []
+    for at in range(0, SLOTS, BLOCK):
+        no, yes = (s[at : at + BLOCK] for s in seen)
+        both = (no + yes) / sizes.sum()
+        error = np.sqrt(both * (1 - both) * (1 / sizes[0] + 1 / sizes[1])) + 1e-12
+        found.append(at + np.flatnonzero(np.abs(yes / sizes[1] - no / sizes[0]) >= LEAST_Z * error))
+    return np.concatenate(found)
 
 
 def fit(texts: list[np.ndarray], y: np.ndarray, prior: float, seed: int = 7) -> dict:
@@ -121,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dic
     rows = known.select("doc_id", "y", _terms("text").alias("terms")).toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    return fit([np.asarray(t) for t in rows["terms"]], rows["y"].to_numpy(), prior)
+    return fit([np.frombuffer(t, "<i4") for t in rows["terms"]], rows["y"].to_numpy(), prior)
 
 
 def scorer(model: dict):
