@@ -79,45 +79,39 @@ def dtype_code(data_type: T.DataType) -> str:
     return _SPARK_CODES.get(type(data_type), "O")
 
 
-def _numpy_code(data_type: pa.DataType) -> str:
-    if pa.types.is_boolean(data_type):
-        return "b1"
-    if pa.types.is_date(data_type):
-        return "M8[D]"
-    if pa.types.is_timestamp(data_type):
-        return f"M8[{data_type.unit}]"
-    if pa.types.is_duration(data_type):
-        return f"m8[{data_type.unit}]"
-    if pa.types.is_unsigned_integer(data_type):
-        return f"u{data_type.bit_width // 8}"
-    if pa.types.is_integer(data_type):
-        return f"i{data_type.bit_width // 8}"
-    if pa.types.is_floating(data_type):
-        return f"f{data_type.bit_width // 8}"
-    return "O"
+# Code of each Arrow type, by type id; {t} is the type.
+_ARROW_CODES = {
+    pa.bool_().id: "b1",
+    pa.uint8().id: "u1",
+    pa.uint16().id: "u2",
+    pa.uint32().id: "u4",
+    pa.uint64().id: "u8",
+    pa.int8().id: "i1",
+    pa.int16().id: "i2",
+    pa.int32().id: "i4",
+    pa.int64().id: "i8",
+    pa.float16().id: "f2",
+    pa.float32().id: "f4",
+    pa.float64().id: "f8",
+    pa.date32().id: "M8[D]",
+    pa.date64().id: "M8[D]",
+    pa.timestamp("s").id: "M8[{t.unit}]",
+    pa.duration("s").id: "m8[{t.unit}]",
+    pa.time32("s").id: "O",
+    pa.time64("us").id: "O",
+    pa.binary().id: "O",
+    pa.binary(1).id: "V{t.byte_width}",
+}
 
 
 def arrow_dtype_code(field: pa.Field, physical_type: str, nested: bool) -> str:
-    """code of one Parquet column from its Arrow type.
+    """code of one Parquet column: by its Arrow type, nested ones ``O``.
 
-    Types without a code of their own take the one of their physical type;
-    columns with nested elements are always ``O``.  INT96 without a datetime
-    meaning is an error.
+    What has neither (texts, decimals, dictionaries) is stored as its physical
+    type says; a physical type without a code is an error.
     """
-    data_type = field.type
-    if pa.types.is_date(data_type) or pa.types.is_primitive(data_type):
-        return _numpy_code(data_type)
-    if pa.types.is_fixed_size_binary(data_type):
-        return f"V{data_type.byte_width}"
-    if pa.types.is_binary(data_type) or nested:
-        return "O"
-    if physical_type == "INT96":
-        raise TypeError(
-            f"column {field.name} uses the deprecated INT96 type without a "
-            "datetime logical type"
-        )
-    if physical_type == "FIXED_LEN_BYTE_ARRAY":
-        return f"V{data_type.byte_width}"
-    if physical_type not in PHYSICAL_CODES:
-        raise TypeError(f"unknown physical type {physical_type} on {field.name}")
-    return PHYSICAL_CODES[physical_type]
+    by_storage = PHYSICAL_CODES | {"FIXED_LEN_BYTE_ARRAY": "V{t.byte_width}"}
+    code = _ARROW_CODES.get(field.type.id) or ("O" if nested else by_storage.get(physical_type))
+    if code is None:
+        raise TypeError(f"{field.name}: no dtype code for physical type {physical_type}")
+    return code.format(t=field.type)
