@@ -202,7 +202,9 @@ def near_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
     equal = sketches.select("doc_id", "fp", same).join(nodes.select("fp", "same", "id"), ["fp", "same"])
     equal = equal.filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     one = nodes.groupBy("fp").agg(F.min("id").alias("id"))
-    pairs = cut(links(one).unionByName(_band_candidates(nodes)).distinct())
+    alike = nodes.join(one.select("fp", F.col("id").alias("a")), "fp").filter("a <> id")  # other shingles, same SimHash
+    alike = alike.select("a", F.col("id").alias("b"))
+    pairs = cut(links(one).unionByName(alike).unionByName(_band_candidates(nodes)).distinct())
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     texts = known.select("doc_id", "text").join(wanted.distinct(), "doc_id", "left_semi")
     shingles = _shingle_set(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
