@@ -11,31 +11,36 @@ from pyspark.sql import functions as F
 
 from lading.functions.names import basename
 
-# Magic number (hex) -> canonical extension, longest first.
+# Magic number -> canonical extension, longest first.
 COMPRESSION_MAGIC = (
-    ("894C5A4F000D0A1A0A", ".lzo"),
-    ("FD377A585A00", ".xz"),
-    ("377ABCAF271C", ".7z"),
-    ("526172211A07", ".rar"),
-    ("28B52FFD", ".zst"),
-    ("04224D18", ".lz4"),
-    ("4C5A4950", ".lz"),
-    ("504B0304", ".zip"),
-    ("5D0000", ".lzma"),
-    ("1F8B08", ".gz"),
-    ("425A68", ".bz2"),
-    ("425A30", ".bz"),
-    ("1F1E", ".z"),
-    ("1F1F", ".z"),
-    ("1F8B", ".z"),
-    ("1F9D", ".z"),
-    ("1F9E", ".z"),
-    ("1F9F", ".z"),
-    ("1FA0", ".z"),
-    ("1FA1", ".z"),
-    ("1FFF", ".z"),
+    (b"\x89LZO\x00\r\n\x1a\n", ".lzo"),
+    (b"\xfd7zXZ\x00", ".xz"),
+    (b"7z\xbc\xaf\x27\x1c", ".7z"),
+    (b"Rar!\x1a\x07", ".rar"),
+    (b"\x28\xb5\x2f\xfd", ".zst"),
+    (b"\x04\x22\x4d\x18", ".lz4"),
+    (b"LZIP", ".lz"),
+    (b"PK\x03\x04", ".zip"),
+    (b"\x5d\x00\x00", ".lzma"),
+    (b"\x1f\x8b\x08", ".gz"),
+    (b"BZh", ".bz2"),
+    (b"BZ0", ".bz"),
+    (b"\x1f\x1e", ".z"),
+    (b"\x1f\x1f", ".z"),
+    (b"\x1f\x8b", ".z"),
+    (b"\x1f\x9d", ".z"),
+    (b"\x1f\x9e", ".z"),
+    (b"\x1f\x9f", ".z"),
+    (b"\x1f\xa0", ".z"),
+    (b"\x1f\xa1", ".z"),
+    (b"\x1f\xff", ".z"),
 )
 LONGEST_MAGIC = 9
+# What is said when name and content differ, or of a format that isn't taken.
+VERDICT_TEXTS = {
+    "differs": "file extension indicates contents %s but they %s",
+    "refused": "files in %s format are not accepted",
+}
 # Extension -> name of the format.
 COMPRESSION_NAMES = {
     ".gz": "gzip", ".bz2": "bzip2", ".lz4": "LZ4", ".lzo": "LZO", ".xz": "XZ",
@@ -56,13 +61,12 @@ def crc32_text(crc: int) -> str:
 
 def compression_of(magic: Column) -> Column:
     """extension of the compression whose magic number starts `magic`."""
-    head = F.hex(F.substring(magic, 1, LONGEST_MAGIC))
 
-    def clause(tail: Column, entry: tuple[str, str]) -> Column:
+    def clause(tail: Column, entry: tuple[bytes, str]) -> Column:
         code, extension = entry
-        hit = head.startswith(code)
+        hit = magic.startswith(F.lit(code))
         if extension == ".bz2":  # a block size digit 1-9 follows
-            hit = head.rlike(f"^{code}3[1-9]")
+            hit = hit & F.substring(magic, len(code) + 1, 1).between(F.lit(b"1"), F.lit(b"9"))
         return F.when(hit, F.lit(extension)).otherwise(tail)
 
     return reduce(clause, reversed(COMPRESSION_MAGIC), F.lit(None).cast("string"))
@@ -79,26 +83,21 @@ def _format_name(extension: Column) -> Column:
 def check_compression(path: Column, magic: Column) -> Column:
     """struct(extension, problem): do name and content agree, is it allowed?
 
-    An empty file is taken at its suffix; only gzip is accepted.
+    An empty file, or one whose content isn't known, is taken at its suffix;
+    only gzip is accepted.
     """
     suffix = F.lower(F.regexp_extract(basename(path), r"[^.](\.[^.]+)$", 1))
     suffix = F.when(suffix.isin(*COMPRESSION_NAMES), suffix)
-    content = compression_of(magic)
-    empty = F.length(magic) == 0
-    agreed = empty | content.eqNullSafe(suffix)
-    expected = F.when(suffix.isNull(), F.lit("should be uncompressed")).otherwise(
-        F.concat(F.lit("use "), _format_name(suffix), F.lit(" compression"))
-    )
-    found = F.when(content.isNull(), F.lit("are uncompressed")).otherwise(
-        F.concat(F.lit("use "), _format_name(content), F.lit(" compression"))
-    )
+    empty = F.coalesce(F.length(magic), F.lit(0)) == 0
+    content = F.when(empty, suffix).otherwise(compression_of(magic))
+    verdict = F.when(~content.eqNullSafe(suffix), "differs").when(suffix != ".gz", "refused").otherwise("fine")
+
+    def state(extension: Column, plain: str) -> Column:
+        used = F.format_string("use %s compression", _format_name(extension))
+        return F.when(extension.isNull(), plain).otherwise(used)
+
+    states = state(suffix, "should be uncompressed"), state(content, "are uncompressed")
     problem = F.when(
-        ~agreed,
-        F.concat(
-            F.lit("file extension indicates contents "), expected, F.lit(" but they "), found
-        ),
-    ).when(
-        suffix.isNotNull() & (suffix != ".gz"),
-        F.concat(F.lit("files in "), _format_name(suffix), F.lit(" format are not accepted")),
-    )
-    return F.struct(F.when(agreed, suffix).alias("extension"), problem.alias("problem"))
+        verdict == "differs", F.format_string(VERDICT_TEXTS["differs"], *states)
+    ).when(verdict == "refused", F.format_string(VERDICT_TEXTS["refused"], _format_name(suffix)))
+    return F.struct(F.when(verdict != "differs", suffix).alias("extension"), problem.alias("problem"))

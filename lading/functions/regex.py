@@ -142,6 +142,12 @@ def java_pattern(pattern: Column, mode: str) -> Column:
     return translate(pattern)
 
 
+def java_or_error(pattern: Column, mode: str) -> Column:
+    """The same where a pattern without JVM form must not go unnoticed."""
+    lost = F.raise_error(F.concat(F.lit("pattern without a JVM form: "), pattern)).cast("string")
+    return F.when(pattern.isNotNull(), F.coalesce(java_pattern(pattern, mode), lost))
+
+
 def regex_test_by_row(subject: Column, pattern: Column, mode: str) -> Column:
     """Test each row's subject with that row's own Python pattern."""
 

@@ -12,71 +12,79 @@ SI_EXPONENTS = {
 }
 IEC_PREFIXES = "K M G T P E Z Y R Q".split()
 
+# Texts of sizes and addresses that can't be taken; %s is what was written.
+SIZE_TEXTS = {
+    "unread": "invalid number '%s'",
+    "negative": "may not be negative",
+    "bits": "cannot scale from bits to bytes",
+    "unit": "unrecognized scale suffix '%s'",
+    "zero": "may not be zero",
+    "large": "too large",
+}
+EMAIL_TEXTS = {
+    "whole": "'%s' has no @domain component",
+    "local": "'%s' has forbidden characters in the user@ part",
+    "domain": "'%s' doesn't end with a fully qualified domain name",
+    "parts": "'%s' contains too many @-signs",
+}
+
 _BIG = "decimal(38,0)"
-_BYTES = r"^\s*([-−+]?)\s*([0-9',._\s]+?)\s*([a-zA-Z]*)\s*$"
 
 
-def _scales() -> dict[str, int]:
-    scales = {"": 1} | {s: 10**e for s, e in SI_EXPONENTS.items()}
-    scales |= {f"{p}i": 1024 ** (i + 1) for i, p in enumerate(IEC_PREFIXES)}
-    return scales | {"ki": 1024}
+def _units() -> dict[str, int]:
+    """Bytes of every unit, with and without its final B."""
+    bare = {"": 1, "ki": 1024} | {s: 10**e for s, e in SI_EXPONENTS.items()}
+    bare |= {f"{p}i": 1024**n for n, p in enumerate(IEC_PREFIXES, 1)}
+    return bare | {f"{unit}B": n for unit, n in bare.items()}
+
+
+def _first_text(texts: dict[str, str], written: Column, faults: dict[str, Column]) -> Column:
+    """Text of the first fault that holds, NULL if none does."""
+    found = [F.when(faults[k], F.format_string(texts[k], written)) for k in faults]
+    return F.coalesce(*found)
 
 
 def parse_bytes(text: Column) -> Column:
-    """F8: struct(bytes decimal(38,0), problem) of a size such as ``5 MiB``."""
-    sign = F.regexp_extract(text, _BYTES, 1)
-    written = F.regexp_extract(text, _BYTES, 3)
-    digits = F.regexp_replace(F.regexp_extract(text, _BYTES, 2), r"[',._\s]+", "")
-    suffix = F.regexp_replace(written, "B$", "")
-    known = [F.lit(text) for kv in _scales().items() for text in (kv[0], str(kv[1]))]
-    scale = F.create_map(*known)[suffix].cast(_BIG)  # a literal map once folded
-    number = digits.try_cast(_BIG)
+    """F8: struct(bytes decimal(38,0), problem) of a size such as ``5 MiB``.
+
+    Blanks and the marks that group digits are taken out, but not inside or
+    behind the unit; a sign, digits and a unit must be left.
+    """
+    compact = F.regexp_replace(text, r"\s+$|(?<![a-zA-Z])[\s',._]+", "")
+    unit = F.regexp_extract(compact, "[a-zA-Z]*$", 0)
+    number = F.regexp_extract(compact, "[0-9]+", 0).try_cast(_BIG)
+    known = [F.lit(x) for kv in _units().items() for x in (kv[0], str(kv[1]))]
+    scale = F.create_map(*known)[unit].cast(_BIG)  # a literal map once folded
     product = F.try_multiply(number, scale).try_cast(_BIG)
-    problem = (
-        F.when(text.isNull(), F.lit(None).cast("string"))
-        .when(
-            ~text.rlike(_BYTES) | (digits == ""),
-            F.concat(F.lit("invalid number '"), text, F.lit("'")),
-        )
-        .when(~sign.isin("", "+"), F.lit("may not be negative"))
-        .when(
-            scale.isNull() & suffix.endswith("b"),
-            F.lit("cannot scale from bits to bytes"),
-        )
-        .when(
-            scale.isNull(),
-            F.concat(F.lit("unrecognized scale suffix '"), written, F.lit("'")),
-        )
-        .when(digits.rlike("^0+$"), F.lit("may not be zero"))
-        .when(product.isNull(), F.lit("too large"))
-    )
+    faults = {
+        "unread": ~compact.rlike("^[-−+]?[0-9]+[a-zA-Z]*$"),
+        "negative": compact.rlike("^[-−]"),
+        "bits": scale.isNull() & unit.endswith("b"),
+        "unit": scale.isNull(),
+        "zero": number == 0,
+        "large": product.isNull(),
+    }
+    written = F.when(compact.rlike("^[-−+]?[0-9]+[a-zA-Z]*$"), unit).otherwise(text)
+    problem = F.when(text.isNotNull(), _first_text(SIZE_TEXTS, written, faults))
     return F.struct(
         F.when(problem.isNull(), product).alias("bytes"), problem.alias("problem")
     )
 
 
-# (?u)-style letters and digits before the first @, plus the marks below.
-_LOCAL_PART = r"(?U)\A[\p{L}\p{N}_.!#$%&'*+/=?^`{|}~-]+@"
-
-
 def email_problem(address: Column) -> Column:
-    """what is syntactically wrong with an e-mail address (NULL if nothing)."""
-    quoted = F.concat(F.lit("'"), address, F.lit("'"))
-    domain = F.substring(address, F.instr(address, "@") + 1, 1 << 30)
-    return (
-        F.when(~address.contains("@"), F.concat(quoted, F.lit(" has no @domain component")))
-        .when(
-            ~address.rlike(_LOCAL_PART),
-            F.concat(quoted, F.lit(" has forbidden characters in the user@ part")),
-        )
-        .when(
-            ~domain.contains("."),
-            F.concat(quoted, F.lit(" doesn't end with a fully qualified domain name")),
-        )
-        .when(
-            domain.contains("@"), F.concat(quoted, F.lit(" contains too many @-signs"))
-        )
-    )
+    """what is syntactically wrong with an e-mail address (NULL if nothing).
+
+    The part before the @ may hold what the HTML standard's e-mail fields
+    take, and letters and digits of any script.
+    """
+    parts = F.split(address, "@")
+    faults = {
+        "whole": F.size(parts) < 2,
+        "local": ~parts[0].rlike(r"^[\p{L}\p{N}.!#$%&'*+/=?^_`{|}~-]+\z"),
+        "domain": ~F.array_join(F.slice(parts, 2, 1 << 30), "@").contains("."),
+        "parts": F.size(parts) > 2,
+    }
+    return F.when(address.isNotNull(), _first_text(EMAIL_TEXTS, address, faults))
 
 
 def _bad(text: Column, what: str) -> Column:

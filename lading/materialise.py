@@ -9,9 +9,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
-
-LABEL_ROWS = 100_000  # rows of a label that may pass through the driver
 
 
 def _checkpoint_folder(df: DataFrame) -> None:
@@ -29,15 +26,3 @@ def _checkpoint_folder(df: DataFrame) -> None:
 def cut(df: DataFrame) -> DataFrame:
     _checkpoint_folder(df)
     return df.checkpoint()
-
-
-def as_label(df: DataFrame, layout: str) -> DataFrame:
-    """A spec table as a local relation when it has the size of a label.
-
-    The planner then knows its size (and broadcasts it when small enough);
-    anything larger stays distributed.
-    """
-    ready = cut(df)
-    if ready.count() > LABEL_ROWS:
-        return ready
-    return df.sparkSession.createDataFrame(ready.toArrow(), StructType.fromDDL(layout))

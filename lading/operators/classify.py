@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lading.functions.names import basename
-from lading.functions.regex import java_pattern, regex_test
+from lading.functions.regex import java_or_error, regex_test
 from lading.spec import DATA_STANDARDS, Specs
 
 # How a file-name pattern is applied: (tested text, regex mode).
@@ -59,11 +59,11 @@ def match_types_by_delivery(
 
     Patterns are gathered into one array per delivery (its size is that of
     the label) and joined on the delivery key, so no file x pattern pairs are
-    produced.  Patterns must be portable to the JVM.
+    produced.  A pattern that has no JVM form is an error.
     """
     subject, mode = ANCHORING[match]
     delivery = ["dataset", "delivery_id"]
-    per_type = patterns.withColumn("java", java_pattern(F.col("pattern"), mode))
+    per_type = patterns.withColumn("java", java_or_error(F.col("pattern"), mode))
     per_type = per_type.groupBy(*delivery, "type").agg(
         F.collect_list(F.when(F.col("include"), F.col("java"))).alias("includes"),
         F.collect_list(F.when(~F.col("include"), F.col("java"))).alias("excludes"),

@@ -269,12 +269,26 @@ def progress(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def delivery_report(
-    index: DataFrame, states: DataFrame, delivery: dict[str, str]
+    index: DataFrame, states: DataFrame, delivery: dict[str, str], events: DataFrame | None = None
 ) -> DataFrame:
-    """One row per delivery; the errors themselves are `delivery_errors`."""
+    """One row per delivery; the errors themselves are `delivery_errors`.
+
+    With `events`, each transfer of a file that the manifest doesn't know
+    counts among the failures too.
+    """
     joined = manifest_states(index.filter("will_transfer"), states)
-    counts = joined.agg(
-        F.count(F.lit(1)).alias("files_expected"),
+    rows = joined.select("state", "retries", F.lit(True).alias("expected"))
+    if events is not None:
+        strays = events.filter(F.col("category") == "transfer").join(
+            index.select(F.col("path").alias("ref")), "ref", "left_anti"
+        )
+        rows = rows.unionByName(
+            strays.select(
+                F.lit("stray").alias("state"), F.lit(1).alias("retries"), F.lit(False).alias("expected")
+            )
+        )
+    counts = rows.agg(
+        F.count_if("expected").alias("files_expected"),
         F.count_if(F.col("state").isin("valid", "invalid")).alias("files_validated"),
         F.count_if(F.col("state") == "invalid").alias("n_errors"),
         F.coalesce(F.sum("retries"), F.lit(0)).alias("failed_transfers"),

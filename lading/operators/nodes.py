@@ -17,8 +17,10 @@ def flatten_paths(
     """`node array<string>, value, value_type` for every leaf of a JSON column.
 
     Each level explodes containers one step further while leaves pass through
-    unchanged, so the plan grows with `depth`, not with the data.  A document
-    nested deeper than `depth` raises; nothing is cut off.
+    unchanged, so the plan grows with `depth`, not with the data.  What is
+    nested deeper than `depth` comes back whole, as a leaf of JSON text and
+    type dict or list.  Documents without leaves have no row here; those that
+    can't be read are `document_problems`.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -38,12 +40,8 @@ def flatten_paths(
             F.when(container, F.col("__value")).otherwise(F.col("v")).alias("v"),
         )
     kind = F.schema_of_variant("v")
-    guarded = F.when(
-        _is_container(F.col("v")) & (F.to_json("v").rlike(r"[^\[\]{}]")),
-        F.raise_error(F.lit(f"document nested deeper than {depth} levels")).cast("string"),
-    ).otherwise(F.to_json("v"))
-    text = F.when(kind == "STRING", F.try_variant_get("v", "$", "string")).otherwise(guarded)
-    value_type = F.lit(None).cast("string")
+    text = F.when(kind == "STRING", F.try_variant_get("v", "$", "string")).otherwise(F.to_json("v"))
+    value_type = F.when(kind.startswith("OBJECT"), "dict").when(kind.startswith("ARRAY"), "list")
     for spark_type, name in _TYPE_NAMES.items():
         value_type = F.when(kind == spark_type, name).otherwise(value_type)
     value_type = F.when(kind.startswith("DECIMAL"), "float").otherwise(value_type)
@@ -59,6 +57,17 @@ def flatten_paths(
     )
 
 
+def document_problems(docs: DataFrame, document: str, keys: list[str]) -> DataFrame:
+    """keys and `problem` of the documents that are no trees: missing, no JSON, or one bare value."""
+    tree = F.try_parse_json(F.col(document))
+    problem = (
+        F.when(F.col(document).isNull(), "no document")
+        .when(tree.isNull(), "not a JSON document")
+        .when(~_is_container(tree), "a single value, not a tree")
+    )
+    return docs.select(*keys, problem.alias("problem")).filter(F.col("problem").isNotNull())
+
+
 def _is_container(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).rlike(_CONTAINERS), F.lit(False))
 
@@ -126,15 +135,15 @@ def match_nodes(nodes: DataFrame, specs: Specs) -> DataFrame:
 
 def _regex_paths(objects: DataFrame) -> DataFrame:
     """Java patterns of each path element; a bare name is searched, not matched."""
-    from lading.functions.regex import java_pattern
+    from lading.functions.regex import java_or_error
 
     bare = F.col("name_path").isNull()
     elements = objects.withColumn("bare", bare).select(
         "type", "obj_ix", "bare",
         F.posexplode(F.when(bare, F.array("name")).otherwise(F.col("name_path"))).alias("k", "p"),
     )
-    java = F.when(F.col("bare"), java_pattern(F.col("p"), "search")).otherwise(
-        java_pattern(F.col("p"), "match")
+    java = F.when(F.col("bare"), java_or_error(F.col("p"), "search")).otherwise(
+        java_or_error(F.col("p"), "match")
     )
     return (
         elements.withColumn("java", java)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lading import schemas
 from lading.functions.regex import escape_regex
-from lading.materialise import LABEL_ROWS, as_label, cut
+from lading.materialise import cut
 from lading.operators import classify as c
 from lading.operators import infer
 from lading.operators.nodes import data_nodes
@@ -40,7 +40,7 @@ def describe_tables(columns: DataFrame) -> Description:
     grouped = infer.chunk_repeated(columns, scope, file, "col_ix")
     unified = infer.unify_columns(grouped, scope, file)
     problems = infer.chunk_problems(grouped, scope, file).unionByName(
-        _first_failures(unified, "column")
+        _failures(unified, "column")
     )
     types = columns.select("type").distinct()
     objects = types.select(
@@ -66,12 +66,10 @@ _OBJECT_FIELDS = (
 )
 
 
-def _first_failures(unified: DataFrame, what: str) -> DataFrame:
-    return (
-        unified.filter(F.col("failure").isNotNull())
-        .groupBy("type")
-        .agg(F.min_by(F.concat(F.lit(f"{what} "), F.col("group_id").cast("string"), F.lit(": "), F.col("failure")), "group_id").alias("problem"))
-    )
+def _failures(unified: DataFrame, what: str) -> DataFrame:
+    """A problem for every group that can't be unified."""
+    problem = F.concat(F.lit(f"{what} "), F.col("group_id").cast("string"), F.lit(": "), F.col("failure"))
+    return unified.filter(F.col("failure").isNotNull()).select("type", problem.alias("problem"))
 
 
 def describe_hdus(objects: DataFrame, columns: DataFrame) -> Description:
@@ -96,9 +94,9 @@ def describe_hdus(objects: DataFrame, columns: DataFrame) -> Description:
     schemas_ = infer.unify_columns(schema_groups, schema_scope, schema_file)
     problems = (
         infer.chunk_problems(grouped, scope, file)
-        .unionByName(_first_failures(unified, "object"))
+        .unionByName(_failures(unified, "object"))
         .unionByName(infer.chunk_problems(schema_groups, schema_scope, schema_file).select("type", "problem"))
-        .unionByName(_first_failures(schemas_, "column"))
+        .unionByName(_failures(schemas_, "column"))
     )
     spec_objects = unified.withColumns(
         {
@@ -168,8 +166,8 @@ def describe_trees(nodes: DataFrame, columns: DataFrame) -> Description:
     schema_scope, schema_file = ["type", "__object"], ["path", "obj_ix_in_file"]
     schema_groups = infer.chunk_repeated(in_group, schema_scope, schema_file, "col_ix")
     schemas_ = infer.unify_columns(schema_groups, schema_scope, schema_file)
-    problems = _first_failures(complex_, "object").unionByName(
-        _first_failures(schemas_, "column")
+    problems = _failures(complex_, "object").unionByName(
+        _failures(schemas_, "column")
     )
     spec_columns = schemas_.withColumn("obj_ix", F.col("__object")).selectExpr(*_COLUMN_FIELDS)
     return Description(
@@ -177,13 +175,6 @@ def describe_trees(nodes: DataFrame, columns: DataFrame) -> Description:
     )
 
 
-def _regexes(objects: DataFrame, columns: DataFrame) -> frozenset[str] | None:
-    """Name patterns of a label, unless it is too large to be one."""
-    names = [f.filter("name_regex").select("name") for f in (objects, columns)]
-    found = names[0].unionByName(names[1]).distinct().limit(LABEL_ROWS + 1).collect()
-    return frozenset(r.name for r in found) if len(found) <= LABEL_ROWS else None
-
-
 def unify_by_standard(
     columns: DataFrame | None, catalog: Catalog | None, files: DataFrame
 ) -> list[Description]:
@@ -218,10 +209,8 @@ def describe_types(
     footers = cut(probes.probe_footers(typed.filter(F.col("standard") == "parquet"), root))
     descriptions = unify_by_standard(probes.columns_of(footers), catalog, typed)
     probed = probes.load_errors(footers).join(typed.select("path", "type"), "path")
-    unreadable = probed.groupBy("type").agg(
-        F.concat(
-            F.count(F.lit(1)).cast("string"), F.lit(" unreadable files, first: "), F.min("message")
-        ).alias("problem")
+    unreadable = probed.select(
+        "type", F.concat(F.lit("unreadable file "), "path", F.lit(": "), "message").alias("problem")
     )
     skipped = (
         c.missing_types(classified, specs)
@@ -233,10 +222,7 @@ def describe_types(
             )
         )
     )
-    problems = as_label(
-        reduce(DataFrame.unionByName, [d.problems for d in descriptions], unreadable),
-        "type string, problem string",
-    )
+    problems = cut(reduce(DataFrame.unionByName, [d.problems for d in descriptions], unreadable))
     owner = specs.types.select("dataset", "delivery_id", "type")
 
     def finished(frames: list[DataFrame], layout: str, missing: dict) -> DataFrame:
@@ -257,9 +243,6 @@ def describe_types(
         },
     )
     columns = finished([d.columns for d in descriptions], schemas.SPEC_COLUMNS, {})
-    merged_objects = as_label(infer.merge_specs(specs.objects, objects), schemas.SPEC_OBJECTS)
-    merged_columns = as_label(infer.merge_specs(specs.columns, columns), schemas.SPEC_COLUMNS)
-    return (
-        specs.with_objects(merged_objects, merged_columns, _regexes(merged_objects, merged_columns)),
-        problems.unionByName(skipped),
-    )
+    merged_objects = cut(infer.merge_specs(specs.objects, objects))
+    merged_columns = cut(infer.merge_specs(specs.columns, columns))
+    return specs.with_objects(merged_objects, merged_columns), problems.unionByName(skipped)

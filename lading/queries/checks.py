@@ -9,7 +9,7 @@ from lading.operators import hooks as h
 from lading.operators import metadata as md
 from lading.operators.align import spec_runs
 from lading.operators.manifest import check_presence_checksum
-from lading.operators.nodes import data_nodes, flatten_paths, match_nodes
+from lading.operators.nodes import data_nodes, document_problems, flatten_paths, match_nodes
 from lading.plans import validate as v
 from lading.queries.inference import CODES_SQL, TABLES
 from lading.queries.readings import LINE_ITEMS_SQL, line_items, of_row, table
@@ -82,9 +82,9 @@ def file_checksums(spark, folder):
 
 
 def checksum_roundtrip(spark, folder):
-    """A manifest with true checksums conforms to the listing it came from."""
+    """A manifest whose checksums come from other pieces of the same files conforms to their listing."""
     sums = sf.add_checksums(_table_files(spark, folder), folder, piece=1 << 20)
-    index = sums.select("path", "checksum")
+    index = sf.add_checksums(_table_files(spark, folder), folder, piece=300_000).select("path", "checksum")
     return check_presence_checksum(index, sums.select("path", "checksum")).select(
         _stem("path").alias("tab"), "status"
     )
@@ -338,6 +338,18 @@ def flatten_props(spark, folder):
     return flat.select("event_id", F.array_join("node", "/").alias("node"), "value", "value_type")
 
 
+def bad_documents(spark, folder):
+    """event properties as documents, of which some aren't closed and others are bare."""
+    props = F.col("props")
+    document = (
+        F.when(F.col("event_type") == "view", F.concat(F.lit('{"p": '), props))
+        .when(F.col("event_type") == "click", F.col("user_id").cast("string"))
+        .otherwise(F.concat(F.lit('{"p": '), props, F.lit("}")))
+    )
+    docs = table(spark, folder, "events").select("event_id", document.alias("document"))
+    return document_problems(docs, "document", ["event_id"])
+
+
 NODE_LABEL = {
     "dataset": "turns",
     "delivery_id": 1,
@@ -473,6 +485,7 @@ QUERIES = {
     "meta_check": meta_check,
     "footer_check": footer_check,
     "flatten_props": flatten_props,
+    "bad_documents": bad_documents,
     "match_conversation_nodes": match_conversation_nodes,
     "validate_conversations": validate_conversations,
     "validate_orders_as_hdus": validate_orders_as_hdus,
@@ -608,6 +621,15 @@ SELECT path, key, CASE WHEN key = 'v' THEN 'incorrect metadata value: expected 1
   WHEN val = '0' THEN 'incorrect metadata value: expected true, got false'
   ELSE 'could not interpret ''' || val || ''' as bool' END AS message
 FROM kv WHERE (key = 'v' AND val <> '12') OR (key = 'k' AND val <> '1')
+""",
+    "bad_documents": """
+WITH docs AS (SELECT event_id, CASE event_type WHEN 'view' THEN '{"p": ' || props
+  WHEN 'click' THEN CAST(user_id AS VARCHAR) ELSE '{"p": ' || props || '}' END AS document FROM events),
+told AS (SELECT event_id, CASE WHEN document IS NULL THEN 'no document'
+  WHEN NOT json_valid(document) THEN 'not a JSON document'
+  WHEN json_type(CASE WHEN json_valid(document) THEN document END) NOT IN ('OBJECT', 'ARRAY')
+    THEN 'a single value, not a tree' END AS problem FROM docs)
+SELECT event_id, problem FROM told WHERE problem IS NOT NULL
 """,
     "flatten_props": """
 SELECT event_id, 'p/' || j.key AS node, json_extract_string(j.value, '$') AS value, 'int' AS value_type

@@ -73,7 +73,7 @@ def progress(spark, folder):
 def delivery_report(spark, folder):
     return ev.delivery_report(
         user_manifest(spark, folder), _states(spark, folder),
-        {"dataset": "users", "delivery_id": "1"},
+        {"dataset": "users", "delivery_id": "1"}, event_log(spark, folder),
     )
 
 
@@ -241,6 +241,11 @@ gaps AS (
   FROM log WINDOW w AS (PARTITION BY ref ORDER BY time, seq))
 """
 
+_STRAYS = (
+    "(SELECT count(*) FROM log WHERE category = 'transfer'"
+    " AND NOT EXISTS (SELECT 1 FROM manifest WHERE path = log.ref))"
+)
+
 ORACLE = {
     "file_flags": f"""{_MANIFEST_STATES}
 SELECT 's3a://bucket/users/' || path AS path,
@@ -252,7 +257,7 @@ FROM known
     "report_messages": f"""{_MANIFEST_STATES},
 c AS (
   SELECT count(*) AS n, count(*) FILTER (state IN ('valid','invalid')) AS done,
-    count(*) FILTER (state = 'invalid') AS bad, CAST(sum(retries) AS BIGINT) AS failed
+    count(*) FILTER (state = 'invalid') AS bad, CAST(sum(retries) AS BIGINT) + {_STRAYS} AS failed
   FROM known WHERE will_transfer)
 SELECT '{{"dataset":"users","delivery_id":"1","files_expected":' || n || ',"files_validated":' || done
   || ',"n_errors":' || bad || ',"total_failures":' || (bad + failed) || ',"validation_result":"'
@@ -308,7 +313,7 @@ FROM known GROUP BY will_transfer
     "delivery_report": f"""{_MANIFEST_STATES},
 c AS (
   SELECT count(*) AS files_expected, count(*) FILTER (state IN ('valid','invalid')) AS files_validated,
-    count(*) FILTER (state = 'invalid') AS n_errors, CAST(sum(retries) AS BIGINT) AS failed
+    count(*) FILTER (state = 'invalid') AS n_errors, CAST(sum(retries) AS BIGINT) + {_STRAYS} AS failed
   FROM known WHERE will_transfer)
 SELECT 'users' AS dataset, '1' AS delivery_id, files_expected, files_validated, n_errors,
   n_errors + failed AS total_failures,

@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lading import load_specs
+from lading.operators import events as ev
 from lading.operators import hooks, scans
+from lading.operators.classify import match_types_by_delivery
+from lading.operators.nodes import document_problems, flatten_paths
 from lading.sources import events, files
 
 
@@ -51,3 +54,34 @@ def test_value_patterns_outlive_inferred_objects(spark):
     specs = load_specs(spark, label)
     kept = specs.with_objects(specs.objects, specs.columns, frozenset({"other"}))
     assert "GOOD.*" in specs.known_regexes and kept.known_regexes >= specs.known_regexes | {"other"}
+
+
+def test_deep_documents_come_whole_and_bad_ones_are_told(spark):
+    docs = spark.createDataFrame(
+        [(1, '{"a": {"b": {"c": 1}}, "d": [2]}'), (2, "{"), (3, None), (4, "7"), (5, "{}")], "id int, doc string"
+    )
+    flat = flatten_paths(docs, "doc", ["id"], depth=2)
+    rows = {(r.id, "/".join(r.node)): (r.value, r.value_type) for r in flat.collect()}
+    assert rows == {(1, "a/b"): ('{"c":1}', "dict"), (1, "d/0"): ("2", "int")}
+    told = {r.id: r.problem for r in document_problems(docs, "doc", ["id"]).collect()}
+    assert told == {2: "not a JSON document", 3: "no document", 4: "a single value, not a tree"}
+
+
+def test_a_pattern_without_jvm_form_is_no_silent_miss(spark):
+    files = spark.createDataFrame([("d", 1, "ab")], "dataset string, delivery_id int, path string")
+    patterns = spark.createDataFrame(
+        [("d", 1, "t", "(a)(?(1)b|c)", True)],
+        "dataset string, delivery_id int, type string, pattern string, include boolean",
+    )
+    with pytest.raises(Exception, match="without a JVM form"):
+        match_types_by_delivery(files, patterns).collect()
+
+
+def test_transfers_of_unknown_files_are_failures(spark):
+    index = spark.createDataFrame([("a", True)], "path string, will_transfer boolean")
+    log = spark.createDataFrame(
+        [("a", "transfer", "ok", None, 1), ("z", "transfer", "ok", None, 2), ("z", "transfer", "ok", None, 3)],
+        "ref string, category string, status string, message string, time int",
+    )
+    report = ev.delivery_report(index, ev.file_states(log), {"dataset": "d"}, log).first()
+    assert (report.files_expected, report.total_failures) == (1, 2)
