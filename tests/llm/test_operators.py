@@ -110,6 +110,37 @@ def test_keep_one_by_exact_resemblance(spark, odd, none):
     assert simhash.keep_one(none).columns == none.columns
 
 
+@pytest.mark.parametrize(("n_words", "n_replaced", "copies"), [(200, 4, 400), (120, 2, 150)])
+def test_copies_of_one_base_are_all_linked_to_it(spark, n_words, n_replaced, copies):
+    rng = np.random.default_rng(n_words)
+    base = [f"w{x}" for x in rng.integers(0, 5000, n_words)]
+    texts = []
+    for i in range(copies):
+        other = list(base)
+        for j in rng.choice(n_words, n_replaced, False):
+            other[j] = f"c{i}x{j}"
+        texts.append(" ".join(other))
+    texts.insert(copies // 2, " ".join(base))  # the base isn't the smallest id
+    texts += [" ".join(f"v{x}" for x in rng.integers(0, 5000, 80)) for _ in range(20)]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        common = len(sets[i] & sets[j])
+        if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = dict(simhash.near_groups(docs).collect())
+    assert {i: got.get(i, i) for i in range(len(texts))} == {i: root(i) for i in range(len(texts))}
+    assert sum(root(i) == 0 for i in range(len(texts))) == copies + 1
+
+
 def test_overlaps_tolerate_replaced_words(spark, odd, none):
     items = [(f"i{n}", prose(100 + n, 15 + 3 * n)) for n in range(8)] + [("short", "alpha beta"), (None, prose(1, 30)), ("null", None)]
     bench = spark.createDataFrame(items, "item_id string, text string")
