@@ -4,9 +4,9 @@ A text is a sequence of word hashes.  Each of a few fixed masks looks at WEIGHT
 of SPAN successive words and ignores the others, so a hit survives words
 replaced at the ignored places.  Hashes of the benchmark's masked windows are
 joined with those of the texts; each hit fixes an alignment of an item with a
-text, and the aligned words around it are compared: the stretch without gaps
-that gains most (a match 1, a difference -2) counts as an overlap if it has
-LEAST_WORDS equal words, or nearly all of a shorter item.
+text, and the aligned words around it are compared: of the stretches in which
+SHARE of the words are equal, the one of most equal words counts as an overlap
+if it has LEAST_WORDS of them, or nearly all of a shorter item.
 
 Most windows of most texts are in no item, so a bitmap of the benchmark's
 hashes, of bounded size however many items there are, thins the texts' windows
@@ -35,6 +35,7 @@ MASKS = ("111101011011", "110110111101", "101111101011", "111011010111")
 SPAN = 12
 LEAST_WORDS = 12  # equal words of an overlap; of an item shorter than 15 words, 0.8 of its words
 SHARE = 0.8
+LOSS = round(SHARE / (1 - SHARE))  # equal words that make up for a different one
 CONTEXT = 64  # words kept before and after a hit; items' stretches beyond it are found by further hits
 BITMAP = 16, 27  # least and most bits of the bitmap, as powers of two; in between 64 and more a hash
 PROBES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
@@ -147,16 +148,23 @@ def _regions(bitmap):
 
 
 def stretch(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Best aligned stretch of an item whose word j stands at text word j + shift: (first item word, length, equal)."""
+    """Aligned stretch of most equal words, SHARE of all or more, of an item whose word j stands at text word j + shift.
+
+    (first item word, length, equal words); it begins and ends with an equal word.
+    """
     low, high = max(0, -shift), min(len(item), len(text) - shift)
     if low >= high:
         return 0, 0, 0
     same = item[low:high] == text[low + shift : high + shift]
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    floor = np.minimum.accumulate(total)
-    end = int((total - floor).argmax())
-    begin = int(total[: end + 1].argmin())
-    return low + begin, end - begin, int(same[begin:end].sum())
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -LOSS))])
+    ahead = np.maximum.accumulate(total[::-1])  # greatest total from each place on, last place first
+    end = len(total) - 1 - np.searchsorted(ahead, total)  # the last one to which each place loses nothing
+    equal = np.concatenate([[0], np.cumsum(same)])
+    begin = int((equal[end] - equal).argmax())
+    places = np.flatnonzero(same)[equal[begin] : equal[end[begin]]]
+    if not len(places):
+        return 0, 0, 0
+    return low + int(places[0]), int(places[-1] - places[0]) + 1, len(places)
 
 
 VERDICT = StructType()
@@ -170,7 +178,7 @@ def _verify(words: pd.Series, item: pd.Series, shift: pd.Series) -> pd.DataFrame
     out = []
     for text, other, s in zip(words, item, shift, strict=True):
         other = word_hashes(other, memo).astype(np.int64)
-        wanted = min(LEAST_WORDS, max(1, int(np.ceil(SHARE * len(other)))))
+        wanted = min(LEAST_WORDS, max(1, -(-LOSS * len(other) // (LOSS + 1))))
         out.append((*stretch(np.asarray(text), other, int(s)), wanted))
     return pd.DataFrame(out, columns=["item_at", "n_words", "n_equal", "wanted"])
 
@@ -206,7 +214,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     checked = both.withColumn("v", _verify("words", "item", "shift")).select(
         "doc_id", "item_id", "v.*", (F.col("start") + F.col("shift") + F.col("v.item_at")).alias("doc_word")
     )
-    passed = checked.filter((F.col("n_equal") >= F.col("wanted")) & (F.col("n_equal") >= SHARE * F.col("n_words")))
+    passed = checked.filter("n_equal >= wanted")
     best = F.max(F.struct("n_equal", -F.col("doc_word"), -F.col("item_at"), "n_words", "doc_word", "item_at"))
     return passed.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
         "doc_id", "item_id", "b.doc_word", F.col("b.item_at").alias("item_word"), "b.n_words", "b.n_equal"

@@ -165,6 +165,27 @@ def test_overlaps_tolerate_replaced_words(spark, odd, none):
     assert decontaminate.clean(none, bench).count() == 0
 
 
+def test_stretch_of_most_equal_words():
+    rng = np.random.default_rng(4)
+    for n in [*range(1, 40)] * 8:
+        item = np.arange(n)
+        text = np.where(rng.random(n) < rng.choice([0.1, 0.25, 0.5]), -1, item)
+        same = (item == text).tolist()
+        spans = [same[a:b] for a, b in itertools.combinations(range(n + 1), 2)]
+        most = max((sum(x) for x in spans if 5 * sum(x) >= 4 * len(x)), default=0)
+        at, length, equal = decontaminate.stretch(np.concatenate([[-2, -2], text]), item, 2)
+        assert equal == most == sum(same[at : at + length]) and 5 * equal >= 4 * length
+
+
+def test_more_overlap_is_not_less_detected(spark):
+    words = [f"w{i}" for i in range(60)]
+    runs = words[:12] + ["x"] * 5 + words[17:29] + ["y"] * 5 + words[34:46] + ["z"] * 14
+    docs = spark.createDataFrame([(1, " ".join(runs)), (2, " ".join(words[:12] + ["x"] * 48))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([("b", " ".join(words)), ("c", " ".join(words[:46]))], "item_id string, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs, bench).collect()}
+    assert found == {(1, "b"), (1, "c"), (2, "b"), (2, "c")}
+
+
 def test_permutation_is_one_to_one_and_moves_all():
     key = b"k" * 32
     for size in (2, 7, 100, 1000):
