@@ -1,15 +1,16 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A text is a sequence of word hashes.  Each of a few fixed masks looks at WEIGHT
-of SPAN successive words and ignores the others, so a hit survives words
-replaced at the ignored places.  Hashes of the benchmark's masked windows are
+A text is a sequence of word hashes.  A seed is two runs of RUN words, a fixed
+gap apart, whose words are ignored.  Every stretch that counts as an overlap
+has two such runs at one of GAPS (of an item of fewer than LEAST_WORDS words, one run
+at least), whichever of its words are replaced.  Hashes of the benchmark's seeds are
 joined with those of the texts; each hit fixes an alignment of an item with a
 text, and the aligned words around it are compared: of the stretches in which
 SHARE of the words are equal, the one of most equal words counts as an overlap
 if it has LEAST_WORDS of them, or nearly all of a shorter item.
 
-Most windows of most texts are in no item, so a bitmap of the benchmark's
-hashes, of bounded size however many items there are, thins the texts' windows
+Most seeds of most texts are in no item, so a bitmap of the benchmark's
+hashes, of bounded size however many items there are, thins the texts' seeds
 before the join.  It only saves work: what it lets through is joined exactly.
 """
 
@@ -30,12 +31,14 @@ from pyspark.sql.types import IntegerType, StructType
 from lading.llm.common import whole_text
 from lading.materialise import cut
 
-#: Looked-at places of each mask; any two replaced words in SPAN leave one of the masks whole or its shift.
-MASKS = ("111101011011", "110110111101", "101111101011", "111011010111")
-SPAN = 12
+RUN = 3
+#: Words between the runs.  The test of the seeds goes through all stretches of up to 29 words; a longer one has a half that counts too.
+GAPS = (0, 1, 5, 8, 10)
+SPAN = 2 * RUN + max(GAPS)
 LEAST_WORDS = 12  # equal words of an overlap; of an item shorter than 15 words, 0.8 of its words
 SHARE = 0.8
 LOSS = round(SHARE / (1 - SHARE))  # equal words that make up for a different one
+LEAST_ITEM = 6  # words of the shortest items searched for; a stretch of a shorter one needn't have a run
 CONTEXT = 64  # words kept before and after a hit; items' stretches beyond it are found by further hits
 BITMAP = 16, 27  # least and most bits of the bitmap, as powers of two; in between 64 and more a hash
 PROBES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
@@ -44,10 +47,6 @@ WORD = re.compile(r"[^\W_]+")
 MEMO = 500_000
 
 
-def _places(mask: str) -> list[int]:
-    return [i for i, c in enumerate(mask) if c == "1"]
-
-
 class Memo(dict):
     """32-bit hashes of words, remembered up to a bound."""
 
@@ -64,20 +63,27 @@ def word_hashes(text: str, memo: Memo) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-#: An odd factor for each place of a mask, of the first mask, then the next.
-FACTORS = np.random.default_rng(5).integers(0, 1 << 63, (len(MASKS), SPAN), dtype=np.uint64) * 2 + 1
+#: Odd factors, for each word of a run and for both runs of each gap.
+_ODD = np.random.default_rng(5).integers(0, 1 << 63, RUN + 2 * len(GAPS), dtype=np.uint64) * 2 + 1
+WORD_FACTORS, RUN_FACTORS = _ODD[:RUN], _ODD[RUN:].reshape(-1, 2)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    return h ^ (h >> np.uint64(32))
 
 
-def seeds(words: np.ndarray) -> list[np.ndarray]:
-    """For each mask, the hash of each window, as signed 64-bit numbers."""
-    count = max(0, len(words) - SPAN + 1)
+def seeds(words: np.ndarray, alone: bool = False) -> list[np.ndarray]:
+    """For each gap, the hash of the two runs from each place, as signed 64-bit numbers; with `alone` then that of one run."""
+    count = max(0, len(words) - RUN + 1)
+    run = np.zeros(count, np.uint64)
+    for i, factor in enumerate(WORD_FACTORS):
+        run += words[i : i + count] * factor
+    run = _mixed(run)
     out = []
-    for mask, factors in zip(MASKS, FACTORS, strict=True):
-        h = np.zeros(count, np.uint64)
-        for i in _places(mask):
-            h += words[i : i + count] * factors[i]
-        out.append((h ^ (h >> np.uint64(32))).view(np.int64))
-    return out
+    for gap, (one, two) in zip(GAPS, RUN_FACTORS, strict=True):
+        second = run[RUN + gap :]
+        out.append(_mixed(run[: len(second)] * one + second * two).view(np.int64))
+    return [*out, run.view(np.int64)] if alone else out
 
 
 def _slot(h: np.ndarray, probe: int, power: int) -> np.ndarray:
@@ -86,14 +92,17 @@ def _slot(h: np.ndarray, probe: int, power: int) -> np.ndarray:
 
 
 def benchmark_seeds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(item_id, at, seed) for each mask and window of each item."""
+    """(item_id, at, seed, alone) for each seed of each item; those of one run alone are for short items."""
     memo = Memo()
     for frame in frames:
         rows = []
         for item, text in zip(frame["item_id"], frame["text"], strict=True):
-            for h in seeds(word_hashes(text, memo)):
-                rows += zip([item] * len(h), range(len(h)), h.tolist(), strict=True)
-        yield pd.DataFrame(rows, columns=["item_id", "at", "seed"])
+            words = word_hashes(text, memo)
+            alone = len(words) < LEAST_WORDS
+            for h in seeds(words, alone)[-1:] if alone else seeds(words):
+                if len(words) >= LEAST_ITEM:
+                    rows += zip([item] * len(h), range(len(h)), h.tolist(), [alone] * len(h), strict=True)
+        yield pd.DataFrame(rows, columns=["item_id", "at", "seed", "alone"])
 
 
 def _bitmap(windows: DataFrame) -> tuple[bytes, int]:
@@ -114,8 +123,8 @@ def _bitmap(windows: DataFrame) -> tuple[bytes, int]:
     return words.tobytes(), power
 
 
-def _regions(bitmap):
-    """Stretches of texts around windows that the bitmap lets through, with their hits."""
+def _regions(bitmap, alone: bool):
+    """Stretches of texts around seeds that the bitmap lets through, with their hits; `alone`: some items are short."""
 
     def regions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, power = bitmap.value
@@ -126,7 +135,7 @@ def _regions(bitmap):
             for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
                 words = word_hashes(text, memo)
                 at, hit = [], []
-                for h in seeds(words):
+                for h in seeds(words, alone):
                     found = np.arange(len(h))
                     for probe in PROBES:
                         found = found[known[_slot(h[found], probe, power)]]
@@ -189,7 +198,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc_id, item_id, doc_word and item_word (where the longest overlap starts,
     words from 0), n_words (its length) and n_equal (its equal words).  Whole
     texts are searched.  Null texts are empty and overlap nothing; so do items
-    of fewer than SPAN words and texts shorter than that.  Repeated documents
+    of fewer than LEAST_ITEM words.  Repeated documents
     and items count once; rows without doc_id or item_id are left out; only
     doc_id, item_id and text are read.
     """
@@ -197,10 +206,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.filter("item_id is not null").select(
         F.col("item_id").cast("string").alias("item_id"), whole_text().alias("text")
     )
-    windows = cut(items.mapInPandas(benchmark_seeds, "item_id string, at int, seed bigint").distinct())
+    windows = cut(items.mapInPandas(benchmark_seeds, "item_id string, at int, seed bigint, alone boolean").distinct())
+    alone = not windows.filter("alone").isEmpty()
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(windows))  # 16 MB at most
     layout = "doc_id bigint, start int, words array<bigint>, at array<int>, seeds array<bigint>"
-    found = docs.mapInPandas(_regions(bitmap), layout)
+    found = docs.mapInPandas(_regions(bitmap, alone), layout)
     regions = cut(found.withColumn("region", F.monotonically_increasing_id()))
     hits = regions.select("region", "doc_id", "start", F.explode(F.arrays_zip("at", "seeds")).alias("h"))
     hits = hits.select("region", F.col("h.at").alias("here"), F.col("h.seeds").alias("seed"), "start")

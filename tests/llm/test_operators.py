@@ -186,6 +186,38 @@ def test_more_overlap_is_not_less_detected(spark):
     assert found == {(1, "b"), (1, "c"), (2, "b"), (2, "c")}
 
 
+def test_every_stretch_that_counts_has_a_seed():
+    def has(kept, gaps):
+        run = kept & (kept >> 1) & (kept >> 2)
+        return any(run & (run >> (3 + g)) for g in gaps) if gaps else run
+
+    for n in range(decontaminate.LEAST_ITEM, 30):
+        # as a whole item of n words, and as a stretch of n words of an item of 15 words or more
+        wanted = min(12, -(-4 * n // 5))
+        for replaced in range(min(n - wanted, n // 5) + 1):
+            for places in itertools.combinations(range(n), replaced):
+                kept = (1 << n) - 1 - sum(1 << i for i in places)
+                assert has(kept, decontaminate.GAPS if n >= 12 else ())
+    for n, wanted in ((12, 10), (13, 11)):  # items whose stretches may be shorter than they are
+        for size in range(wanted, n + 1):
+            for places in itertools.combinations(range(size), size - wanted):
+                assert 5 * wanted < 4 * size or has((1 << size) - 1 - sum(1 << i for i in places), decontaminate.GAPS)
+
+
+def test_few_words_replaced_in_short_items_are_found(spark):
+    docs, bench, wanted = [], [], set()
+    for n, replaced in ((15, (2, 3)), (15, (3, 7, 11)), (15, (0, 5, 14)), (20, (4, 7, 12, 15)), (14, (4, 9)), (12, (0,)), (12, (3, 6)), (11, (3, 6)), (6, (3,))):
+        i = len(docs)
+        words = [f"w{i}x{j}" for j in range(n)]
+        bench.append((f"b{i}", " ".join(words)))
+        for j in replaced:
+            words[j] = "other"
+        docs.append((i, f"before it {' '.join(words)} after it"))
+        wanted.add((i, f"b{i}"))
+    found = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id string, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == wanted
+
+
 def test_permutation_is_one_to_one_and_moves_all():
     key = b"k" * 32
     for size in (2, 7, 100, 1000):
