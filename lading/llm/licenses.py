@@ -15,8 +15,8 @@ from lading.llm.common import ascii_lower, whole_text
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # between words of a text without A-Z
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # a word of any text
-#: Some word of every rule and base phrase, as it may stand in a text.
-GATE = r"(?i)licen|spdx|commons|domain|reserved|copyleft|gpl|cc[^a-z]*(by|zero|0)"
+#: Some part of every match of a rule or base phrase, as it may stand in a text.
+GATE = r"(?i)licen|spdx|commons|domain|reserved|copyleft|gpl|cc[^a-z]*(by|zero|0|attribution)"
 
 #: Names in words, as regular expressions: family, name, versions, words of the identifier.
 FAMILIES = [
@@ -79,16 +79,16 @@ def _version(version: str) -> str:
     return r"(?: or)?(?: version| v(?=\d))? ?v?" + version.replace(".0", r"(?: 0)?").replace(".", " ")
 
 
-def _keyword(family: str, name: str) -> str:
-    """A word in every match of the name, as long as one stands in all its ways of writing."""
-    fixed = {"proprietary": "reserved", "public-domain": "domain", "cc0": "c", "unlicense": "unlicense"}
-    return fixed.get(family, "licen" if "|" in name or "gpl)" not in name else "g")
+def _keyword(family: str) -> str:
+    """A part of every match of the family's name, in all its ways of writing."""
+    fixed = {"gpl": "gnu", "lgpl": "gnu", "proprietary": "reserved", "public-domain": "domain", "cc0": "c", "unlicense": "unlicense"}
+    return fixed.get(family, "licen")
 
 
 def rules() -> list[tuple[str, str, str, int]]:
     """(keyword, regular expression, label, priority), in order."""
     out = []
-    names = [(f, n, v, _keyword(f, n)) for f, n, v in FAMILIES]
+    names = [(f, n, v, _keyword(f)) for f, n, v in FAMILIES]
     for kind in COMMONS_KINDS:
         parts = kind.split("-")
         short, long = " ".join(parts), " ".join(COMMONS[p] for p in parts)
@@ -104,7 +104,7 @@ def rules() -> list[tuple[str, str, str, int]]:
             out.append(("licen", f" licensed under (?:the )?{words} ?v?{version.replace('.', ' ')}(?= )", named, 2))
         if not versions:
             out.append(("spdx", f" spdx licen[sc]e identifier {words}(?= )", family, 0))
-            out.append(("licen", f" (?:licensed|released|distributed) under (?:the )?{name}(?= )", family, 2))
+            out.append((keyword, f" (?:licensed|released|distributed) under (?:the )?{name}(?= )", family, 2))
         out.append((keyword, f" {name}(?= )", family, 3))
     return out
 

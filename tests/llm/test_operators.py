@@ -338,6 +338,45 @@ def test_licenses(spark, odd, none):
     assert len(licenses.rules()) > 200
 
 
+def ways(parsed):
+    """Every string a rule's pattern matches, with one word for any word."""
+    out = [""]
+    for op, av in parsed:
+        match str(op):
+            case "LITERAL":
+                more = [chr(av)]
+            case "IN":
+                more = [chr(x) for o, x in av if str(o) == "LITERAL"] or ["x"]
+            case "BRANCH":
+                more = [w for b in av[1] for w in ways(b)]
+            case "SUBPATTERN":
+                more = ways(av[3])
+            case "MAX_REPEAT":
+                more = ([""] if av[0] == 0 else []) + ways(av[2])
+            case "ASSERT" | "ASSERT_NOT":
+                more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_no_match_of_a_rule_is_kept_from_it():
+    import re
+    import re._parser
+
+    for keyword, pattern, label, _ in licenses.rules():
+        matches = [w for w in ways(re._parser.parse(pattern)) if re.search(pattern, w + " ")]
+        assert matches, pattern
+        for w in matches:
+            assert keyword in w and re.search(licenses.GATE, w.upper()) and re.search(licenses.GATE, w.replace(" ", "-")), (label, w)
+
+
+def test_licenses_without_the_word_license(spark):
+    texts = ["Released under the GNU GPL v3", "GNU GPL.", "the GNU Lesser GPL, version 2.1", "CC Attribution 4.0", "CC-Attribution-ShareAlike",
+             "Distributed under the CC0"]
+    out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert [r["labels"] for r in out.orderBy("doc_id").collect()] == ["gpl-3.0", "gpl", "lgpl-2.1", "cc-by-4.0", "cc-by-sa", "cc0"]
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "http://a", "same"), (2, "http://b\r\nX: y", "same"), (3, None, None), (4, "u", ""), (5, "u", "ä" * 3_000_000), (5, "u", "z"), (None, "u", "same")]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3)
