@@ -1,13 +1,17 @@
 """Surrogates for personal data: keyed, of the same type, script, gender and format.
 
 Every entity is a row of symbols, each from a small alphabet (digits, or the
-vowels or consonants of a script and case).  The symbols are the digits of one
+vowels or consonants of a script and case; of scripts without an alphabet here,
+the letters, marks or digits of its kind around it in Unicode).  The symbols are the digits of one
 mixed-radix number, and a keyed permutation of all numbers of that shape gives
 the surrogate: same length, same classes, same separators.  Equal entities get
 equal surrogates in every document (coreference) and different ones different
 surrogates (distinctness), with nothing to look up.  Given names come from a
 list for each script and gender, permuted within the list.  A permutation
-P^-1(P(x) + 1) has no fixed point, so nothing stands for itself.
+P^-1(P(x) + 1) has no fixed point, so nothing stands for itself; what has no
+symbol to replace (an address of signs only) is left and not counted.  Long
+entities are permuted in blocks of BLOCK symbols, each under a key that depends
+on all before it.
 
 `collisions` checks distinctness over all documents; `mask` refuses a key
 that has any.
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,11 +45,35 @@ ALPHABETS = [
     "0123456789", "aeiou", "AEIOU", "bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ",
     "аеёиоуыэюя", "АЕЁИОУЫЭЮЯ", "бвгджзйклмнпрстфхцчшщ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ",
     "αεηιουω", "ΑΕΗΙΟΥΩ", "βγδζθκλμνξπρστφχψ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
+    "ьъ", "ЬЪ", "άέήίόύώ", "ΆΈΉΊΌΎΏ",
     "àáâãäåæèéêëìíîïòóôõöøùúûüýÿ", "ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜÝ", "çñßðþ", "ÇÑÐÞ",
 ]
-CLASS = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
+_FIXED = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
+
+
+class Classes(dict):
+    """(alphabet, place in it) of each symbol; None of signs.
+
+    A letter, mark or digit of none of ALPHABETS has those of its category
+    among the 128 code points of its block that casing leaves alike.
+    """
+
+    def __missing__(self, symbol: str) -> tuple[str, int] | None:
+        kind = unicodedata.category(symbol)
+        alphabet = ""
+        if symbol > "\x7f" and kind[0] in "LMN":
+            start = ord(symbol) - unicodedata.decimal(symbol) if kind == "Nd" else ord(symbol) & ~127
+            same = (chr(c) for c in range(start, start + (10 if kind == "Nd" else 128)))
+            cased = symbol == symbol.lower()
+            alphabet = "".join(c for c in same if c not in _FIXED and unicodedata.category(c) == kind and (c == c.lower()) == cased)
+        self[symbol] = (alphabet, alphabet.index(symbol)) if len(alphabet) > 1 else None
+        return self[symbol]
+
+
+CLASS = Classes(_FIXED)
 HEX = {c: ("0123456789abcdef", i) for i, c in enumerate("0123456789abcdef")}
 ROUNDS = 8
+BLOCK = 256  # symbols permuted as one number
 
 _NAMES = {n: (s, g) for (s, g), names in GIVEN.items() for n in names}
 _SURNAME = r"[A-ZÀ-ÞА-ЯЁΑ-Ω][a-zß-ÿа-яёα-ώ]+"
@@ -52,12 +81,17 @@ PERSON = re.compile(
     rf"\b(?:(?:{TITLES})\.? (?P<titled>{_SURNAME}(?: {_SURNAME})?)|(?P<full>(?:{'|'.join(_NAMES)}) {_SURNAME}))\b"
 )
 PERSON_HINT = re.compile(rf"\b(?:{TITLES})\b|{'|'.join(_NAMES)}")
+_VALUE = r"[A-Za-z0-9_+/\-.=~]"
 SECRET = re.compile(
-    r"\b(?:token|passw(?:or)?d|pwd|secret|api[_-]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<v>[A-Za-z0-9_+/\-]{8,256})", re.I
+    r"\b(?:token|passw(?:or)?d|pwd|secret|api[_-]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
+    rf"(?P<v>(?=[_+/\-.=~]*[A-Za-z0-9]){_VALUE}{{7,}}[A-Za-z0-9_+/\-=~])",
+    re.I,
 )
 SECRET_HINT = re.compile(r"token|passw|pwd|secret|api[_-]?key", re.I)
-LOCAL = re.compile(r"[\w.+\-]{1,64}\Z")
-DOMAIN = re.compile(r"[\w\-]{1,63}(?:\.[\w\-]{1,63}){1,8}")
+#: Combining marks, which stand in words of many scripts but aren't in \w.
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c)[0] == "M")
+NOT_LOCAL = re.compile(rf"[^\w.+\-{_MARKS}]")
+DOMAIN = re.compile(rf"[\w\-{_MARKS}]+(?:\.[\w\-{_MARKS}]+)+")
 COUNTRY = re.compile(r"\+(\d{1,3})(?=[ .\-(])")
 DIGIT = re.compile(r"\d")
 NUMERIC = (
@@ -99,16 +133,20 @@ def shifted(x: int, size: int, key: bytes, shape: bytes) -> int:
 
 def same_shape(text: str, key: bytes, kind: str, classes: dict = CLASS) -> str:
     """Each symbol replaced by one of its alphabet; symbols of no alphabet stay."""
-    places = [(i, *classes[c]) for i, c in enumerate(text) if c in classes]
-    number, size = 0, 1
-    for _, alphabet, digit in places:
-        number, size = number * len(alphabet) + digit, size * len(alphabet)
-    shape = (kind + "|" + "".join(a[0] for _, a, _ in places)).encode()
-    number = shifted(number, size, key, hashlib.blake2b(shape, digest_size=16).digest())
+    found = [(i, *own) for i, c in enumerate(text) if (own := classes[c])]
     out = list(text)
-    for i, alphabet, _ in reversed(places):
-        number, digit = divmod(number, len(alphabet))
-        out[i] = alphabet[digit]
+    for at in range(0, max(1, len(found)), BLOCK):
+        places = found[at : at + BLOCK]
+        number, size = 0, 1
+        for _, alphabet, digit in places:
+            number, size = number * len(alphabet) + digit, size * len(alphabet)
+        shape = (kind + "|" + "".join(a[0] for _, a, _ in places)).encode()
+        if at:
+            shape += b"|" + "".join(text[i] for i, _, _ in found[:at]).encode()
+        number = shifted(number, size, key, hashlib.blake2b(shape, digest_size=16).digest())
+        for i, alphabet, _ in reversed(places):
+            number, digit = divmod(number, len(alphabet))
+            out[i] = alphabet[digit]
     return "".join(out)
 
 
@@ -128,7 +166,8 @@ def _card(text: str, key: bytes) -> str:
     digits = "".join(c for c in text if c.isdigit())
     body = same_shape(digits[:-1], key, "card")
     off = int(digits[-1]) - luhn(digits[:-1])  # a valid number stays valid, an invalid one invalid
-    return _refill(text, body + str((luhn(body) + off) % 10))
+    zero = ord(digits[-1]) - int(digits[-1])  # of the digits' script
+    return _refill(text, body + chr(zero + (luhn(body) + off) % 10))
 
 
 def _phone(text: str, key: bytes) -> str:
@@ -183,15 +222,22 @@ SURROGATE = {
 }
 
 
+def _local_start(text: str, low: int, at: int) -> int:
+    """Where the local part that ends before `at` starts, however long it is."""
+    while at > low and not NOT_LOCAL.match(text, at - 1):
+        at -= 1
+    return at
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities, in order and without overlap; the earlier, then longer one wins."""
     found = []
-    at = text.find("@")
+    at, last = text.find("@"), 0
     while at >= 0:
-        left, right = LOCAL.search(text, max(0, at - 64), at), DOMAIN.match(text, at + 1)
-        if left and right:
-            found.append((left.start(), right.end(), "email"))
-        at = text.find("@", at + 1)
+        left, right = _local_start(text, last, at), DOMAIN.match(text, at + 1)
+        if left < at and right:
+            found.append((left, right.end(), "email"))
+        at, last = text.find("@", at + 1), at + 1
     if DIGIT.search(text):
         for kind, pattern in NUMERIC:
             for m in pattern.finditer(text):
@@ -237,6 +283,8 @@ class Masker:
         for start, stop, kind in find(text):
             own = text[start:stop]
             other = self.surrogate(kind, own)
+            if normal(kind, other) == normal(kind, own):
+                continue  # nothing in it to replace
             parts += [text[end:start], other]
             seen.append((kind, own, other))
             end = stop

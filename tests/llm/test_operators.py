@@ -253,6 +253,45 @@ def test_surrogates_keep_type_format_gender_and_identity(spark, odd, none):
     assert rows(pii.collisions(clash)) == [("email", "x")]
 
 
+def test_secrets_and_addresses_are_replaced_whole():
+    masker = pii.Masker("key")
+    letters = np.random.default_rng(6).choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789"), 4000).tolist()
+    values = ["".join(letters[:300]), "".join(letters), "eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJSM", "abc~DEF+/12345==", "".join(letters[:299]) + "Q"]
+    for value in values:
+        masked, seen = masker.mask(f"token = {value}. Next")
+        assert seen[0][:2] == ("secret", value) and masked == f"token = {seen[0][2]}. Next"
+        assert sum(a == b for a, b in zip(value, seen[0][2], strict=True) if a.isalnum()) < 0.3 * len(value)
+    others = [masker.mask(f"token = {v}")[1][0][2] for v in values]
+    assert len(set(others)) == len(values) and all(len(a) == len(b) for a, b in zip(values, others, strict=True))
+    local = "user" * 30
+    masked, seen = masker.mask(f"write to {local}@{'label' * 20}.{'a.' * 12}example.com now")
+    assert "user" not in masked and "label" not in masked and "example" not in masked and seen[0][1].startswith(local)
+    long = pii.same_shape("ab" * 400, masker.key, "x")
+    assert long[:256] != long[256:512] and pii.same_shape("ab" * 399 + "ac", masker.key, "x")[:512] == long[:512]
+
+
+@pytest.mark.parametrize("entity", ["李小龙@例子公司.com", "محمد@مثال.com", "उपयोगकर्ता@डाटामेल.com", "żółć@łąka.com", "+٩٦٦ ٥٥٥ ١٢٣ ٤٥٦٧", "соловьёв@почта.com"])
+def test_every_script_has_surrogates(entity):
+    masked, seen = pii.Masker("key").mask(f"call {entity} now")
+    assert [a for _, a, _ in seen] == [entity] and len(masked) == len(entity) + 9
+    import unicodedata
+
+    replaced = 0
+    for a, b in zip(entity.split(".com")[0], seen[0][2].split(".com")[0], strict=True):
+        assert unicodedata.category(a) == unicodedata.category(b)
+        replaced += a != b
+    assert replaced >= 3
+
+
+def test_what_cannot_be_replaced_is_not_counted(spark):
+    out = pii.mask(spark.createDataFrame([(1, "see +@-._ and token = ------------")], "doc_id bigint, text string"), "key").first()
+    assert out["n_replaced"] == 0 and out["kinds"] == "" and out["text"] == "see +@-._ and token = ------------"
+    key = b"k" * 32
+    for symbols in ("ąćęł", "0٣", "中"):
+        turned = {pii.same_shape(a, key, "x") for a in symbols for _ in range(2)}
+        assert len(turned) == len(symbols) and not turned & set(symbols[-1:])
+
+
 def test_pieces_come_back_and_dont_depend_on_batches(spark, odd, none):
     model = pieces.read_model()
     out = pieces.encode(odd, model).select("doc_id", "text", "ids", "lossless", pieces.decode(F.col("ids"), model).alias("back"))
