@@ -148,9 +148,9 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> Dat
     )
 
 
-@pandas_udf(StructType().add("fp", LongType()).add("bands", ArrayType(LongType())).add("size", LongType()))
+@pandas_udf(StructType().add("fp", LongType()).add("bands", ArrayType(LongType())).add("size", LongType()).add("same", LongType()))
 def _sketch(texts: pd.Series) -> pd.DataFrame:
-    """SimHash of the five-word shingles, a key for each band of minima, and the number of distinct shingles."""
+    """SimHash of the five-word shingles, a key for each band of minima, and number and hash of the distinct shingles."""
     odd = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * 2 + 1
     out = []
     for text in texts:
@@ -160,8 +160,9 @@ def _sketch(texts: pd.Series) -> pd.DataFrame:
             least = np.minimum(least, (hashes[None, at : at + 2048] * odd[:, None]).min(1))
         rows = least.reshape(BANDS, BAND_ROWS)
         bands = [xxhash.xxh64_intdigest(r.tobytes(), b) - (1 << 63) for b, r in enumerate(rows)]
-        out.append((majority(hashes), bands, len(np.unique(hashes))))
-    return pd.DataFrame(out, columns=["fp", "bands", "size"])
+        distinct = np.unique(hashes)
+        out.append((majority(hashes), bands, len(distinct), xxhash.xxh64_intdigest(distinct.tobytes(), SEED) - (1 << 63)))
+    return pd.DataFrame(out, columns=["fp", "bands", "size", "same"])
 
 
 @pandas_udf(ArrayType(LongType()))
@@ -214,12 +215,11 @@ def near_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
     known = docs.filter("doc_id is not null")
     sketch = _sketch(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     sketches = cut(known.select("doc_id", sketch.alias("s")).select("doc_id", "s.*"))
-    same = F.xxhash64("bands").alias("same")
-    classes = sketches.groupBy("fp", same).agg(
-        F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.min_by("size", "doc_id").alias("size")
+    classes = sketches.groupBy("fp", "same").agg(
+        F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("size").alias("size")
     )
     nodes = cut(classes)
-    equal = sketches.select("doc_id", "fp", same).join(nodes.select("fp", "same", "id"), ["fp", "same"])
+    equal = sketches.select("doc_id", "fp", "same").join(nodes.select("fp", "same", "id"), ["fp", "same"])
     equal = equal.filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     one = nodes.groupBy("fp").agg(F.min("id").alias("id"))
     alike = nodes.join(one.select("fp", F.col("id").alias("a")), "fp").filter("a <> id")  # other shingles, same SimHash

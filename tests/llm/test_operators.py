@@ -141,6 +141,13 @@ def test_copies_of_one_base_are_all_linked_to_it(spark, n_words, n_replaced, cop
     assert sum(root(i) == 0 for i in range(len(texts))) == copies + 1
 
 
+def test_only_texts_of_equal_shingles_are_one_without_comparison(spark):
+    words = [f"w{x}" for x in np.random.default_rng(8).integers(0, 5000, 6000)]
+    texts = [" ".join(words)] * 2 + [" ".join([*words[:at], "other", *words[at + 1 :]]) for at in range(100, 6000, 400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(simhash.near_groups(docs, least=1.0).collect()) == [(0, 0), (1, 0)]
+
+
 def test_overlaps_tolerate_replaced_words(spark, odd, none):
     items = [(f"i{n}", prose(100 + n, 15 + 3 * n)) for n in range(8)] + [("short", "alpha beta"), (None, prose(1, 30)), ("null", None)]
     bench = spark.createDataFrame(items, "item_id string, text string")
