@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lading.llm import decontaminate, imatch, langid, licenses, pieces, pii, quality, simhash, toxicity, warc
+from lading.llm import (
+    decontaminate, dialogues, imatch, langid, lexical, licenses, pieces, pii, quality, secrets, simhash, toxicity,
+    warc,
+)
 from lading.llm.common import fold, shared_folder, table
 
 
@@ -68,6 +71,23 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents"))
 
 
+def op11_dialogues(spark: SparkSession, folder: str) -> DataFrame:
+    damaged = dialogues.damage(table(spark, folder, "conversations"))
+    return dialogues.reports(dialogues.repair(damaged, F.col("dropped")))
+
+
+def op12_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secrets.find(docs, secrets.train(docs))
+    *base, added = (secrets.number("secrets", kind).alias(f"n_{kind}") for kind in secrets.KINDS)
+    base_sha256 = F.sha2(secrets.as_text("secrets", secrets.KINDS[:3]), 256).alias("base_sha256")
+    return found.select("doc_id", *base, base_sha256, secrets.as_text("secrets").alias("spans"), added)
+
+
 QUERIES = {
     "op1_surrogates": op1_surrogates,
     "op2_imatch": op2_imatch,
@@ -79,6 +99,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
+    "op11_dialogues": op11_dialogues,
+    "op12_lexical": op12_lexical,
+    "op13_secrets": op13_secrets,
 }
 _BASE = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -148,4 +171,28 @@ SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
 FROM hexed
 """
 
-ORACLE: dict[str, str] = {"op2_imatch": _imatch_sql(), "op6_warc": _WARC_SQL}
+_LEXICAL_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM docs WHERE len(terms) > 0),
+found AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY r, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM found, totals GROUP BY term, n_docs),
+items AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT DISTINCT item_id, text FROM benchmark))
+  GROUP BY item_id, term),
+lengths AS (SELECT r, doc_id, 25 + (75 * len(terms) * n_docs) // n_terms AS m FROM docs, totals),
+scores AS (
+  SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM items JOIN found USING (term) JOIN weights USING (term) JOIN lengths USING (r) GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+ORACLE: dict[str, str] = {"op2_imatch": _imatch_sql(), "op6_warc": _WARC_SQL, "op12_lexical": _LEXICAL_SQL}
