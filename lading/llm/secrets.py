@@ -52,7 +52,7 @@ EPOCHS, BATCH, RATE, DECAY = 12, 256, 0.05, 1e-4
 PIECE = 1 << 18  # characters of a text decoded at once
 OVERLAP = 1024  # characters of context before and after a piece
 BLOCK = 1 << 17  # tokens decoded at once
-MEMO = 1 << 17  # tokens remembered by a task, of MEMO_SIZE characters at most
+MEMO = 1 << 18  # tokens remembered by a task, of MEMO_SIZE characters at most
 MEMO_SIZE = 40
 
 _CLASSES = bytes(
@@ -60,9 +60,8 @@ _CLASSES = bytes(
     for c in range(256)
 )
 _REPEATS = re.compile(rb"(.)\1+")
-_HEXES = set(b"0123456789abcdefABCDEF")
-_VOWELS = (b"a", b"e", b"i", b"o", b"u", b"A", b"E", b"I", b"O", b"U")
-_VOWELS_SET = set(b"aeiouAEIOU")
+_HEXES = b"0123456789abcdefABCDEF"
+_VOWELS = b"aeiouAEIOU"
 _DIGITS, _SYMBOLS = b"0123456789", b"=:;{}[]()<>\"'`$_"
 
 
@@ -109,8 +108,8 @@ def features(token: str, known: dict[bytes, tuple]) -> tuple[int, ...]:
             known[classes] = own
     size, *rows = own
     different = set(raw)
-    hexes = different <= _HEXES
-    vowels = sum(map(raw.count, _VOWELS)) if different & _VOWELS_SET else 0
+    hexes = not raw.translate(None, _HEXES)
+    vowels = len(raw) - len(raw.translate(None, _VOWELS))
     text = raw.lower() if len(raw) <= 16 else b"\0" + classes[:4] + raw[:3]
     return (
         *rows,
