@@ -30,7 +30,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL = 0x2581, 0x110000  # the space mark; a mark that the text itself holds
 BASE = 0x9E3779B97F4A7C15  # odd: has an inverse modulo 2^64
 PART = 300_000  # characters handled at once
-STORE = 1_500_000  # characters of distinct units whose lattices a task remembers, 128 bytes each
+STORE = 400_000  # characters of distinct units whose lattices a task remembers at most, 128 bytes each
+LONG = 64  # characters from which a unit is searched for places that no piece crosses
 STEEP = 1.0  # power of the weights: higher keeps closer to the likeliest way
 
 
@@ -168,20 +169,62 @@ def _units(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _cut_long(vocabulary: Vocabulary, chars: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Starts of units, with those of more than LONG characters cut wherever no piece crosses.
+
+    Texts without spaces, such as Chinese, fall apart into short units; the
+    ways through a lattice are independent on both sides of such a place.
+    """
+    long = np.flatnonzero(size > LONG)
+    if not len(long):
+        return start
+    at = _spans(start[long], size[long])
+    own = chars[at]
+    sums = (powers := Powers(len(own))).sums(own)
+    before = np.arange(len(own)) - np.repeat(np.cumsum(size[long]) - size[long], size[long])
+    crossed = np.zeros(len(own) + 1, np.int64)
+    for length in range(2, vocabulary.longest + 1):
+        end = np.flatnonzero(before >= length - 1)
+        end = end[vocabulary.look_up(powers.hashes(sums, end - length + 1, end + 1)) >= 0]
+        np.add.at(crossed, end - length + 2, 1)  # the places before a piece's second to last characters
+        np.add.at(crossed, end + 1, -1)
+    free = np.cumsum(crossed)[:-1] == 0
+    return np.union1d(start, at[free])
+
+
 class Store:
-    """Lattices of units met before, so that each distinct unit is filtered once."""
+    """Lattices of units met before, so that each distinct unit is filtered once.
 
-    def __init__(self, vocabulary: Vocabulary, room: int = STORE):
-        self.chance = np.empty((room, vocabulary.longest), np.float32)
-        self.ids = np.empty((room, vocabulary.longest), np.int32)
+    It grows with what it holds, up to STORE characters, and then starts anew;
+    what a single call needs beyond that is given back after it.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.longest = vocabulary.longest
+        self._clear(1 << 15)
+
+    def _clear(self, room: int):
+        self.chance = np.empty((room, self.longest), np.float32)
+        self.ids = np.empty((room, self.longest), np.int32)
         self.used, self.known = 0, {}
 
+    def _make_room(self, more: int):
+        room = len(self.ids)
+        if self.used + more <= room <= STORE:
+            return
+        if self.used + more > STORE:
+            self._clear(max(more, min(room, STORE)))
+            return
+        room = min(STORE, max(2 * room, self.used + more))
+        for name in ("chance", "ids"):
+            old = getattr(self, name)
+            new = np.empty((room, self.longest), old.dtype)
+            new[: self.used] = old[: self.used]
+            setattr(self, name, new)
+
     def places(self, vocabulary: Vocabulary, names: np.ndarray, chars: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """First row of each distinct unit, after filtering the new ones."""
-        if self.used + size.sum() > len(self.ids):
-            self.used, self.known = 0, {}
-            if size.sum() > len(self.ids):
-                self.__init__(vocabulary, int(size.sum()))
+        self._make_room(int(size.sum()))
         names = names.tolist()
         place = np.array([self.known.get(n, -1) for n in names], np.int64)
         new = np.flatnonzero(place < 0)
@@ -205,6 +248,7 @@ def sample(vocabulary: Vocabulary, store: Store, texts: list[str], keys: np.ndar
     raw[raw == 32] = MARK
     raw[first] = MARK
     start = _units(raw, first)
+    start = _cut_long(vocabulary, raw, start, np.diff(np.append(start, len(raw))))
     size = np.diff(np.append(start, len(raw)))
     powers = Powers(len(raw))
     sums = powers.sums(raw)
