@@ -38,13 +38,13 @@ SPAN = 2 * RUN + max(GAPS)
 LEAST_WORDS = 12  # equal words of an overlap; of an item shorter than 15 words, 0.8 of its words
 SHARE = 0.8
 LOSS = round(SHARE / (1 - SHARE))  # equal words that make up for a different one
-LEAST_ITEM = 6  # words of the shortest items searched for; a stretch of a shorter one needn't have a run
+LEAST_ITEM = 6  # words; a stretch of a shorter item needn't have a run, so such an item is compared whole
 CONTEXT = 64  # words kept before and after a hit; items' stretches beyond it are found by further hits
 BITMAP = 16, 27  # least and most bits of the bitmap, as powers of two; in between 64 and more a hash
 PROBES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 SALTS = 16
 WORD = re.compile(r"[^\W_]+")
-MEMO = 500_000
+MEMO, MEMO_SIZE = 1 << 17, 32  # words remembered, and their greatest length: some 20 MB
 
 
 class Memo(dict):
@@ -53,7 +53,9 @@ class Memo(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= MEMO:
             self.clear()
-        self[word] = h = zlib.crc32(word.encode())
+        h = zlib.crc32(word.encode())
+        if len(word) <= MEMO_SIZE:
+            self[word] = h
         return h
 
 
@@ -63,27 +65,39 @@ def word_hashes(text: str, memo: Memo) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-#: Odd factors, for each word of a run and for both runs of each gap.
-_ODD = np.random.default_rng(5).integers(0, 1 << 63, RUN + 2 * len(GAPS), dtype=np.uint64) * 2 + 1
-WORD_FACTORS, RUN_FACTORS = _ODD[:RUN], _ODD[RUN:].reshape(-1, 2)
+#: Odd factors, for both runs of each gap and for each word of a run or of a short item.
+_ODD = np.random.default_rng(5).integers(0, 1 << 63, 2 * len(GAPS) + LEAST_ITEM - 1, dtype=np.uint64) * 2 + 1
+RUN_FACTORS, WORD_FACTORS = _ODD[: 2 * len(GAPS)].reshape(-1, 2), _ODD[2 * len(GAPS) :]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def seeds(words: np.ndarray, alone: bool = False) -> list[np.ndarray]:
-    """For each gap, the hash of the two runs from each place, as signed 64-bit numbers; with `alone` then that of one run."""
-    count = max(0, len(words) - RUN + 1)
-    run = np.zeros(count, np.uint64)
-    for i, factor in enumerate(WORD_FACTORS):
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` words from each place."""
+    count = max(0, len(words) - size + 1)
+    run = np.full(count, size, np.uint64)
+    for i, factor in enumerate(WORD_FACTORS[:size]):
         run += words[i : i + count] * factor
-    run = _mixed(run)
+    return _mixed(run)
+
+
+def seeds(words: np.ndarray, sizes: tuple[int, ...] = (0,)) -> list[np.ndarray]:
+    """For each size the hashes of so many words from each place; for size 0, and each gap, those of two runs.
+
+    As signed 64-bit numbers.
+    """
     out = []
-    for gap, (one, two) in zip(GAPS, RUN_FACTORS, strict=True):
-        second = run[RUN + gap :]
-        out.append(_mixed(run[: len(second)] * one + second * two).view(np.int64))
-    return [*out, run.view(np.int64)] if alone else out
+    for size in sizes:
+        run = run_hashes(words, size or RUN)
+        if size:
+            out.append(run.view(np.int64))
+            continue
+        for gap, (one, two) in zip(GAPS, RUN_FACTORS, strict=True):
+            second = run[RUN + gap :]
+            out.append(_mixed(run[: len(second)] * one + second * two).view(np.int64))
+    return out
 
 
 def _slot(h: np.ndarray, probe: int, power: int) -> np.ndarray:
@@ -91,18 +105,22 @@ def _slot(h: np.ndarray, probe: int, power: int) -> np.ndarray:
     return (h.view(np.uint64) * np.uint64(probe)) >> np.uint64(64 - power)
 
 
+def seed_size(n_words: int) -> int:
+    """What an item's seeds are: two runs (0), one run, or, of a short item, all its words."""
+    return 0 if n_words >= LEAST_WORDS else RUN if n_words >= LEAST_ITEM else n_words
+
+
 def benchmark_seeds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(item_id, at, seed, alone) for each seed of each item; those of one run alone are for short items."""
+    """(item_id, at, seed, size) for each seed of each item."""
     memo = Memo()
     for frame in frames:
         rows = []
         for item, text in zip(frame["item_id"], frame["text"], strict=True):
             words = word_hashes(text, memo)
-            alone = len(words) < LEAST_WORDS
-            for h in seeds(words, alone)[-1:] if alone else seeds(words):
-                if len(words) >= LEAST_ITEM:
-                    rows += zip([item] * len(h), range(len(h)), h.tolist(), [alone] * len(h), strict=True)
-        yield pd.DataFrame(rows, columns=["item_id", "at", "seed", "alone"])
+            size = seed_size(len(words))
+            for h in seeds(words, (size,)) if len(words) else ():
+                rows += zip([item] * len(h), range(len(h)), h.tolist(), [size] * len(h), strict=True)
+        yield pd.DataFrame(rows, columns=["item_id", "at", "seed", "size"])
 
 
 def _bitmap(windows: DataFrame) -> tuple[bytes, int]:
@@ -123,22 +141,23 @@ def _bitmap(windows: DataFrame) -> tuple[bytes, int]:
     return words.tobytes(), power
 
 
-def _regions(bitmap, alone: bool):
-    """Stretches of texts around seeds that the bitmap lets through, with their hits; `alone`: some items are short."""
+def _regions(bitmap, sizes: tuple[int, ...]):
+    """Stretches of texts around seeds that the bitmap lets through, with their hits; `sizes` are those of the seeds."""
 
     def regions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, power = bitmap.value
-        known = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").view(bool)
+        known = np.frombuffer(bits, np.uint8)
         memo = Memo()
         for frame in frames:
             rows = []
             for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
                 words = word_hashes(text, memo)
                 at, hit = [], []
-                for h in seeds(words, alone):
+                for h in seeds(words, sizes):
                     found = np.arange(len(h))
                     for probe in PROBES:
-                        found = found[known[_slot(h[found], probe, power)]]
+                        slot = _slot(h[found], probe, power)
+                        found = found[known[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0]
                     at.append(found)
                     hit.append(h[found])
                 at, hit = np.concatenate(at), np.concatenate(hit)
@@ -176,6 +195,12 @@ def stretch(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, i
     return low + int(places[0]), int(places[-1] - places[0]) + 1, len(places)
 
 
+def least_equal(n_words: int) -> int:
+    """Equal words that make an overlap with an item of so many words."""
+    share = n_words if n_words < LEAST_ITEM else -(-LOSS * n_words // (LOSS + 1))
+    return min(LEAST_WORDS, max(1, share))
+
+
 VERDICT = StructType()
 for _name in ("item_at", "n_words", "n_equal", "wanted"):
     VERDICT.add(_name, IntegerType())
@@ -187,7 +212,7 @@ def _verify(words: pd.Series, item: pd.Series, shift: pd.Series) -> pd.DataFrame
     out = []
     for text, other, s in zip(words, item, shift, strict=True):
         other = word_hashes(other, memo).astype(np.int64)
-        wanted = min(LEAST_WORDS, max(1, -(-LOSS * len(other) // (LOSS + 1))))
+        wanted = least_equal(len(other))
         out.append((*stretch(np.asarray(text), other, int(s)), wanted))
     return pd.DataFrame(out, columns=["item_at", "n_words", "n_equal", "wanted"])
 
@@ -197,20 +222,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     doc_id, item_id, doc_word and item_word (where the longest overlap starts,
     words from 0), n_words (its length) and n_equal (its equal words).  Whole
-    texts are searched.  Null texts are empty and overlap nothing; so do items
-    of fewer than LEAST_ITEM words.  Repeated documents
-    and items count once; rows without doc_id or item_id are left out; only
+    texts are searched.  Null texts are empty and overlap nothing; an item of
+    fewer than LEAST_ITEM words overlaps where all its words stand in a row, so
+    one of a single word wherever that stands.  Repeated documents and items count once; rows without doc_id or item_id are left out; only
     doc_id, item_id and text are read.
     """
     docs = docs.filter("doc_id is not null").select("doc_id", whole_text().alias("text"))
     items = benchmark.filter("item_id is not null").select(
         F.col("item_id").cast("string").alias("item_id"), whole_text().alias("text")
     )
-    windows = cut(items.mapInPandas(benchmark_seeds, "item_id string, at int, seed bigint, alone boolean").distinct())
-    alone = not windows.filter("alone").isEmpty()
+    windows = cut(items.mapInPandas(benchmark_seeds, "item_id string, at int, seed bigint, size int").distinct())
+    sizes = tuple(sorted(r["size"] for r in windows.select("size").distinct().collect()))  # at most LEAST_ITEM numbers
+    sizes = sizes or (0,)  # no items: nothing passes the empty bitmap
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(windows))  # 16 MB at most
     layout = "doc_id bigint, start int, words array<bigint>, at array<int>, seeds array<bigint>"
-    found = docs.mapInPandas(_regions(bitmap, alone), layout)
+    found = docs.mapInPandas(_regions(bitmap, sizes), layout)
     regions = cut(found.withColumn("region", F.monotonically_increasing_id()))
     hits = regions.select("region", "doc_id", "start", F.explode(F.arrays_zip("at", "seeds")).alias("h"))
     hits = hits.select("region", F.col("h.at").alias("here"), F.col("h.seeds").alias("seed"), "start")
