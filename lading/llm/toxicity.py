@@ -6,9 +6,13 @@ four and five characters, each hashed.  The score is
     sigmoid(w0 + sum w_i + 1/2 (|sum v_i|^2 - sum |v_i|^2)),
 
 so that pairs of terms count beyond their own weights.  Weights are learned
-with numpy on the driver from a bounded, balanced sample, for the terms whose
-share of texts differs between the labels by LEAST_Z standard errors; other
-terms have none.  Scoring goes through all of every text, in Arrow batches.
+with numpy on the driver from a bounded, balanced sample, for two kinds of
+terms: those whose own share of texts differs between the labels by LEAST_Z
+standard errors, and those of a pair that tells the labels apart although its
+terms may not: where the one stands, the other's share differs between the
+labels otherwise than where it doesn't.  So a word that is neutral by itself,
+as the name of a group, has its factors.  Other terms have none.  Scoring goes
+through all of every text, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -29,10 +33,15 @@ PER_CLASS = 5000  # sampled training rows of each label; the bound of what is fi
 SLOTS = 1 << 22  # hashed terms
 BLOCK = 1 << 18  # slots weighed at once, to spare the driver's memory
 LEAST_Z = 3.0
+PAIR_TERMS = 2048  # most frequent terms whose pairs are compared
+PAIR_SHARES = 0.005, 0.9  # of the sampled texts that hold such a term
+PAIR_Z, PAIR_LEAST = 6.0, 0.8  # how sure and how large the difference of a pair must be
 RANK, EPOCHS, BATCH, RATE = 4, 12, 64, 0.1
-LASSO = 0.0002  # shrinks single weights to zero, factors follow
+BEGIN = 0.02  # size of the first, random factors; with 0 the machine stays linear
+FAINT = 0.01  # squared length of factors that can be left out
+LASSO = 0.0002  # shrinks single weights to zero; factors are kept whatever the single weight
 WORD = re.compile(r"[^\W_]+")
-MEMO = 500_000  # words whose terms a task remembers
+MEMO, MEMO_SIZE = 1 << 17, 32  # words whose terms a task remembers, and their greatest length: some 30 MB
 
 
 def terms_of(word: str) -> list[int]:
@@ -81,18 +90,57 @@ def telling(texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
+def paired(texts: list[np.ndarray], y: np.ndarray, block: int = 256) -> np.ndarray:
+    """Terms of the pairs that interact: the share of texts with the second differs between the labels
+    by another amount where the first stands than where it doesn't, by PAIR_Z standard errors and PAIR_LEAST."""
+    seen = np.zeros(SLOTS, np.int32)
+    for t in texts:
+        seen[t] += 1
+    low, high = (share * len(texts) for share in PAIR_SHARES)
+    ids = np.flatnonzero((seen >= max(low, 5)) & (seen <= high))
+    ids = np.sort(ids[np.argsort(-seen[ids], kind="stable")[:PAIR_TERMS]])
+    if not len(ids):
+        return ids
+    both = np.zeros((2, len(ids), len(ids)), np.float32)
+    for label in (0, 1):
+        own = [t for t, x in zip(texts, y, strict=True) if x == label]
+        for at in range(0, len(own), 1000):
+            part = np.zeros((len(own[at : at + 1000]), len(ids)), np.float32)
+            for row, t in zip(part, own[at : at + 1000], strict=True):
+                row[np.searchsorted(ids, t[np.isin(t, ids)])] = 1
+            both[label] += part.T @ part
+    sizes = np.bincount(y, minlength=2)
+    alone = np.diagonal(both, axis1=1, axis2=2)  # texts with each term, by label
+    found = np.zeros(len(ids), bool)
+    for at in range(0, len(ids), block):
+        moved, error = 0.0, 0.0
+        for label, sign in ((1, 1), (0, -1)):
+            for held, way in ((True, 1), (False, -1)):
+                first = alone[label][at : at + block, None]
+                joint = both[label][at : at + block]
+                n = first if held else sizes[label] - first
+                share = ((joint if held else alone[label] - joint) + 0.5) / (n + 1)
+                moved = moved + sign * way * share
+                error = error + share * (1 - share) / (n + 1)
+        hit = np.abs(moved) >= np.maximum(PAIR_LEAST, PAIR_Z * np.sqrt(error))
+        hit[np.arange(len(hit)), at + np.arange(len(hit))] = False
+        found[at : at + block] |= hit.any(1)
+        found |= hit.any(0)
+    return ids[found]
+
+
 def fit(texts: list[np.ndarray], y: np.ndarray, prior: float, seed: int = 7) -> dict:
-    """Factors of the terms seen in enough texts; adaptive gradient steps with soft thresholds.
+    """Weights and factors of the telling terms; adaptive gradient steps with soft thresholds.
 
     prior: share of label 1 among all training rows, which the balanced sample hides.
     """
     if not len(texts) or len(np.unique(y)) < 2:  # nothing to tell apart: the one label seen, or 0
         base = 8.0 if len(y) and y[0] == 1 else -8.0
         return {"ids": np.zeros(0, int), "w0": base, "w": np.zeros(0), "v": np.zeros((0, RANK))}
-    ids = telling(texts, y)
+    ids = np.union1d(telling(texts, y), paired(texts, y))
     own = [np.searchsorted(ids, t[np.isin(t, ids)]) for t in texts]
     rng = np.random.default_rng(seed)
-    w0, w, v = 0.0, np.zeros(len(ids)), rng.normal(0, 0.01, (len(ids), RANK))
+    w0, w, v = 0.0, np.zeros(len(ids)), rng.normal(0, BEGIN, (len(ids), RANK))
     g0, gw, gv = 1e-6, np.full(len(ids), 1e-6), np.full(v.shape, 1e-6)
     share = y.mean()
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
@@ -116,8 +164,7 @@ def fit(texts: list[np.ndarray], y: np.ndarray, prior: float, seed: int = 7) ->
             moved = w[live] - step * dw
             w[live] = np.sign(moved) * np.maximum(np.abs(moved) - step * LASSO, 0)
             v[live] -= 0.2 * RATE / np.sqrt(gv[live]) * (dv + LASSO * v[live])
-    v[w == 0] = 0
-    used = w != 0
+    used = (w != 0) | ((v**2).sum(1) > FAINT)
     return {"ids": ids[used], "w0": float(w0), "w": w[used], "v": v[used]}
 
 
@@ -146,9 +193,11 @@ def scorer(model: dict):
             for word in words_of(text):
                 own = memo.get(word)
                 if own is None:
+                    own = [at[t] for t in terms_of(word) if t in at]
                     if len(memo) >= MEMO:
                         memo.clear()
-                    own = memo[word] = [at[t] for t in terms_of(word) if t in at]
+                    if len(word) <= MEMO_SIZE:
+                        memo[word] = own
                 found.update(own)
             sizes.append(len(found))
             flat.extend(sorted(found))
