@@ -1,7 +1,7 @@
 """A small convolutional network over bytes, in numpy: training, and fast scoring.
 
-Bytes are embedded; filters of several even widths slide over a window with
-stride 2; each filter's largest response (at least 0) over the window is kept;
+Bytes are embedded; filters of several even widths slide over a window byte by
+byte; each filter's largest response (at least 0) over the window is kept;
 a softmax layer combines them.  A sample may have several windows, whose
 pooled responses are averaged before the softmax.
 
@@ -11,9 +11,11 @@ position costs one table row for each two bytes of width and no product.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-STRIDE = 2
+STACK = 2048  # windows of several texts scored together
 
 
 def windows_of(text: bytes, size: int, step: int) -> np.ndarray:
@@ -51,8 +53,8 @@ def _forward(net: dict, flat: np.ndarray):
     e = net["emb"][flat]
     pooled, kept = [], []
     for width in _widths(net):
-        slides = np.lib.stride_tricks.sliding_window_view(flat, width, axis=1)[:, ::STRIDE]
-        x = e[np.arange(len(flat))[:, None, None], np.arange(0, slides.shape[1] * STRIDE, STRIDE)[:, None] + np.arange(width)]
+        slides = np.lib.stride_tricks.sliding_window_view(flat, width, axis=1)
+        x = e[np.arange(len(flat))[:, None, None], np.arange(slides.shape[1])[:, None] + np.arange(width)]
         x = x.reshape(len(flat), slides.shape[1], -1)
         z = x @ net[f"w{width}"] + net[f"b{width}"]
         top = z.argmax(1)
@@ -117,17 +119,30 @@ def tables(net: dict) -> list[list[np.ndarray]]:
     return out
 
 
-def pooled(by_pair: list[list[np.ndarray]], windows: np.ndarray, block: int = 1024) -> np.ndarray:
+def pooled(by_pair: list[list[np.ndarray]], windows: np.ndarray, block: int = 512) -> np.ndarray:
     """Largest responses in each window (n, all filters)."""
     parts = []
     for at in range(0, len(windows), block):
-        pairs = np.ascontiguousarray(windows[at : at + block]).view("<u2")  # first byte is the low one
+        flat = windows[at : at + block].astype(np.uint16)
+        pairs = flat[:, :-1] | flat[:, 1:] << 8  # first byte is the low one
         best = []
         for own in by_pair:
-            places = pairs.shape[1] - len(own) + 1
+            places = flat.shape[1] - 2 * len(own) + 1
             z = own[0][pairs[:, :places]]
             for j, rows in enumerate(own[1:], 1):
-                z += rows[pairs[:, j : j + places]]
+                z += rows[pairs[:, 2 * j : 2 * j + places]]
             best.append(np.maximum(z.max(1), 0))
         parts.append(np.concatenate(best, 1))
     return np.concatenate(parts)
+
+
+def responses(by_pair: list[list[np.ndarray]], texts: list[bytes], size: int, step: int) -> Iterator[np.ndarray]:
+    """Pooled responses of each text's windows; those of many texts are computed together."""
+    waiting, held = [], 0
+    for i, text in enumerate(texts, 1):
+        waiting.append(windows_of(text, size, step))
+        held += len(waiting[-1])
+        if held >= STACK or i == len(texts):
+            found = pooled(by_pair, np.concatenate(waiting))
+            yield from np.split(found, np.cumsum([len(w) for w in waiting])[:-1])
+            waiting, held = [], 0

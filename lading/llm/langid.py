@@ -1,7 +1,7 @@
 """Language of a text by a byte convolutional network.
 
-Filters of two, four and six bytes, max pooling and a softmax over fixed
-windows of WINDOW bytes, which are scored in batches and cover the whole text;
+Filters of two, four and six bytes, max pooling and a softmax over fixed,
+overlapping windows of WINDOW bytes, which are scored in batches and cover the whole text;
 the windows' log-probabilities are averaged by the bytes they hold.  Trained
 with numpy on the driver, from a bounded sample of each language.
 """
@@ -20,6 +20,7 @@ from lading.llm.common import balanced_sample, fold
 
 PER_LANGUAGE = 1500  # sampled training rows of each language; the bound of what is fitted on
 WINDOW = 128
+STEP = 123  # windows overlap by the widest filter less one byte, so no place is left out
 TRAIN_WINDOWS = 3  # of each training text, evenly over it
 FILTERS = {2: 8, 4: 16, 6: 12}
 UNKNOWN = "und"
@@ -27,7 +28,7 @@ UNKNOWN = "und"
 
 @pandas_udf(BinaryType())
 def _windows(texts: pd.Series) -> pd.Series:
-    whole = (bytenet.windows_of(t or b"", WINDOW, WINDOW) for t in texts)
+    whole = (bytenet.windows_of(t or b"", WINDOW, STEP) for t in texts)
     return pd.Series([bytenet.spread(w, TRAIN_WINDOWS).tobytes() for w in whole])
 
 
@@ -53,17 +54,14 @@ def scorer(langs: list[str], net: dict | None):
 
     @pandas_udf("lang string, score double")
     def language(texts: pd.Series) -> pd.DataFrame:
+        if net is None:
+            return pd.DataFrame({"lang": [langs[0] if langs else UNKNOWN] * len(texts), "score": 1.0 if langs else 0.0})
         out = []
-        by_pair = bytenet.tables(net) if net else None
-        for text in texts:
-            if net is None:
-                out.append((langs[0] if langs else UNKNOWN, 1.0 if langs else 0.0))
-                continue
-            text = text or b""
-            responses = bytenet.pooled(by_pair, bytenet.windows_of(text, WINDOW, WINDOW))
-            logs = np.log(bytenet.softmax(responses @ net["head"] + net["bias"]) + 1e-9)
+        raw = [t or b"" for t in texts]
+        for text, found in zip(raw, bytenet.responses(bytenet.tables(net), raw, WINDOW, STEP), strict=True):
+            logs = np.log(bytenet.softmax(found @ net["head"] + net["bias"]) + 1e-9)
             held = np.full(len(logs), WINDOW)
-            held[-1] = max(1, len(text) - WINDOW * (len(logs) - 1))
+            held[-1] = max(1, len(text) - STEP * (len(logs) - 1))
             p = bytenet.softmax((logs * held[:, None]).sum(0) / held.sum())
             best = int(p.argmax())
             out.append((langs[best], float(p[best])))
@@ -77,7 +75,8 @@ def predict(docs: DataFrame, langs: list[str], net: dict | None) -> DataFrame:
 
     Null texts and texts without a letter are `und` with score 0; so is every
     text if no language was learned.  If one was, each text with a letter gets
-    it with score 1.  Repeated rows get equal answers; columns already called
+    it with score 1.  Of languages of equal probability the first in order is
+    taken.  Repeated rows get equal answers; columns already called
     lang_pred or score are replaced.
     """
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

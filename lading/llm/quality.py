@@ -52,12 +52,9 @@ def scorer(net: dict | None):
     def quality(texts: pd.Series) -> pd.Series:
         if net is None:
             return pd.Series(np.full(len(texts), 0.5))
-        by_pair = bytenet.tables(net)
-        out = []
-        for text in texts:
-            mean = bytenet.pooled(by_pair, bytenet.windows_of(text or b"", CHUNK, STEP)).mean(0)
-            out.append(float(bytenet.softmax(mean @ net["head"] + net["bias"])[1]))
-        return pd.Series(out)
+        chunks = bytenet.responses(bytenet.tables(net), [t or b"" for t in texts], CHUNK, STEP)
+        means = np.array([c.mean(0) for c in chunks])
+        return pd.Series(bytenet.softmax(means @ net["head"] + net["bias"])[:, 1].astype(float) if len(means) else means)
 
     return quality
 
