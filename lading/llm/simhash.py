@@ -11,11 +11,6 @@ Equal fingerprints are one node.  A bucket of more than CROWD different
 fingerprints isn't paired: its members are linked through points of the cube
 at most RADIUS / 2 bits away, which two fingerprints share exactly if they are
 within the radius; that costs a fixed number of rows a fingerprint.
-
-`near_groups` is for word shingles at a resemblance of 0.8 and more, where
-64-bit SimHash distances run from 5 to 14 bits, out of reach of any covering
-code of sensible size.  There, banded minima of the shingle hashes add
-candidates, and the exact Jaccard resemblance decides.
 """
 
 from __future__ import annotations
@@ -28,15 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, LongType, StructType
 
 from lading.llm.components import components
 from lading.materialise import cut
 
 BITS, RADIUS, SEED = 64, 4, 42
 CROWD = 256  # different fingerprints in a bucket from which shared points are cheaper than pairs
-BANDS, BAND_ROWS = 16, 4  # at a resemblance of 0.8: 0.02 % of the pairs share no band
-PAIRED = 8  # members up to which a band's bucket is paired wholly, at most four pairs a member
 BLOCK = 1 << 16  # shingle hashes unpacked at once
 
 
@@ -148,116 +140,13 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> Dat
     )
 
 
-@pandas_udf(StructType().add("fp", LongType()).add("bands", ArrayType(LongType())).add("size", LongType()).add("same", LongType()))
-def _sketch(texts: pd.Series) -> pd.DataFrame:
-    """SimHash of the five-word shingles, a key for each band of minima, and number and hash of the distinct shingles."""
-    odd = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * 2 + 1
-    out = []
-    for text in texts:
-        hashes = shingle_hashes(text, 5)
-        least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(hashes), 2048):
-            least = np.minimum(least, (hashes[None, at : at + 2048] * odd[:, None]).min(1))
-        rows = least.reshape(BANDS, BAND_ROWS)
-        bands = [xxhash.xxh64_intdigest(r.tobytes(), b) - (1 << 63) for b, r in enumerate(rows)]
-        distinct = np.unique(hashes)
-        out.append((majority(hashes), bands, len(distinct), xxhash.xxh64_intdigest(distinct.tobytes(), SEED) - (1 << 63)))
-    return pd.DataFrame(out, columns=["fp", "bands", "size", "same"])
-
-
-@pandas_udf(ArrayType(LongType()))
-def _shingle_set(texts: pd.Series) -> pd.Series:
-    return pd.Series([np.unique(shingle_hashes(t, 5)).astype(np.int64) for t in texts])
-
-
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, id, size, n) of the nodes of each band's bucket of n members, two at least."""
-    band = F.posexplode("bands").alias("band", "value")
-    rows = nodes.select("id", "size", band).select("id", "size", F.xxhash64("band", "value").alias("key"))
-    return rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
-
-
-def _pairs(rows: DataFrame, wanted: str = "true") -> DataFrame:
-    """(a, b) of all members of each bucket that fulfil a condition on the rows' columns, called a_... and b_..."""
-    left, right = (rows.select("key", *(F.col(c).alias(f"{x}_{c}") for c in rows.columns if c != "key")) for x in "ab")
-    pairs = left.join(right, (left.key == right.key) & F.expr("a_id < b_id") & F.expr(wanted))
-    return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
-
-
-def _with_centre(rows: DataFrame, first: Column) -> DataFrame:
-    """(a, b) of each bucket's member of the greatest `first` (a hash decides ties) with all not linked to it yet."""
-    rank = F.struct(first.alias("first"), F.xxhash64("key", "id").alias("rank"), "id", "component")
-    centres = rows.groupBy("key").agg(F.max(rank).alias("c"))
-    apart = rows.join(centres, "key").filter(F.col("component") != F.col("c.component"))
-    return apart.select(F.least("c.id", "id").alias("a"), F.greatest("c.id", "id").alias("b")).distinct()
-
-
-def _open(rows: DataFrame, close: DataFrame) -> DataFrame:
-    """Rows of the buckets whose members links don't all connect yet, with each member's component."""
-    of = components(close, "a", "b").withColumnRenamed("component", "of")
-    rows = rows.drop("component").join(of, "id", "left").withColumn("component", F.coalesce("of", "id")).drop("of")
-    split = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return cut(rows.join(split.filter("low <> high").select("key"), "key"))
-
-
-def near_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(id, component) of documents whose five-word shingles resemble another's by `least` or more.
-
-    Candidates come from the covering tables and from bands of minima; the
-    exact Jaccard resemblance of the whole texts' shingle sets decides.
-    Texts of equal shingles are one node, named by the smallest doc_id.
-
-    Every two nodes of a band's bucket are compared or linked through others.
-    A bucket of more than PAIRED is compared with a centre first, then with
-    its member of most links, which is the base text of a group of edited
-    copies; those that aren't linked by then are paired wholly.
-    """
-    known = docs.filter("doc_id is not null")
-    sketch = _sketch(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    sketches = cut(known.select("doc_id", sketch.alias("s")).select("doc_id", "s.*"))
-    classes = sketches.groupBy("fp", "same").agg(
-        F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("size").alias("size")
-    )
-    nodes = cut(classes)
-    equal = sketches.select("doc_id", "fp", "same").join(nodes.select("fp", "same", "id"), ["fp", "same"])
-    equal = equal.filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    one = nodes.groupBy("fp").agg(F.min("id").alias("id"))
-    alike = nodes.join(one.select("fp", F.col("id").alias("a")), "fp").filter("a <> id")  # other shingles, same SimHash
-    alike = alike.select("a", F.col("id").alias("b"))
-    shared = cut(_buckets(nodes))
-    many = shared.filter(F.col("n") > PAIRED).select("key", "id", "size", F.col("id").alias("component"))
-    banded = _pairs(shared.filter(F.col("n") <= PAIRED).select("key", "id")).unionByName(_with_centre(many, F.lit(0)))
-    pairs = cut(links(one).unionByName(alike).unionByName(banded).distinct())
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    texts = known.select("doc_id", "text").join(wanted.distinct(), "doc_id", "left_semi")
-    shingles = _shingle_set(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    sets = cut(texts.select("doc_id", shingles.alias("set")))
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        left, right = sets.toDF("a", "left"), sets.toDF("b", "right")
-        common = F.size(F.array_intersect("left", "right"))
-        resembles = common >= least * (F.size("left") + F.size("right") - common)
-        return cut(pairs.join(left, "a").join(right, "b").filter(resembles).select("a", "b"))
-
-    close = compared(pairs)
-    rows = _open(many, close)
-    if not rows.isEmpty():
-        degrees = close.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-        ranked = rows.join(degrees, "id", "left")
-        close = close.unionByName(compared(_with_centre(ranked, F.coalesce("links", F.lit(0)))))
-        rows = _open(rows, close)
-    if not rows.isEmpty():
-        long_enough = f"least(a_size, b_size) >= {least} * greatest(a_size, b_size)"
-        close = close.unionByName(compared(_pairs(rows, f"a_component <> b_component and {long_enough}")))
-    return components(close.unionByName(equal), "a", "b")
-
-
-def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFrame:
     """docs without near-duplicates: of each group the document of the smallest id stays.
 
     Rows that share a doc_id are one document, of which one row stays (if
     their other columns differ, any one of them); rows without doc_id all stay.
     """
-    go = near_groups(docs, least).filter("id <> component").select(F.col("id").alias("doc_id"))
+    groups = simhash_groups(docs, words, radius)
+    go = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     once = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     return once.join(go, "doc_id", "left_anti").unionByName(docs.filter("doc_id is null")).select(docs.columns)
