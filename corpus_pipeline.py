@@ -26,7 +26,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group whose five-word shingles resemble by 0.8 or more."""
+    """One document, that of the smallest id, of each group linked by SimHash, as op10_simhash links them."""
     return simhash.keep_one(docs)
 
 
