@@ -30,7 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL = 0x2581, 0x110000  # the space mark; a mark that the text itself holds
 BASE = 0x9E3779B97F4A7C15  # odd: has an inverse modulo 2^64
 PART = 300_000  # characters handled at once
-STORE = 400_000  # characters of distinct units whose lattices a task remembers at most, 128 bytes each
+STORE = 2_500_000  # arcs of the lattices a task remembers, about, nine bytes each and their names
 LONG = 64  # characters from which a unit is searched for places that no piece crosses
 STEEP = 1.0  # power of the weights: higher keeps closer to the likeliest way
 
@@ -119,11 +119,12 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - before, sizes)
 
 
-def filter_forward(vocabulary: Vocabulary, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each character of the units: running probabilities of the last piece's length, and its id.
+def filter_forward(vocabulary: Vocabulary, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The pieces that may come last, for each character of the units.
 
-    Row c, column l - 1 is about pieces of l characters that end at c; id -1
-    spells one character in bytes.
+    Number of pieces that end at each character; then for all of those, in
+    order of their lengths, the running probability, the id (-1 spells one
+    character in bytes) and the length.
     """
     longest, n = vocabulary.longest, len(chars)
     powers = Powers(n)
@@ -157,7 +158,9 @@ def filter_forward(vocabulary: Vocabulary, chars: np.ndarray, sizes: np.ndarray)
         if p % longest == 0:  # only ratios count: keep them in range however long the unit is
             window = node[:, None] - np.arange(longest)
             total[window] /= total[node][:, None]
-    return chance, ids
+    held = ids >= 0
+    held[:, 0] = True
+    return held.sum(1), chance[held], ids[held], np.nonzero(held)[1].astype(np.uint8) + np.uint8(1)
 
 
 def _units(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -195,55 +198,62 @@ def _cut_long(vocabulary: Vocabulary, chars: np.ndarray, start: np.ndarray, size
 class Store:
     """Lattices of units met before, so that each distinct unit is filtered once.
 
-    It grows with what it holds, up to STORE characters, and then starts anew;
-    what a single call needs beyond that is given back after it.
+    It grows with what it holds; with more than STORE arcs it starts anew
+    before the next call.
     """
 
     def __init__(self, vocabulary: Vocabulary):
-        self.longest = vocabulary.longest
-        self._clear(1 << 15)
-
-    def _clear(self, room: int):
-        self.chance = np.empty((room, self.longest), np.float32)
-        self.ids = np.empty((room, self.longest), np.int32)
-        self.used, self.known = 0, {}
-
-    def _make_room(self, more: int):
-        room = len(self.ids)
-        if self.used + more <= room <= STORE:
-            return
-        if self.used + more > STORE:
-            self._clear(max(more, min(room, STORE)))
-            return
-        room = min(STORE, max(2 * room, self.used + more))
-        for name in ("chance", "ids"):
-            old = getattr(self, name)
-            new = np.empty((room, self.longest), old.dtype)
-            new[: self.used] = old[: self.used]
-            setattr(self, name, new)
+        self._clear()
+
+    def _clear(self):
+        self.arcs = [np.empty(1 << 14, kind) for kind in (np.float32, np.int32, np.uint8)]
+        self.first = np.empty(1 << 12, np.int32)  # each character's first arc
+        self.used = self.characters = 0
+        self.known: dict[int, int] = {}
+
+    @staticmethod
+    def _put(old: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+        if used + len(more) > len(old):
+            new = np.empty(max(used + len(more), len(old) * 3 // 2), old.dtype)
+            new[:used] = old[:used]
+            old = new
+        old[used : used + len(more)] = more
+        return old
 
     def places(self, vocabulary: Vocabulary, names: np.ndarray, chars: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """First row of each distinct unit, after filtering the new ones."""
-        self._make_room(int(size.sum()))
+        """Number of the first character of each distinct unit, after filtering the new ones."""
+        if self.used > STORE:
+            self._clear()
         names = names.tolist()
         place = np.array([self.known.get(n, -1) for n in names], np.int64)
         new = np.flatnonzero(place < 0)
         if len(new):
             own = size[new]
-            place[new] = self.used + np.cumsum(own) - own
-            chance, ids = filter_forward(vocabulary, chars[_spans(start[new], own)], own)
-            end = self.used + len(ids)
-            self.chance[self.used : end], self.ids[self.used : end] = chance, ids
-            self.used = end
+            place[new] = self.characters + np.cumsum(own) - own
+            count, *arcs = filter_forward(vocabulary, chars[_spans(start[new], own)], own)
+            self.first = self._put(self.first, self.characters, self.used + np.cumsum(count) - count)
+            self.arcs = [self._put(old, self.used, more) for old, more in zip(self.arcs, arcs, strict=True)]
+            self.characters += len(count)
+            self.used += len(arcs[0])
             self.known.update(zip([names[i] for i in new.tolist()], place[new].tolist(), strict=True))
         return place
 
+    def draw(self, character: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        """The arc into each character that a number from 0 to 1 chooses."""
+        running = self.arcs[0]
+        arc = self.first[character]
+        left = np.flatnonzero(running[arc] <= chance)
+        while len(left):  # the last arc's running probability is 1
+            arc[left] += 1
+            left = left[running[arc[left]] <= chance[left]]
+        return arc
+
 
 def sample(vocabulary: Vocabulary, store: Store, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts one after another, and how many each text has; keys are 64-bit row hashes."""
     raw = np.frombuffer("".join("￼" + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-    lengths = np.array([len(t) + 1 for t in texts])
-    first = np.cumsum(lengths) - lengths
+    of_text = np.array([len(t) + 1 for t in texts])
+    first = np.cumsum(of_text) - of_text
     raw[raw == MARK] = LITERAL
     raw[raw == 32] = MARK
     raw[first] = MARK
@@ -255,7 +265,7 @@ def sample(vocabulary: Vocabulary, store: Store, texts: list[str], keys: np.ndar
     name = powers.hashes(sums, start, start + size) + _mix(size.astype(np.uint64))
     name, one, which = np.unique(name, return_index=True, return_inverse=True)
     base = store.places(vocabulary, name, raw, start[one], size[one])[which]
-    chance, ids = store.chance, store.ids
+    _, ids, lengths = store.arcs
     row = np.searchsorted(first, start, side="right") - 1
     order = np.arange(len(start)) - np.searchsorted(start, first)[row]  # of the unit in its text
     seed = _mix(keys.astype(np.uint64)[row] + _mix(order.astype(np.uint64) + np.uint64(1)))
@@ -265,13 +275,13 @@ def sample(vocabulary: Vocabulary, store: Store, texts: list[str], keys: np.ndar
     while len(live):
         node = base[live] + left[live] - 1
         drawn = (_mix(seed[live] + np.uint64(step)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-        length = (chance[node] <= drawn[:, None]).sum(1)  # column of the piece
-        piece = ids[node, length]
+        arc = store.draw(node, drawn)
+        piece = ids[arc]
         spelled = piece < 0
         piece[spelled] = -1 - raw[start[live[spelled]] + left[live[spelled]] - 1].astype(np.int32)
         steps.append((live, piece))
         counts[live] += 1
-        left[live] -= length + 1
+        left[live] -= lengths[arc]
         live = live[left[live] > 0]
         step += 1
     offset = np.cumsum(counts)
