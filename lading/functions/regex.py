@@ -8,6 +8,7 @@ the JVM; any other pattern is tested by an Arrow-batched pandas UDF.
 from __future__ import annotations
 
 import re
+from re import _parser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -99,6 +100,40 @@ def regex_portable(pattern: str) -> str | None:
     return "(?d)" + "".join(out)
 
 
+def literal_runs(pattern: str) -> list[str]:
+    """Texts that every match of a Python pattern contains, as far as its structure shows.
+
+    Alternatives, classes and optional parts interrupt a text; parts that
+    occur at least once have texts of their own.  None if letter case is ignored.
+    """
+    tree = _parser.parse(pattern)
+    runs = [""]
+
+    def walk(items) -> None:
+        for op, value in items:
+            name = str(op)
+            if name == "LITERAL":
+                runs[-1] += chr(value)
+            elif name == "SUBPATTERN":
+                if value[1] & re.IGNORECASE:
+                    runs.append("")
+                else:
+                    walk(value[3])
+            elif name == "ATOMIC_GROUP":
+                walk(value)
+            elif name in ("AT", "ASSERT", "ASSERT_NOT"):
+                continue  # of no width
+            else:
+                runs.append("")
+                if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+                    walk(value[2])
+                    runs.append("")
+
+    if not tree.state.flags & re.IGNORECASE:
+        walk(tree)
+    return [run for run in runs if run]
+
+
 def _python_test(pattern: str, mode: str):
     @F.pandas_udf("boolean")
     def test(subject: pd.Series) -> pd.Series:
@@ -142,12 +177,6 @@ def java_pattern(pattern: Column, mode: str) -> Column:
     return translate(pattern)
 
 
-def java_or_error(pattern: Column, mode: str) -> Column:
-    """The same where a pattern without JVM form must not go unnoticed."""
-    lost = F.raise_error(F.concat(F.lit("pattern without a JVM form: "), pattern)).cast("string")
-    return F.when(pattern.isNotNull(), F.coalesce(java_pattern(pattern, mode), lost))
-
-
 def regex_test_by_row(subject: Column, pattern: Column, mode: str) -> Column:
     """Test each row's subject with that row's own Python pattern."""
 

@@ -1,9 +1,10 @@
 """Assign files to declared types by include/exclude patterns.
 
-With the label known when the plan is built, every pattern becomes part of
-one projection: no join, no shuffle, the regexes run inside codegen.  For an
-archive of many labels `match_types_by_delivery` does the same with an
-equi-join on the delivery key.
+With one label known when the plan is built, every pattern becomes part of
+one projection: no join, no shuffle, the regexes run inside codegen.  With
+several labels files carry `dataset` and `delivery_id`, and the index of
+`archive` finds the patterns of their own label; the operators here then take
+everything by those keys, so labels may share type names.
 """
 
 from __future__ import annotations
@@ -15,16 +16,18 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lading.functions.names import basename
-from lading.functions.regex import java_or_error, regex_test
+from lading.functions.regex import regex_test
+from lading.operators.archive import ANCHORING, DELIVERY, match_types_by_delivery
 from lading.spec import DATA_STANDARDS, Specs
 
-# How a file-name pattern is applied: (tested text, regex mode).
-ANCHORING = {
-    "search": (lambda path: path, "search"),  # listing, describing, local checks
-    "basename": (basename, "match"),  # manifest checks
-    "full": (lambda path: path, "fullmatch"),  # as documented
-}
+
+def label_keys(files: DataFrame, specs: Specs) -> list[str]:
+    """Columns that name a file's label: none with a single label."""
+    if specs.single:
+        return []
+    if set(DELIVERY) <= set(files.columns):
+        return DELIVERY
+    raise ValueError("with several labels, files need the columns dataset and delivery_id")
 
 
 def covers(
@@ -40,7 +43,9 @@ def covers(
 
 
 def match_types(files: DataFrame, specs: Specs, match: str = "search") -> DataFrame:
-    """Add `types`, the array of all types that cover each path."""
+    """Add `types`, the array of all types (of the file's label) that cover each path."""
+    if label_keys(files, specs):
+        return match_types_by_delivery(files, specs.patterns, match)
     hits = [
         F.when(covers(F.col("path"), patterns, match), F.lit(type_))
         for type_, patterns in specs.patterns_by_type.items()
@@ -52,39 +57,6 @@ def match_types(files: DataFrame, specs: Specs, match: str = "search") -> DataFr
     )
 
 
-def match_types_by_delivery(
-    files: DataFrame, patterns: DataFrame, match: str = "search"
-) -> DataFrame:
-    """J1 for files and SPEC_PATTERNS of many deliveries.
-
-    Patterns are gathered into one array per delivery (its size is that of
-    the label) and joined on the delivery key, so no file x pattern pairs are
-    produced.  A pattern that has no JVM form is an error.
-    """
-    subject, mode = ANCHORING[match]
-    delivery = ["dataset", "delivery_id"]
-    per_type = patterns.withColumn("java", java_or_error(F.col("pattern"), mode))
-    per_type = per_type.groupBy(*delivery, "type").agg(
-        F.collect_list(F.when(F.col("include"), F.col("java"))).alias("includes"),
-        F.collect_list(F.when(~F.col("include"), F.col("java"))).alias("excludes"),
-    )
-    per_delivery = per_type.groupBy(*delivery).agg(
-        F.array_sort(F.collect_list(F.struct("type", "includes", "excludes"))).alias("__spec")
-    )
-    text = subject(F.col("path"))
-
-    def covering(spec: Column) -> Column:
-        return F.exists(spec["includes"], lambda p: F.rlike(text, p)) & ~F.exists(
-            spec["excludes"], lambda p: F.rlike(text, p)
-        )
-
-    joined = files.join(per_delivery, delivery, "left")
-    types = F.transform(F.filter("__spec", covering), lambda s: s["type"])
-    return joined.withColumn(
-        "types", F.coalesce(types, F.array().cast("array<string>"))
-    ).drop("__spec")
-
-
 def classify(files: DataFrame, specs: Specs, match: str = "search") -> DataFrame:
     """`types`, the single `type` (NULL otherwise) and a classification."""
     n_types = F.size("types")
@@ -100,6 +72,8 @@ def classify(files: DataFrame, specs: Specs, match: str = "search") -> DataFrame
 
 def covered_only(files: DataFrame, specs: Specs, match: str = "search") -> DataFrame:
     """P5: files some type covers."""
+    if label_keys(files, specs):
+        return match_types(files, specs, match).filter(F.size("types") > 0).drop("types")
     tests = [
         covers(F.col("path"), patterns, match)
         for patterns in specs.patterns_by_type.values()
@@ -116,8 +90,8 @@ def exempt_label_file(
 
 def drop_ignored(classified: DataFrame, specs: Specs) -> DataFrame:
     """Files of types marked `ignore` are neither checked nor sent."""
-    ignored = specs.types.filter("ignore").select("type")
-    return classified.join(ignored, "type", "left_anti")
+    keys = [*label_keys(classified, specs), "type"]
+    return classified.join(specs.types.filter("ignore").select(keys), keys, "left_anti")
 
 
 def init_status(index: DataFrame) -> DataFrame:
@@ -141,11 +115,12 @@ def ambiguous_files(classified: DataFrame) -> DataFrame:
 
 
 def missing_types(classified: DataFrame, specs: Specs) -> DataFrame:
-    """A1: types of the label without any file."""
-    used = classified.select(F.explode("types").alias("type")).groupBy("type").agg(
+    """A1: types of the label (of each label) without any file."""
+    keys = label_keys(classified, specs)
+    used = classified.select(*keys, F.explode("types").alias("type")).groupBy(*keys, "type").agg(
         F.count(F.lit(1)).alias("n")
     )
-    return specs.types.join(used, "type", "left_anti").select(
+    return specs.types.join(used, [*keys, "type"], "left_anti").select(
         "dataset", "delivery_id", "type"
     )
 
@@ -172,11 +147,9 @@ _OBJECT_CHECKS = ("schema", "dtype", "objtype", "metadata", "ndim", "value", "na
 
 
 def needs_data_check(specs: Specs) -> DataFrame:
-    """SPEC_TYPES with `skips` (global and own) and `needs_data`."""
-    skips = F.array_union(
-        F.coalesce("skip", F.array().cast("array<string>")),
-        F.array(*[F.lit(s) for s in specs.global_skip]).cast("array<string>"),
-    )
+    """SPEC_TYPES with `skips` (its label's and its own) and `needs_data`."""
+    none = F.array().cast("array<string>")
+    skips = F.array_union(F.coalesce("skip", none), F.coalesce("global_skip", none))
     present = {
         check: F.max(F.col(check).isNotNull()).alias(check)
         for check in ("dtype", "objtype", "ndim", "value", "name")
@@ -189,7 +162,9 @@ def needs_data_check(specs: Specs) -> DataFrame:
         specs.types.join(objects, keys, "left")
         .join(schemas, keys, "left")
         .join(metas, keys, "left")
+        .join(specs.options.select(*DELIVERY, "global_skip"), DELIVERY, "left")
         .withColumn("skips", skips)
+        .drop("global_skip")
     )
 
     def asked(check: str) -> Column:
@@ -206,11 +181,12 @@ def needs_data_check(specs: Specs) -> DataFrame:
 
 
 def type_lookup(classified: DataFrame, specs: Specs) -> DataFrame:
-    """Files with their type's options; the type table has label size."""
+    """Files with the options of their type in their own label, one row a file."""
+    keys = [*label_keys(classified, specs), "type"]
     types = needs_data_check(specs).select(
-        "type", "standard", "ignore", "skips", "hook", "needs_data"
+        *keys, "standard", "ignore", "skips", "hook", "needs_data"
     )
-    return classified.join(types, "type", "left").withColumn(
+    return classified.join(types, keys, "left").withColumn(
         "needs_data", F.coalesce("needs_data", F.lit(False))
     )
 

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lading.functions.scalars import event_time
+from lading.functions.scalars import event_time, utc_millis
 from lading.operators import scans
 from lading.operators.manifest import can_transfer, is_complete, no_retry
 
@@ -269,12 +269,20 @@ def progress(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def delivery_report(
-    index: DataFrame, states: DataFrame, delivery: dict[str, str], events: DataFrame | None = None
+    index: DataFrame,
+    states: DataFrame,
+    delivery: dict[str, str],
+    events: DataFrame | None = None,
+    completed_at: Column | None = None,
+    exception: str | None = None,
 ) -> DataFrame:
     """One row per delivery; the errors themselves are `delivery_errors`.
 
-    With `events`, each transfer of a file that the manifest doesn't know
-    counts among the failures too.
+    `delivery` are its own fields (dataset, delivery_id, transfer_type,
+    label_path).  `completed_at` is the time of the report unless given, as
+    UTC; `exception` what ended the run, if something did.  With `events`, each
+    transfer of a file that the manifest doesn't know counts among the
+    failures too.
     """
     joined = manifest_states(index.filter("will_transfer"), states)
     rows = joined.select("state", "retries", F.lit(True).alias("expected"))
@@ -305,6 +313,8 @@ def delivery_report(
         "n_errors",
         (F.col("n_errors") + F.col("failed_transfers")).alias("total_failures"),
         result.alias("validation_result"),
+        (utc_millis(F.current_timestamp()) if completed_at is None else completed_at).alias("completed_at"),
+        F.lit(exception or "None").alias("pipeline_exception"),
     )
 
 

@@ -153,29 +153,27 @@ def check_manifest(
     """V9: (prepared index, problems) of a whole manifest.
 
     The index gets `filename`, `type`, `status` and `n_fail`; problems are
-    `problem, subject` rows, empty when the manifest can be accepted.
+    `problem, subject` rows, empty when the manifest can be accepted.  With
+    several labels, index and problems have `dataset` and `delivery_id` too.
     """
     classified = c.classify(index.withColumn("filename", basename(F.col("path"))), specs, match)
-    found = [
-        c.ambiguous_files(classified).select(
-            F.lit("ambiguous filetype").alias("problem"), F.col("path").alias("subject")
-        )
-    ]
-    if not specs.no_assigned_filetype_ok:
-        found.append(
-            c.unassigned_files(classified).select(
-                F.lit("no filetype").alias("problem"), F.col("path").alias("subject")
-            )
-        )
-    if not specs.missing_filetypes_ok:
-        found.append(
-            c.missing_types(classified, specs).select(
-                F.lit("filetype without files").alias("problem"),
-                F.col("type").alias("subject"),
-            )
-        )
-    problems = found[0]
-    for more in found[1:]:
-        problems = problems.unionByName(more)
+    keys = c.label_keys(classified, specs)
+
+    def told(rows: DataFrame, problem: str, subject: str) -> DataFrame:
+        return rows.select(*keys, F.lit(problem).alias("problem"), F.col(subject).alias("subject"))
+
+    def unless(rows: DataFrame, flag: str) -> DataFrame:
+        allowing = specs.options.filter(F.col(flag))
+        if keys:
+            return rows.join(allowing.select(keys), keys, "left_anti")
+        return rows if allowing.isEmpty() else rows.limit(0)  # one row, held by the driver
+
+    unassigned = unless(c.unassigned_files(classified), "no_assigned_filetype_ok")
+    missing = unless(c.missing_types(classified, specs), "missing_filetypes_ok")
+    problems = (
+        told(c.ambiguous_files(classified), "ambiguous filetype", "path")
+        .unionByName(told(unassigned, "no filetype", "path"))
+        .unionByName(told(missing, "filetype without files", "type"))
+    )
     prepared = c.init_status(classified).drop("types", "assignment")
     return prepared, problems

@@ -24,7 +24,7 @@ from lading.operators.metadata import validate_metadata
 from lading.operators.nodes import match_nodes
 from lading.sources import probes
 from lading.sources.catalog import Catalog
-from lading.spec import DATA_STANDARDS, Specs
+from lading.spec import DATA_STANDARDS, Specs, qualified_type
 
 _FAILURE = ("path", "object", "check", "key", "message")
 
@@ -311,6 +311,7 @@ def validate_all(
     """
     if index is not None:
         files = manifest.select_queued(files, index)
+    keys = c.label_keys(files, specs)
     classified = c.type_lookup(c.classify(files, specs, match), specs)
     kept = cut(classified.filter(~F.coalesce("ignore", F.lit(False))))
     unusable = kept.filter(F.col("type").isNull()).select(
@@ -330,6 +331,7 @@ def validate_all(
     )
     bad = failures.groupBy("path").agg(F.count(F.lit(1)).alias("n_failures"))
     verdicts = kept.join(bad, "path", "left").select(
+        *keys,
         "path",
         "type",
         F.when(F.col("n_failures").isNull(), "ok").otherwise("failure").alias("verdict"),
@@ -348,6 +350,8 @@ def validate_content(
     run_hooks: bool = True,
 ) -> DataFrame:
     """V2, V3, V4 and X1 for the files whose type asks for content checks."""
+    if c.label_keys(typed, specs):  # types of equal names are told apart by their labels
+        typed, specs = typed.withColumn("type", qualified_type()), specs.qualified()
     opened = typed.filter("needs_data").select("path", "type", "standard", "hook", "skips")
 
     def of(standard: str) -> DataFrame:
@@ -369,15 +373,12 @@ def validate_file(files: DataFrame, path: str, specs: Specs, root: str, **option
 
 
 def validate_all_summary(outcome: Validation) -> DataFrame:
-    """Failed files with their number of failures and first failure text.
-
-    All further failures are rows of `Validation.failures`.
-    """
+    """Failed files with their number of failures and all failure texts, in order."""
     text = failure_text(F.col("object"), F.col("check"), F.col("key"), F.col("message"))
-    first = outcome.failures.groupBy("path").agg(
-        F.count(F.lit(1)).alias("n_failures"), F.min(text).alias("first_failure")
+    found = outcome.failures.groupBy("path").agg(
+        F.count(F.lit(1)).alias("n_failures"), F.sort_array(F.collect_set(text)).alias("findings")
     )
-    return first.orderBy("path")
+    return found.orderBy("path")
 
 
 def count_outcomes(outcome: Validation) -> DataFrame:
@@ -405,16 +406,19 @@ def server_validate(
         index = index.withColumn("checksum", F.lit(None).cast("string"))
     present = manifest.check_presence_checksum(index.drop("status", "message"), listing)
     present = cut(present)
+    keys = c.label_keys(present, specs)
     typed = c.type_lookup(
-        present.filter(F.col("status") == "ok").select("path", "type"), specs
+        present.filter(F.col("status") == "ok").select(*keys, "path", "type"), specs
     )
     failures = cut(validate_content(typed, specs, root, catalog, hooks))
     crashed = F.col("check").startswith("hook:") & (F.col("key") == "error")
     text = failure_text(F.col("object"), F.col("check"), F.col("key"), F.col("message"))
     found = failures.groupBy("path").agg(
-        F.bool_or(crashed).alias("__crashed"), F.min(text).alias("__text")
+        F.bool_or(crashed).alias("__crashed"),
+        F.array_join(F.sort_array(F.collect_set(text)), "\n").alias("__text"),
     )
     verdicts = present.join(found, "path", "left").select(
+        *keys,
         "path",
         F.when(F.col("__crashed"), "error")
         .when(F.col("__text").isNotNull(), "failure")

@@ -162,7 +162,7 @@ def server_validate(spark, folder):
     ghost = files.filter("path = 'nation.parquet'").select(F.lit("ghost.parquet").alias("path"), "type")
     index = files.unionByName(ghost)
     verdicts, _ = v.server_validate(index, listing, specs, folder)
-    return verdicts.select(_stem("path").alias("tab"), "status")
+    return verdicts.select(_stem("path").alias("tab"), "status", F.nullif("message", F.lit("")).alias("message"))
 
 
 def hooked_checks(spark, folder):
@@ -446,9 +446,9 @@ def validate_orders_as_hdus(spark, folder):
 
 
 def validation_summary(spark, folder):
-    """Failed table files with their number of failures."""
+    """Failed table files with their number of failures and all their texts."""
     summary = v.validate_all_summary(_checked(spark, folder))
-    return summary.select(_stem("path").alias("tab"), "n_failures")
+    return summary.select(_stem("path").alias("tab"), "n_failures", F.array_join("findings", "\n").alias("findings"))
 
 
 def data_nodes_of_conversations(spark, folder):
@@ -554,10 +554,6 @@ SELECT tab, CASE WHEN tab = 'lineitem' THEN 'lines' WHEN tab IN ('nation', 'regi
   CASE WHEN tab IN ('customer', 'conversations', 'orders')
     THEN 'pass by default (table does not support data-level validation)' END AS note
 FROM {_ALL_TABLES}
-""",
-    "server_validate": f"""
-SELECT tab, CASE WHEN tab IN ('lineitem', 'nation') THEN 'failure' ELSE 'ok' END AS status FROM {_ALL_TABLES}
-UNION ALL SELECT 'ghost', 'failure'
 """,
     "hooked_checks": f"""
 WITH {CODES_SQL}
@@ -693,8 +689,21 @@ UNION ALL SELECT path, CAST(n AS INTEGER), 'base', 'missing' FROM ends WHERE las
 """,
 }
 ORACLE["validation_summary"] = f"""
-SELECT tab, count(*) AS n_failures FROM ({ORACLE["schema_conform"]}) GROUP BY tab
-UNION ALL
-SELECT tab, 1 FROM {_ALL_TABLES}
-WHERE tab NOT IN ('lineitem', 'nation', 'region', 'documents', 'pages', 'customer', 'conversations', 'orders')
+WITH found AS (
+  SELECT tab, '  0/schema/' || key || chr(10) || '    ' || message AS text FROM ({ORACLE["schema_conform"]})
+  UNION ALL
+  SELECT tab, '  filetype' || chr(10) || '    ' ||
+    CASE tab WHEN 'supplier' THEN 'ambiguous filetype: matches all_s, other' ELSE 'no filename patterns in label match' END
+  FROM {_ALL_TABLES}
+  WHERE tab NOT IN ('lineitem', 'nation', 'region', 'documents', 'pages', 'customer', 'conversations', 'orders'))
+SELECT tab, count(*) AS n_failures, string_agg(text, chr(10) ORDER BY text) AS findings FROM found GROUP BY tab
+"""
+ORACLE["server_validate"] = f"""
+WITH found AS (
+  SELECT tab, string_agg('  0/schema/' || key || chr(10) || '    ' || message, chr(10)
+    ORDER BY '  0/schema/' || key || chr(10) || '    ' || message) AS message
+  FROM ({ORACLE["schema_conform"]}) GROUP BY tab)
+SELECT tab, CASE WHEN message IS NULL THEN 'ok' ELSE 'failure' END AS status, message
+FROM {_ALL_TABLES} LEFT JOIN found USING (tab)
+UNION ALL SELECT 'ghost', 'failure', 'file not found'
 """

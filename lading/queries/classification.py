@@ -152,7 +152,7 @@ def needs_data_check(spark, folder):
     empty = Specs.from_labels(spark, [])
     specs = Specs(
         types=types, patterns=empty.patterns, objects=objects, columns=empty.columns,
-        meta=empty.meta, contacts=empty.contacts, props=empty.props,
+        meta=empty.meta, contacts=empty.contacts, props=empty.props, options=empty.options,
     )
     return c.needs_data_check(specs).select("type", "standard", "needs_data")
 
@@ -176,6 +176,54 @@ def files_to_check(spark, folder):
     return kept.select("path", "type", "standard", "needs_data")
 
 
+TWO_LABELS = [
+    {
+        "dataset": "web", "delivery_id": 4,
+        "filetypes": {
+            "feeds": {"filename": "utm_source=", "ignore": True},
+            "pages": {"filename": [r"/(en|de)/\d+(?!.*utm_)"], "standard": "parquet"},
+            "doubled": {"filename": r"://(\w)\w*\.(?:\w+\.)*\w+/.*(?(1)html|never)$", "standard": "html"},
+        },
+    },
+    {
+        "dataset": "web", "delivery_id": 5,
+        "filetypes": {
+            "feeds": {"filename": "utm_source=", "standard": "fits", "validation_options": {"skip": ["objtype"]}},
+            "pages": {"filename": [r"/(en|fr)/\d+", "(?!)utm_source="], "standard": "asdf"},
+            "nothing": {"filename": r"\.never$"},
+        },
+        "delivery_meta": {"global_validation_options": {"skip": ["all"]}},
+    },
+]
+
+
+def _two_labels(spark: SparkSession, folder: str) -> tuple[DataFrame, Specs]:
+    """Each page in the delivery of its scheme; labels share type names with other options."""
+    specs = Specs.from_labels(spark, TWO_LABELS)
+    secure = F.col("path").startswith("https")
+    files = _urls(spark, folder).withColumns(
+        {"dataset": F.lit("web"), "delivery_id": F.when(secure, "4").otherwise("5")}
+    )
+    return files, specs
+
+
+def files_of_two_labels(spark, folder):
+    """One row a file, with the options of its own label's type."""
+    files, specs = _two_labels(spark, folder)
+    kept = c.type_lookup(c.drop_ignored(c.classify(files, specs), specs), specs)
+    return kept.select(
+        "path", "delivery_id", F.array_join("types", ";").alias("filetypes"), "type", "standard",
+        F.array_join("skips", ",").alias("skips"), "needs_data",
+    )
+
+
+def problems_of_two_labels(spark, folder):
+    """V9: manifest checks of both labels in one job."""
+    files, specs = _two_labels(spark, folder)
+    index = files.withColumn("will_transfer", F.lit(True))
+    return manifest.check_manifest(index, specs, "search")[1]
+
+
 def ordered_patterns(spark, folder):
     """O1: three patterns per page, inclusions first."""
     host = F.regexp_extract("url", "https?://([^/]+)", 1)
@@ -193,6 +241,8 @@ def ordered_patterns(spark, folder):
 
 
 QUERIES = {
+    "files_of_two_labels": files_of_two_labels,
+    "problems_of_two_labels": problems_of_two_labels,
     "files_to_check": files_to_check,
     "ordered_patterns": ordered_patterns,
     "classify_pages": classify_pages,
@@ -243,7 +293,44 @@ counted AS (
   FROM typed)
 """
 
+_TWO = """
+found AS (
+  SELECT url AS path, '4' AS delivery_id,
+    CASE WHEN regexp_matches(url, '://\\w+\\.(?:\\w+\\.)*\\w+/.*html$') THEN 'doubled' END AS t1,
+    CASE WHEN contains(url, 'utm_source=') THEN 'feeds' END AS t2,
+    CASE WHEN regexp_matches(url, '/(en|de)/\\d+') AND NOT regexp_matches(url, '/(?:en|de)/\\d+.*utm_') THEN 'pages' END AS t3
+  FROM pages WHERE url LIKE 'https%'
+  UNION ALL
+  SELECT url, '5', NULL, CASE WHEN contains(url, 'utm_source=') THEN 'feeds' END,
+    CASE WHEN regexp_matches(url, '/(en|fr)/\\d+') AND NOT contains(url, 'utm_source=') THEN 'pages' END
+  FROM pages WHERE url NOT LIKE 'https%'),
+typed AS (
+  SELECT path, delivery_id, concat_ws(';', t1, t2, t3) AS filetypes, t1, t2, t3,
+    (t1 IS NOT NULL)::INT + (t2 IS NOT NULL)::INT + (t3 IS NOT NULL)::INT AS n
+  FROM found),
+named AS (SELECT *, CASE WHEN n = 1 THEN coalesce(t1, t2, t3) END AS type FROM typed),
+options AS (
+  SELECT * FROM (VALUES ('4', 'feeds', 'unspecified', '', false), ('4', 'pages', 'parquet', '', true),
+    ('4', 'doubled', 'html', '', false), ('5', 'feeds', 'fits', 'objtype,all', false),
+    ('5', 'pages', 'asdf', 'all', false)) AS o(delivery_id, type, standard, skips, needs_data))
+"""
+
 ORACLE = {
+    "files_of_two_labels": f"""
+WITH {_TWO}
+SELECT path, delivery_id, filetypes, type, standard, skips, coalesce(needs_data, false) AS needs_data
+FROM named LEFT JOIN options USING (delivery_id, type)
+WHERE NOT coalesce(delivery_id = '4' AND type = 'feeds', false)
+""",
+    "problems_of_two_labels": f"""
+WITH {_TWO}
+SELECT 'web' AS dataset, delivery_id, CASE n WHEN 0 THEN 'no filetype' ELSE 'ambiguous filetype' END AS problem, path AS subject
+FROM named WHERE n <> 1
+UNION ALL
+SELECT 'web', d, 'filetype without files', t
+FROM (VALUES ('4', 'feeds'), ('4', 'pages'), ('4', 'doubled'), ('5', 'feeds'), ('5', 'pages'), ('5', 'nothing')) AS x(d, t)
+WHERE NOT EXISTS (SELECT 1 FROM named WHERE delivery_id = d AND t IN (t1, t2, t3))
+""",
     "files_to_check": """
 WITH typed AS (
   SELECT url AS path, CASE WHEN url LIKE 'https%' THEN 'secure' WHEN url NOT LIKE '%/' THEN 'plain' END AS type

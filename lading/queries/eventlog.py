@@ -73,7 +73,8 @@ def progress(spark, folder):
 def delivery_report(spark, folder):
     return ev.delivery_report(
         user_manifest(spark, folder), _states(spark, folder),
-        {"dataset": "users", "delivery_id": "1"}, event_log(spark, folder),
+        {"dataset": "users", "delivery_id": "1", "transfer_type": "full", "label_path": "s3a://labels/users/1"},
+        event_log(spark, folder), F.lit("2026-01-01T00:00:00.000Z"), "stopped by hand",
     )
 
 
@@ -259,9 +260,10 @@ c AS (
   SELECT count(*) AS n, count(*) FILTER (state IN ('valid','invalid')) AS done,
     count(*) FILTER (state = 'invalid') AS bad, CAST(sum(retries) AS BIGINT) + {_STRAYS} AS failed
   FROM known WHERE will_transfer)
-SELECT '{{"dataset":"users","delivery_id":"1","files_expected":' || n || ',"files_validated":' || done
+SELECT '{{"dataset":"users","delivery_id":"1","transfer_type":"full","label_path":"s3a://labels/users/1","files_expected":' || n || ',"files_validated":' || done
   || ',"n_errors":' || bad || ',"total_failures":' || (bad + failed) || ',"validation_result":"'
-  || CASE WHEN done <> n THEN 'incomplete' WHEN bad > 0 THEN 'failure' ELSE 'success' END || '"}}' AS value
+  || CASE WHEN done <> n THEN 'incomplete' WHEN bad > 0 THEN 'failure' ELSE 'success' END
+  || '","completed_at":"2026-01-01T00:00:00.000Z","pipeline_exception":"stopped by hand"}}' AS value
 FROM c
 """,
     "nested_messages": """
@@ -315,10 +317,11 @@ c AS (
   SELECT count(*) AS files_expected, count(*) FILTER (state IN ('valid','invalid')) AS files_validated,
     count(*) FILTER (state = 'invalid') AS n_errors, CAST(sum(retries) AS BIGINT) + {_STRAYS} AS failed
   FROM known WHERE will_transfer)
-SELECT 'users' AS dataset, '1' AS delivery_id, files_expected, files_validated, n_errors,
-  n_errors + failed AS total_failures,
+SELECT 'users' AS dataset, '1' AS delivery_id, 'full' AS transfer_type, 's3a://labels/users/1' AS label_path,
+  files_expected, files_validated, n_errors, n_errors + failed AS total_failures,
   CASE WHEN files_validated <> files_expected THEN 'incomplete'
-       WHEN n_errors > 0 THEN 'failure' ELSE 'success' END AS validation_result
+       WHEN n_errors > 0 THEN 'failure' ELSE 'success' END AS validation_result,
+  '2026-01-01T00:00:00.000Z' AS completed_at, 'stopped by hand' AS pipeline_exception
 FROM c
 """,
     "delivery_errors": f"""{_MANIFEST_STATES}

@@ -86,7 +86,7 @@ def archive(spark, folder) -> Specs:
         .when(urgency == "4", "value_regex").otherwise("name").alias("property"),
         F.when(F.col("o_totalprice") > 400_000, "many").otherwise(F.col("o_totalprice").cast("bigint").cast("string")).alias("value"),
     )
-    return Specs(types, patterns, first.unionByName(second), columns, meta, contacts, props)
+    return Specs(types, patterns, first.unionByName(second), columns, meta, contacts, props, Specs.from_labels(spark, []).options)
 
 
 def _rule(rule):

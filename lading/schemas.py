@@ -48,6 +48,11 @@ SPEC_META = (
 SPEC_CONTACTS = (
     "dataset string, delivery_id string, grp string, ix int, address string"
 )
+# One row per label: what it says for all its types.
+SPEC_OPTIONS = (
+    "dataset string, delivery_id string, global_skip array<string>, "
+    "missing_filetypes_ok boolean, no_assigned_filetype_ok boolean"
+)
 # One row per property written in a label; `element` is the element's class.
 SPEC_PROPS = (
     "dataset string, delivery_id string, lpath string, element string, "

@@ -33,6 +33,7 @@ TABLES = {
     "meta": schemas.SPEC_META,
     "contacts": schemas.SPEC_CONTACTS,
     "props": schemas.SPEC_PROPS,
+    "options": schemas.SPEC_OPTIONS,
 }
 
 
@@ -47,9 +48,8 @@ class Specs:
     meta: DataFrame
     contacts: DataFrame
     props: DataFrame
-    global_skip: tuple[str, ...] = ()
-    missing_filetypes_ok: bool = False
-    no_assigned_filetype_ok: bool = False
+    options: DataFrame
+    single: bool = True  # of one label: its types are known by their names alone
     portable: bool = True  # every name/value regex runs in the JVM
     known_patterns: dict[str, list[tuple[str, bool]]] | None = field(default=None)
     known_regexes: frozenset[str] | None = None  # every name and value regex
@@ -57,21 +57,16 @@ class Specs:
     @classmethod
     def from_labels(cls, spark: SparkSession, labels: Iterable[Mapping]) -> Specs:
         rows: dict[str, list[tuple]] = {name: [] for name in TABLES}
-        options: list[Mapping] = []
+        labels = list(labels)
         for label in labels:
             _label_rows(label, rows)
-            options.append(
-                label.get("delivery_meta", {}).get("global_validation_options", {})
-            )
         frames = {name: local_table(spark, rows[name], TABLES[name]) for name in TABLES}
         known: dict[str, list[tuple[str, bool]]] = {row[2]: [] for row in rows["types"]}
         for *_, type_, pattern, include in rows["patterns"]:
             known[type_].append((pattern, include))
         return cls(
             **frames,
-            global_skip=tuple(s for o in options for s in o.get("skip", ())),
-            missing_filetypes_ok=any(o.get("missing_filetypes_ok") for o in options),
-            no_assigned_filetype_ok=any(o.get("no_assigned_filetype_ok") for o in options),
+            single=len({row[:2] for row in rows["options"]}) < 2,
             portable=all(regex_portable(p) is not None for p in _regexes(rows)),
             known_patterns=known,
             known_regexes=frozenset(_regexes(rows)),
@@ -90,6 +85,15 @@ class Specs:
             for type_, patterns in sorted(known.items())
         }
 
+    def qualified(self) -> Specs:
+        """The same with type names that no other label has: see `qualified_type`."""
+        named = {
+            name: frame.withColumn("type", qualified_type())
+            for name in ("types", "patterns", "objects", "columns", "meta")
+            for frame in (getattr(self, name),)
+        }
+        return replace(self, **named, known_patterns=None)
+
     def column_specs(self) -> DataFrame:
         """Column specs with the JVM form of their name pattern."""
         return self.columns.withColumn("java_name", self._java("name_regex", "name", "fullmatch"))
@@ -125,6 +129,11 @@ class Specs:
         return replace(self, objects=objects, columns=columns, known_regexes=known)
 
 
+def qualified_type() -> Column:
+    """A type's name with those of its label; NULL without a type."""
+    return F.when(F.col("type").isNotNull(), F.to_json(F.array("dataset", "delivery_id", "type")))
+
+
 def local_table(spark: SparkSession, rows: list[tuple], layout: str) -> DataFrame:
     """Rows held by the driver as a relation whose size the planner knows.
 
@@ -176,6 +185,9 @@ def split_marker(pattern: str | Mapping) -> tuple[str, bool]:
 
 def _label_rows(label: Mapping, rows: dict[str, list[tuple]]) -> None:
     key = (str(label["dataset"]), str(label["delivery_id"]))
+    whole = label.get("delivery_meta", {}).get("global_validation_options", {})
+    flags = ("missing_filetypes_ok", "no_assigned_filetype_ok")
+    rows["options"].append((*key, list(whole.get("skip", ())), *(bool(whole.get(f)) for f in flags)))
     for group, addresses in label.get("contacts", {}).items():
         rows["contacts"] += [(*key, group, i, a) for i, a in enumerate(addresses)]
     for type_, ft in label.get("filetypes", {}).items():
@@ -300,33 +312,13 @@ def load_specs(spark: SparkSession, source: Mapping | str | list) -> Specs:
         name: spark.read.schema(layout).json(f"{source}/{name}")
         for name, layout in TABLES.items()
     }
-    flags = spark.read.schema(
-        "global_skip array<string>, missing_filetypes_ok boolean, "
-        "no_assigned_filetype_ok boolean, portable boolean"
-    ).json(f"{source}/options").first()
-    return Specs(
-        **tables,
-        global_skip=tuple(flags.global_skip or ()),
-        missing_filetypes_ok=flags.missing_filetypes_ok,
-        no_assigned_filetype_ok=flags.no_assigned_filetype_ok,
-        portable=flags.portable,
-    )
+    flags = spark.read.schema("single boolean, portable boolean").json(f"{source}/flags").first()
+    return Specs(**tables, single=flags.single, portable=flags.portable)
 
 
 def write_specs(specs: Specs, path: str) -> None:
     """Write (populated) specs as a folder of JSON tables."""
     for name in TABLES:
         getattr(specs, name).write.mode("overwrite").json(f"{path}/{name}")
-    spark = specs.types.sparkSession
-    spark.createDataFrame(
-        [
-            (
-                list(specs.global_skip),
-                specs.missing_filetypes_ok,
-                specs.no_assigned_filetype_ok,
-                specs.portable,
-            )
-        ],
-        "global_skip array<string>, missing_filetypes_ok boolean, "
-        "no_assigned_filetype_ok boolean, portable boolean",
-    ).write.mode("overwrite").json(f"{path}/options")
+    flags = specs.types.sparkSession.createDataFrame([(specs.single, specs.portable)], "single boolean, portable boolean")
+    flags.write.mode("overwrite").json(f"{path}/flags")

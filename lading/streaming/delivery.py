@@ -80,12 +80,14 @@ def validate_batch(
     agent_id: str = "validator",
     catalog: Catalog | None = None,
     hooks: Mapping | None = None,
+    findings: str | None = None,
 ) -> None:
     """Judge the files a micro-batch reports as transferred.
 
     Reports are reduced to one row per ref.  Refs outside the manifest, sent
     twice or judged before go to the conflicts folder; the others are
-    validated once and their verdicts written under the batch's own folder.
+    validated once and their verdicts written under the batch's own folder,
+    as are all FAILURES behind them, if a folder `findings` is given.
     """
     spark = batch.sparkSession
     reported = batch.filter(ev.transfer_ok()).select(F.col("ref").alias("path"))
@@ -107,8 +109,14 @@ def validate_batch(
     if "checksum" in index.columns:
         from lading.sources.files import add_checksums
 
-        listing = add_checksums(from_manifest(todo, root), root)
-    verdicts, _ = server_validate(todo, listing, specs, root, catalog, hooks)
+        # only files whose manifest gives a sum are read for it
+        summed = todo.filter(F.coalesce("checksum", F.lit("")) != "")
+        summed = add_checksums(from_manifest(summed, root), root)
+        bare = listing.join(summed.select("path"), "path", "left_anti")
+        listing = summed.unionByName(bare, allowMissingColumns=True)
+    verdicts, failures = server_validate(todo, listing, specs, root, catalog, hooks)
+    if findings is not None:
+        failures.write.mode("overwrite").json(f"{findings}/{_BATCH}={batch_id}")
     rows = verdicts.select(
         F.lit("validation").alias("category"), F.col("path").alias("ref"), "status", "message"
     )
@@ -134,6 +142,7 @@ def incremental_validate(
     catalog: Catalog | None = None,
     hooks: Mapping | None = None,
     drain: bool = True,
+    findings: str | None = None,
 ) -> StreamingQuery:
     """Start the validator on a client log.
 
@@ -144,8 +153,9 @@ def incremental_validate(
 
     def judge(batch: DataFrame, batch_id: int) -> None:
         validate_batch(
-            batch, batch_id, index, specs, root, log, conflicts, catalog=catalog, hooks=hooks
-        )
+            batch, batch_id, index, specs, root, log, conflicts,
+            catalog=catalog, hooks=hooks, findings=findings,
+        )
 
     if not _has_log(spark, log):
         start_log(spark, log, "validator")

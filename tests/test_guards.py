@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lading import load_specs
 from lading.operators import events as ev
 from lading.operators import hooks, scans
-from lading.operators.classify import match_types_by_delivery
+from lading.operators.archive import match_types_by_delivery
 from lading.operators.nodes import document_problems, flatten_paths
 from lading.sources import events, files
 
@@ -67,14 +67,13 @@ def test_deep_documents_come_whole_and_bad_ones_are_told(spark):
     assert told == {2: "not a JSON document", 3: "no document", 4: "a single value, not a tree"}
 
 
-def test_a_pattern_without_jvm_form_is_no_silent_miss(spark):
-    files = spark.createDataFrame([("d", 1, "ab")], "dataset string, delivery_id int, path string")
+def test_a_pattern_without_jvm_form_is_tested_by_python(spark):
+    files = spark.createDataFrame([("d", 1, "ab"), ("d", 1, "ac")], "dataset string, delivery_id int, path string")
     patterns = spark.createDataFrame(
         [("d", 1, "t", "(a)(?(1)b|c)", True)],
         "dataset string, delivery_id int, type string, pattern string, include boolean",
     )
-    with pytest.raises(Exception, match="without a JVM form"):
-        match_types_by_delivery(files, patterns).collect()
+    assert sorted(match_types_by_delivery(files, patterns).select("path", "types").collect()) == [("ab", ["t"]), ("ac", [])]
 
 
 def test_transfers_of_unknown_files_are_failures(spark):
