@@ -120,15 +120,16 @@ def stream_once_only(spark, folder):
 
 
 def stream_sessions(spark, folder):
-    """Sessions folded with state, last row per session."""
+    """Sessions folded with state, weeks in parallel; last row per session."""
     stream, scratch = _follow(session_log(spark, folder))
-    current = session.session_stream(stream, ORDER, timeouts=False)
+    week = F.floor(F.col("time") / (7 * 86_400_000_000))
+    current = session.session_stream(stream, ORDER, timeouts=False, segment=week)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{scratch}/result/batch={batch_id}")
 
     query = (
-        current.writeStream.outputMode("update")
+        current.writeStream.outputMode("append")
         .option("checkpointLocation", f"{scratch}/checkpoint")
         .trigger(availableNow=True)
         .foreachBatch(keep)

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType, TimestampType
 
 from lading.functions.scalars import event_time
 from lading.operators.events import FAILED, MAX_FAILURES, is_verdict
-from lading.sources.events import good_rows, read_events, write_events
+from lading.sources.events import good_rows, stream_events, write_events
 
 MISSING_SECONDS = 240  # silence after which a sender is missing
 ABSENT_SECONDS = 480  # silence that ends its session
@@ -21,6 +27,115 @@ TERMINAL = ("quit", "done", "crashed", "absent", "invalid")
 _STATE = "status string, n_completed long, n_rows long, n_stop long"
 _OUT = "delivery string, status string, n_completed long, n_rows long, problem string"
 _BUSY = ("transfer", "initialization", "start")
+SEGMENT_SECONDS = 600  # rows of a delivery folded by one task of a micro-batch
+KEEP_SECONDS = 30 * 86400  # how long an ended session is remembered
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+# What a segment of a session does to the session's state.  Places are numbers
+# of rows in the segment, -1 if there is none; `live` ones count if the session
+# has not ended before the segment, `dead` ones if it has.
+_TABLE = (
+    "delivery string, segment long, n_rows long, n_verdicts long, ending string, n_expected long, last string, "
+    "n_stop long, first_stop long, second_stop long, live_busy long, live_beat long, dead_busy long, dead_beat long"
+)
+
+
+def _first(mask: np.ndarray) -> int:
+    return int(mask.argmax()) if mask.any() else -1
+
+
+def segment_table(rows: pa.Table, order: Sequence[str]) -> dict:
+    """The transition that the rows of one segment, in order, make up together."""
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[(o, "ascending") for o in order]))  # a stable sort
+    category, outcome = (rows[c].to_numpy() for c in ("category", "status"))
+    stop = category == "stop"
+    crash = (category == "shutdown") & np.isin(outcome.astype(str), FAILED)
+    ends = stop | crash
+    n = len(rows)
+    end = _first(ends) if ends.any() else n
+    ended = np.arange(n) > end
+    busy, beat = np.isin(category.astype(str), _BUSY), category == "keepalive"
+    stops = np.flatnonzero(stop)
+    return {
+        "n_rows": n,
+        "n_verdicts": int((category[:end] == "validation").sum()),
+        "ending": None if end == n else "crashed" if crash[end] else "stop",
+        "n_expected": rows["n_expected"][end].as_py() if end < n else None,
+        "last": "shutting_down" if category[-1] == "shutdown" else "working",
+        "n_stop": len(stops),
+        "first_stop": int(stops[0]) if len(stops) else -1,
+        "second_stop": int(stops[1]) if len(stops) > 1 else -1,
+        "live_busy": _first(busy & ended),
+        "live_beat": _first(beat & ended),
+        "dead_busy": _first(busy),
+        "dead_beat": _first(beat),
+    }
+
+
+def follow(state: tuple[str, int, int, int], table) -> tuple[tuple[str, int, int, int], list[str]]:
+    """State (status, verdicts, rows, stop rows) after a segment, and the problems it told, in order."""
+    status, completed, n_rows, stops = state
+    if status in TERMINAL:
+        found = [(table.dead_busy, "activity after the end"), (table.dead_beat, "heartbeat after the end")]
+        excess = table.first_stop if stops else table.second_stop
+    else:
+        found = [(table.live_busy, "activity after the end"), (table.live_beat, "heartbeat after the end")]
+        excess = table.second_stop
+        completed += int(table.n_verdicts)
+        if table.ending == "stop":
+            expected = table.n_expected
+            status = "done" if not pd.isna(expected) and completed >= expected else "quit"
+        else:
+            status = table.ending or table.last
+    found.append((excess, "too many stop rows"))
+    if excess >= 0:
+        status = "invalid"
+    problems = [text for place, text in sorted(found) if place >= 0]
+    return (status, completed, n_rows + int(table.n_rows), stops + int(table.n_stop)), problems
+
+
+class _Sessions(StatefulProcessor):
+    """State of a delivery: four numbers; a timer for its silence."""
+
+    def __init__(self, missing: float, absent: float, keep: float, timeouts: bool):
+        self.missing, self.absent, self.keep, self.timeouts = missing, absent, keep, timeouts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        lifetime = int(self.keep * 1000) if self.timeouts else None
+        self.state = handle.getValueState("session", _STATE, lifetime)
+
+    def _keep(self, key: tuple, state: tuple, problems: list[str], timers) -> pd.DataFrame:
+        self.state.update(state)
+        if self.timeouts:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            if state[0] not in TERMINAL:
+                wait = self.absent - self.missing if state[0] == "missing" else self.missing
+                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + max(1, int(wait * 1000)))
+        status, completed, rows, _ = state
+        problem = "; ".join(dict.fromkeys(problems)) or None
+        out = {"delivery": [key[0]], "status": [status], "n_completed": [completed], "n_rows": [rows], "problem": [problem]}
+        return pd.DataFrame(out, dtype=object)
+
+    def _known(self) -> tuple[str, int, int, int]:
+        return tuple(self.state.get()) if self.state.exists() else ("unchecked", 0, 0, 0)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state, problems = self._known(), []
+        tables = (table for frame in rows for table in frame.itertuples(index=False))
+        for table in sorted(tables, key=lambda t: -1 if pd.isna(t.segment) else t.segment):
+            state, told = follow(state, table)
+            problems += told
+        yield self._keep(key, state, problems, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, *rest = self._known()
+        if status not in TERMINAL:
+            yield self._keep(key, ("absent" if status == "missing" else "missing", *rest), [], timerValues)
+
+    def close(self) -> None:
+        pass
 
 
 def session_stream(
@@ -29,82 +144,74 @@ def session_stream(
     missing_seconds: float = MISSING_SECONDS,
     absent_seconds: float = ABSENT_SECONDS,
     timeouts: bool = True,
+    segment: Column | None = None,
+    keep_seconds: float = KEEP_SECONDS,
 ) -> DataFrame:
     """A row per delivery and micro-batch with its current status.
 
-    `events` needs `delivery` and `n_expected` besides the event fields.  The
-    state is four numbers per delivery.  A session's rows arrive as a series
-    of Arrow batches; `chunks_per_batch` of the reader bounds how many there
-    are in one micro-batch.  Only the columns the fold needs go to Python.
-    Without `timeouts`
-    the clock plays no part, as when a finished log is worked off.
+    `events` needs `delivery` and `n_expected` besides the event fields.  Rows
+    of a micro-batch are cut into segments, by default ten minutes of their
+    time each; `segment`, a number that never falls in `order`, cuts otherwise.
+    Segments are folded in parallel, whichever delivery they belong to, each
+    to one row that tells what it does to a session; the session's state takes
+    up these rows in order.  Silence is told by timers, ended sessions are
+    forgotten after `keep_seconds`.  Without `timeouts` the clock plays no
+    part, as when a finished log is worked off.
+
+    State is kept in RocksDB, which this sets for the session.
     """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    if segment is None:
+        at = F.col(order[0])
+        if not isinstance(events.schema[order[0]].dataType, TimestampType):
+            at = event_time(at.cast("string"))
+        segment = F.floor(F.unix_micros(at.cast("timestamp")) / (SEGMENT_SECONDS * 1_000_000))
     columns = ["delivery", "category", "status", "n_expected", *order]
-    slim = events.select(*dict.fromkeys(columns))
+    slim = events.select(*dict.fromkeys(columns), segment.cast("long").alias("segment"))
     order = list(order)
 
-    def fold(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        status, completed, rows, stops = (
-            state.get if state.exists else ("unchecked", 0, 0, 0)
-        )
-        problems: list[str] = []
-        if state.hasTimedOut:
-            status = "absent" if status == "missing" else "missing"
-        else:
-            # batches of one micro-batch are in no order: sort them together
-            for event in _in_order(batches, order):
-                rows += 1
-                problem = None
-                if event.category == "stop":
-                    stops += 1
-                    if stops > 1:
-                        status, problem = "invalid", "too many stop rows"
-                if status in TERMINAL:
-                    if event.category in _BUSY:
-                        problem = "activity after the end"
-                    elif event.category == "keepalive":
-                        problem = "heartbeat after the end"
-                elif event.category == "validation":
-                    completed, status = completed + 1, "working"
-                elif event.category == "stop":
-                    done = completed >= event.n_expected
-                    status = "done" if done else "quit"
-                elif event.category == "shutdown":
-                    crashed = event.status in FAILED
-                    status = "crashed" if crashed else "shutting_down"
-                else:
-                    status = "working"
-                if problem and problem not in problems:
-                    problems.append(problem)
-        state.update((status, completed, rows, stops))
-        if timeouts and status not in TERMINAL:
-            wait = absent_seconds - missing_seconds if status == "missing" else missing_seconds
-            state.setTimeoutDuration(max(1, int(wait * 1000)))
-        yield pd.DataFrame(
-            {
-                "delivery": [key[0]],
-                "status": [status],
-                "n_completed": [completed],
-                "n_rows": [rows],
-                "problem": ["; ".join(problems) or None],
-            },
-            dtype=object,
-        )
-
-    return slim.groupBy("delivery").applyInPandasWithState(
-        fold,
+    def fold(rows: pa.Table) -> pa.Table:
+        key = {"delivery": rows["delivery"][0].as_py(), "segment": rows["segment"][0].as_py()}
+        return pa.Table.from_pylist([key | segment_table(rows, order)], layout)
+
+    layout = to_arrow_schema(StructType.fromDDL(_TABLE))
+    tables = slim.groupBy("delivery", "segment").applyInArrow(fold, _TABLE)
+    return tables.groupBy("delivery").transformWithStateInPandas(
+        _Sessions(missing_seconds, absent_seconds, keep_seconds, timeouts),
         _OUT,
-        _STATE,
-        "update",
-        GroupStateTimeout.ProcessingTimeTimeout if timeouts else GroupStateTimeout.NoTimeout,
+        "append",
+        "processingTime" if timeouts else "none",
     )
 
 
-def _in_order(batches: Iterator[pd.DataFrame], order: list[str]):
-    rows = pd.concat(list(batches), ignore_index=True)
-    return rows.sort_values(order, kind="stable").itertuples(index=False)
+class _Pulse(StatefulProcessor):
+    """When an agent spoke last; a tick after `seconds` of silence brings a keepalive."""
+
+    def __init__(self, seconds: float):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "seen double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
+        ticked = False
+        for frame in rows:
+            ticked |= bool(frame["tick"].any())
+            seen = frame["seen"].max()
+            if not pd.isna(seen):
+                last = seen if last is None else max(last, seen)
+        now = time.time()
+        due = ticked and (last is None or now - last >= self.seconds)
+        last = now if due else last
+        if last is not None:
+            self.last.update((float(last),))
+        if due:
+            yield pd.DataFrame({"category": ["keepalive"], "ref": ["self"], "status": ["ok"]})
+
+    def close(self) -> None:
+        pass
 
 
 def start_heartbeat(
@@ -112,23 +219,29 @@ def start_heartbeat(
 ) -> StreamingQuery:
     """T5: append a keepalive to `log` whenever its owner was silent for `seconds`.
 
-    A one-row rate source is the clock; the latest row of the log tells how
-    long the silence has lasted.
+    A one-row rate source is the clock.  New rows of the log are streamed and
+    the last one's time is kept as state, so a tick costs the same however
+    long the log is.
     """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
-    beat = spark.range(1).select(
-        F.lit("keepalive").alias("category"), F.lit("self").alias("ref"), F.lit("ok").alias("status")
+    agent = F.lit(agent_id).alias("agent_id")
+    ticks = clock.select(agent, F.lit(None).cast("double").alias("seen"), F.lit(True).alias("tick"))
+    own = good_rows(stream_events(spark, log)).filter(F.col("agent_id") == agent_id)
+    spoken = own.select(agent, event_time(F.col("time")).cast("double").alias("seen"), F.lit(False).alias("tick"))
+    pulse = (
+        ticks.unionByName(spoken)
+        .groupBy("agent_id")
+        .transformWithStateInPandas(_Pulse(seconds), "category string, ref string, status string", "append", "none")
     )
 
-    def tick(_: DataFrame, batch_id: int) -> None:
-        own = good_rows(read_events(spark, log)).filter(F.col("agent_id") == agent_id)
-        silence = F.current_timestamp().cast("double") - event_time(F.max("time")).cast("double")
-        silent = own.agg(silence.alias("s")).first().s
-        if silent is None or silent >= seconds:
-            write_events(beat, log, {"agent_id": agent_id})
+    def speak(beats: DataFrame, batch_id: int) -> None:
+        if not beats.isEmpty():
+            write_events(beats, log, {"agent_id": agent_id})
 
     return (
-        clock.writeStream.foreachBatch(tick)
+        pulse.writeStream.outputMode("append")
+        .foreachBatch(speak)
         .option("checkpointLocation", checkpoint)
         .trigger(processingTime=f"{seconds} seconds")
         .start()
@@ -152,6 +265,12 @@ def trip_on_failures(
     return counted.withColumn("tripped", F.col("n_failures") > limit)
 
 
-def once_only(transfers: DataFrame) -> DataFrame:
-    """The first report per ref; later ones are dropped."""
-    return transfers.dropDuplicates(["ref"])
+def once_only(transfers: DataFrame, time: str | None = None, within: str | None = None) -> DataFrame:
+    """The first report per ref; later ones are dropped.
+
+    With a `time` column (timestamp), refs are forgotten once the stream is
+    `within` (as "7 days") past their report, so the state has an end.
+    """
+    if time is None:
+        return transfers.dropDuplicates(["ref"])
+    return transfers.withWatermark(time, within).dropDuplicatesWithinWatermark(["ref"])

@@ -114,7 +114,7 @@ def test_session_timeouts(spark, tmp_path):
     def keep(batch, _):
         seen.extend((r.delivery, r.status) for r in batch.collect())
 
-    query = current.writeStream.outputMode("update").foreachBatch(keep).trigger(processingTime="1 second").start()
+    query = current.writeStream.outputMode("append").foreachBatch(keep).trigger(processingTime="1 second").start()
     query.awaitTermination(25)
     query.stop()
     assert [s for d, s in seen if d == "s1"] == ["working", "missing", "absent"]
