@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lading import schemas
@@ -16,6 +18,7 @@ from lading.sources.catalog import Catalog
 from lading.sources.events import format_events
 from lading.sources.files import from_manifest
 from lading.spec import Specs
+from lading.streaming.session import STATE_STORE
 
 _BATCH = "batch"  # folder (partition) of a micro-batch's verdicts
 
@@ -69,6 +72,44 @@ def start_log(spark: SparkSession, log: str, agent_id: str) -> None:
     _write_batch(row, log, agent_id, -1)
 
 
+class _Reports(StatefulProcessor):
+    """How often a file was reported in earlier micro-batches."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n long")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seen.update((int(initialState["n"].iloc[0]),))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self.seen.get()[0] if self.seen.exists() else 0
+        now = sum(len(frame) for frame in rows)
+        self.seen.update((before + now,))
+        yield pd.DataFrame({"path": [key[0]], "n_reports": [now], "queued": [before > 0]})
+
+    def close(self) -> None:
+        pass
+
+
+def report_stream(events: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+    """`path, n_reports, queued` of the files a micro-batch reports as sent.
+
+    `queued` says that an earlier micro-batch reported the file already, or
+    that it is among the `judged` paths, the state to begin with.  A
+    micro-batch costs what it holds, however long the logs are; the state is a
+    number a file.
+    """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    known = None
+    if judged is not None:
+        known = judged.select("path", F.lit(1).cast("long").alias("n")).distinct().groupBy("path")
+    sent = events.filter(ev.transfer_ok()).select(F.col("ref").alias("path"))
+    return sent.groupBy("path").transformWithStateInPandas(
+        _Reports(), "path string, n_reports long, queued boolean", "append", "none", known
+    )
+
+
 def validate_batch(
     batch: DataFrame,
     batch_id: int,
@@ -84,24 +125,20 @@ def validate_batch(
 ) -> None:
     """Judge the files a micro-batch reports as transferred.
 
-    Reports are reduced to one row per ref.  Refs outside the manifest, sent
-    twice or judged before go to the conflicts folder; the others are
+    `batch` are rows of `report_stream`.  Refs outside the manifest, sent
+    twice or reported before go to the conflicts folder; the others are
     validated once and their verdicts written under the batch's own folder,
     as are all FAILURES behind them, if a folder `findings` is given.
     """
-    spark = batch.sparkSession
-    reported = batch.filter(ev.transfer_ok()).select(F.col("ref").alias("path"))
+    twice = F.explode(F.sequence(F.lit(1), F.least("n_reports", F.lit(2))))  # more than twice is told no other way
+    reported = batch.select("path", twice.alias("__report")).drop("__report")
+    queued = batch.filter("queued").select("path")
     waiting = manifest_status(index)
-    judged = (
-        read_verdicts(spark, log, before=batch_id)
-        .filter(ev.is_verdict())
-        .select(F.col("ref").alias("path"))
-    )
-    problems = manifest.queue_conflicts(reported, waiting, judged)
+    problems = manifest.queue_conflicts(reported, waiting, queued)
     problems.write.mode("overwrite").json(f"{conflicts}/{_BATCH}={batch_id}")
     todo = (
         manifest.select_queued(waiting.filter(F.col("status") == "waiting"), reported)
-        .join(judged.distinct(), "path", "left_anti")
+        .join(queued, "path", "left_anti")
     )
     listing = from_manifest(todo, root).withColumn(
         "checksum", F.lit(None).cast("string")
@@ -159,7 +196,9 @@ def incremental_validate(
 
     if not _has_log(spark, log):
         start_log(spark, log, "validator")
-    writer = events.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint)
+    judged = read_verdicts(spark, log).filter(ev.is_verdict()).select(F.col("ref").alias("path"))
+    reports = report_stream(events, judged)  # a new checkpoint begins with what the log tells
+    writer = reports.writeStream.outputMode("append").foreachBatch(judge).option("checkpointLocation", checkpoint)
     if drain:
         writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -152,10 +152,11 @@ def test_delivery_end_to_end(spark, tmp_path):
         rows = spark.createDataFrame([("transfer", r, "ok") for r in refs], "category string, ref string, status string")
         se.write_events(rows.coalesce(1), client, {"agent_id": "client"})
 
-    def run():
+    def run(checkpoint="checkpoint"):
         events = se.good_rows(se.stream_events(spark, client))
         delivery.incremental_validate(
-            events, index, specs, str(root), log, str(tmp_path / "conflicts"), str(tmp_path / "checkpoint")
+            events, index, specs, str(root), log, str(tmp_path / "conflicts"), str(tmp_path / checkpoint),
+            findings=str(tmp_path / "findings"),
         ).awaitTermination()
 
     report(["a.parquet", "b.parquet", "alien.txt", "a.parquet"])
@@ -167,6 +168,8 @@ def test_delivery_end_to_end(spark, tmp_path):
         "a.parquet": "ok", "b.parquet": "failure", "_c.parquet": "ok", "notes.txt": "ok", "gone.parquet": "failure",
     }
     assert len(verdicts) == 5
+    findings = spark.read.json(str(tmp_path / "findings"))
+    assert {(r.path, r.check) for r in findings.collect()} == {("b.parquet", "schema")}
     conflicts = spark.read.json(str(tmp_path / "conflicts"))
     assert {(r.path, r.problem) for r in conflicts.collect()} == {
         ("alien.txt", "not indexed"), ("a.parquet", "duplicate"), ("a.parquet", "already queued"),
@@ -177,6 +180,19 @@ def test_delivery_end_to_end(spark, tmp_path):
     }
 
 
+def test_a_new_checkpoint_begins_with_the_verdict_log(spark, tmp_path):
+    reports = [("transfer", "a", "ok"), ("transfer", "b", "ok"), ("transfer", "b", "ok"), ("transfer", "c", "failure")]
+    rows = spark.createDataFrame(reports, "category string, ref string, status string")
+    se.write_events(rows.coalesce(1), f"{tmp_path}/log", {"agent_id": "client"})
+    judged = spark.createDataFrame([("a",), ("a",), ("z",)], "path string")
+    found = delivery.report_stream(se.good_rows(se.stream_events(spark, f"{tmp_path}/log")), judged)
+    query = found.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option(
+        "checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(map(tuple, got)) == [("a", 1, True), ("b", 2, False)]
+
+
 def test_index_files(spark, tmp_path):
     index = spark.createDataFrame([("a.txt", "yH2GHg==", True), ("b.txt", None, False)], "path string, checksum string, will_transfer boolean")
     sf.write_index(index, str(tmp_path / "index"))
