@@ -11,49 +11,48 @@ _CONTAINERS = r"^(OBJECT|ARRAY)"
 _TYPE_NAMES = {"BIGINT": "int", "DOUBLE": "float", "STRING": "str", "BOOLEAN": "bool"}
 
 
-def flatten_paths(
-    docs: DataFrame, document: str, keys: list[str], depth: int = 8
-) -> DataFrame:
+def flatten_paths(docs: DataFrame, document: str, keys: list[str]) -> DataFrame:
     """`node array<string>, value, value_type` for every leaf of a JSON column.
 
-    Each level explodes containers one step further while leaves pass through
-    unchanged, so the plan grows with `depth`, not with the data.  What is
-    nested deeper than `depth` comes back whole, as a leaf of JSON text and
-    type dict or list.  Documents without leaves have no row here; those that
-    can't be read are `document_problems`.
+    A recursive query takes the containers apart, one level of all documents
+    at a time, as deep as they go.  Documents without leaves have no row
+    here; those that can't be read are `document_problems`.
+
+    Spark ends recursions at a number of levels and rows; both limits are
+    lifted for the session.
     """
     spark = docs.sparkSession
-    rows = docs.select(
-        *keys,
-        F.array().cast("array<string>").alias("node"),
-        F.try_parse_json(F.col(document)).alias("v"),
+    for limit in ("Row", "Level"):
+        spark.conf.set(f"spark.sql.cteRecursion{limit}Limit", "-1")
+    names = [f"k{i}" for i in range(len(keys))]
+    roots = docs.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], F.try_parse_json(F.col(document)).alias("v")
     )
-    for _ in range(depth):
-        parts = rows.lateralJoin(
-            spark.tvf.variant_explode_outer(F.col("v").outer()).toDF("__pos", "__key", "__value")
-        )
-        container = _is_container(F.col("v"))
-        step = F.coalesce(F.col("__key"), F.col("__pos").cast("string"))
-        rows = parts.filter(~container | F.col("__pos").isNotNull()).select(
-            *keys,
-            F.when(container, F.array_append("node", step)).otherwise(F.col("node")).alias("node"),
-            F.when(container, F.col("__value")).otherwise(F.col("v")).alias("v"),
-        )
+    columns = ", ".join([*names, "node", "v"])
+    kept = ", ".join(f"t.{n}" for n in names)
+    rows = spark.sql(
+        f"""
+        WITH RECURSIVE tree({columns}) AS (
+          SELECT {kept}, CAST(array() AS array<string>), t.v FROM {{roots}} AS t
+          UNION ALL
+          SELECT {kept}, array_append(t.node, coalesce(e.key, CAST(e.pos AS string))), e.value
+          FROM tree AS t, LATERAL variant_explode(t.v) AS e
+          WHERE schema_of_variant(t.v) RLIKE '{_CONTAINERS}')
+        SELECT * FROM tree WHERE size(node) > 0
+        """,
+        roots=roots,
+    ).select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "node", "v")
+    rows = rows.filter(~_is_container(F.col("v")))
     kind = F.schema_of_variant("v")
     text = F.when(kind == "STRING", F.try_variant_get("v", "$", "string")).otherwise(F.to_json("v"))
-    value_type = F.when(kind.startswith("OBJECT"), "dict").when(kind.startswith("ARRAY"), "list")
+    value_type = F.when(kind.startswith("DECIMAL"), "float")
     for spark_type, name in _TYPE_NAMES.items():
         value_type = F.when(kind == spark_type, name).otherwise(value_type)
-    value_type = F.when(kind.startswith("DECIMAL"), "float").otherwise(value_type)
-    return (
-        rows.filter(F.size("node") > 0)
-        .filter(~_is_container(F.col("v")) | (F.to_json("v").rlike(r"[^\[\]{}]")))
-        .select(
-            *keys,
-            "node",
-            F.when(kind != "VOID", text).alias("value"),
-            F.when(kind == "VOID", "null").otherwise(value_type).alias("value_type"),
-        )
+    return rows.select(
+        *keys,
+        "node",
+        F.when(kind != "VOID", text).alias("value"),
+        F.when(kind == "VOID", "null").otherwise(value_type).alias("value_type"),
     )
 
 

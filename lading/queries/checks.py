@@ -334,7 +334,16 @@ def flatten_props(spark, folder):
         F.lit('", {"u": '), F.col("user_id").cast("string"), F.lit(', "none": null}, []]}'),
     )
     docs = table(spark, folder, "events").select("event_id", document.alias("document"))
-    flat = flatten_paths(docs, "document", ["event_id"], depth=4)
+    flat = flatten_paths(docs, "document", ["event_id"])
+    return flat.select("event_id", F.array_join("node", "/").alias("node"), "value", "value_type")
+
+
+def deep_documents(spark, folder):
+    """events as documents of up to thirty levels."""
+    n = (F.col("user_id") % 15 + 1).cast("int")
+    document = F.concat(F.repeat(F.lit('{"k": ['), n), F.col("event_id").cast("string"), F.repeat(F.lit("]}"), n))
+    docs = table(spark, folder, "events").select("event_id", document.alias("document"))
+    flat = flatten_paths(docs, "document", ["event_id"])
     return flat.select("event_id", F.array_join("node", "/").alias("node"), "value", "value_type")
 
 
@@ -485,6 +494,7 @@ QUERIES = {
     "meta_check": meta_check,
     "footer_check": footer_check,
     "flatten_props": flatten_props,
+    "deep_documents": deep_documents,
     "bad_documents": bad_documents,
     "match_conversation_nodes": match_conversation_nodes,
     "validate_conversations": validate_conversations,
@@ -633,6 +643,10 @@ FROM events, json_each(props) j
 UNION ALL SELECT event_id, 'l/0', event_type, 'str' FROM events
 UNION ALL SELECT event_id, 'l/1/u', CAST(user_id AS VARCHAR), 'int' FROM events
 UNION ALL SELECT event_id, 'l/1/none', NULL, 'null' FROM events
+""",
+    "deep_documents": """
+SELECT event_id, rtrim(repeat('k/0/', CAST(user_id % 15 + 1 AS INTEGER)), '/') AS node,
+  CAST(event_id AS VARCHAR) AS value, 'int' AS value_type FROM events
 """,
     "match_conversation_nodes": """
 WITH n AS (SELECT CAST(conv_id AS VARCHAR) AS path, CAST(turn AS VARCHAR) AS turn FROM conversations)

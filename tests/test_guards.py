@@ -56,13 +56,19 @@ def test_value_patterns_outlive_inferred_objects(spark):
     assert "GOOD.*" in specs.known_regexes and kept.known_regexes >= specs.known_regexes | {"other"}
 
 
-def test_deep_documents_come_whole_and_bad_ones_are_told(spark):
+def test_documents_of_any_depth_and_bad_ones_are_told(spark):
+    deep = "1.5"
+    for i in range(40):
+        deep = f'[{deep}, "x"]' if i % 2 else f'{{"k`{i}": {deep}}}'
     docs = spark.createDataFrame(
-        [(1, '{"a": {"b": {"c": 1}}, "d": [2]}'), (2, "{"), (3, None), (4, "7"), (5, "{}")], "id int, doc string"
+        [(1, '{"a": {"b": {"c": 1}}, "d": [2, [], {}, null, true]}'), (2, "{"), (3, None), (4, "7"), (5, "{}"), (6, deep)], "`own id` int, doc string"
     )
-    flat = flatten_paths(docs, "doc", ["id"], depth=2)
-    rows = {(r.id, "/".join(r.node)): (r.value, r.value_type) for r in flat.collect()}
-    assert rows == {(1, "a/b"): ('{"c":1}', "dict"), (1, "d/0"): ("2", "int")}
+    flat = flatten_paths(docs, "doc", ["own id"])
+    rows = {(r[0], "/".join(r.node)): (r.value, r.value_type) for r in flat.filter("`own id` < 6").collect()}
+    assert rows == {(1, "a/b/c"): ("1", "int"), (1, "d/0"): ("2", "int"), (1, "d/3"): (None, "null"), (1, "d/4"): ("true", "bool")}
+    found = flat.filter("`own id` = 6").collect()
+    assert len(found) == 21 and max(len(r.node) for r in found) == 40 and {r.value for r in found} == {"1.5", "x"}
+    docs = docs.withColumnRenamed("own id", "id")
     told = {r.id: r.problem for r in document_problems(docs, "doc", ["id"]).collect()}
     assert told == {2: "not a JSON document", 3: "no document", 4: "a single value, not a tree"}
 
