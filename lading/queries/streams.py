@@ -26,6 +26,7 @@ from lading.queries.readings import (
 )
 from lading.sources import events as se
 from lading.sources.files import read_index, scan_files, write_index
+from lading.sources.tail import tail_events
 from lading.spec import Specs
 from lading.streaming import session
 from lading.streaming.delivery import (
@@ -168,6 +169,32 @@ def stream_event_text(spark, folder):
     )
 
 
+def tailed_log(spark, folder):
+    """The same log followed by its byte offsets; every seventh row lacks its status."""
+    scratch = _scratch(spark, "tail")
+    rows = event_log(spark, folder).select(
+        F.col("seq").cast("string").alias("time"), "category",
+        F.when(F.col("category") == "keepalive", "-").otherwise(F.col("ref")).alias("ref"),
+        F.when(F.col("seq") % 7 == 0, "").otherwise(F.col("status")).alias("status"),
+        F.concat(F.lit('says "'), F.coalesce("message", F.lit("-")), F.lit('"\n\tin two lines')).alias("message"),
+    )
+    se.write_events(rows, f"{scratch}/log", {"agent_id": "client"})
+    stream = tail_events(spark, f"{scratch}/log", most_bytes=1 << 20)
+    query = (
+        stream.select("time", "category", "ref", "status", "message", "problem")
+        .writeStream.format("parquet")
+        .option("path", f"{scratch}/result")
+        .option("checkpointLocation", f"{scratch}/checkpoint")
+        .start()
+    )
+    query.processAllAvailable()
+    query.stop()
+    read = spark.read.schema(
+        "time string, category string, ref string, status string, message string, problem string"
+    ).parquet(f"{scratch}/result")
+    return read.select(F.col("time").cast("bigint").alias("seq"), "category", "ref", "status", "message", "problem")
+
+
 def incremental_verdicts(spark, folder):
     """The table files reported in a client log, judged as they
     come in; then what a resumed delivery would do with each."""
@@ -197,6 +224,7 @@ def index_roundtrip(spark, folder):
 
 
 QUERIES = {
+    "tailed_log": tailed_log,
     "incremental_verdicts": incremental_verdicts,
     "index_roundtrip": index_roundtrip,
     "stream_file_states": stream_file_states,
@@ -208,6 +236,14 @@ QUERIES = {
 }
 
 ORACLE = {
+    "tailed_log": f"""
+WITH {EVENT_LOG_SQL}
+SELECT seq, category, CASE WHEN category = 'keepalive' THEN '-' ELSE ref END AS ref,
+  CASE WHEN seq % 7 = 0 THEN '' ELSE status END AS status,
+  'says "' || coalesce(message, '-') || '"' || chr(10) || chr(9) || 'in two lines' AS message,
+  CASE WHEN seq % 7 = 0 THEN 'missing required fields: status' END AS problem
+FROM log
+""",
     "incremental_verdicts": """
 SELECT tab, CASE tab WHEN 'region' THEN 'new' WHEN 'lineitem' THEN 'invalid' WHEN 'nation' THEN 'invalid' ELSE 'valid' END AS reason
 FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'),
