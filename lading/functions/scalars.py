@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,6 +90,13 @@ def email_problem(address: Column) -> Column:
     return F.when(address.isNotNull(), _first_text(EMAIL_TEXTS, address, faults))
 
 
+# What a scalar could not be parsed as (fixed values).
+_KINDS = {
+    "int": "an integer", "float": "a real number", "bool": "a boolean value", "date": "a date",
+    "null": "an explicit null value", "regex": "a regex",
+}
+
+
 def _bad(text: Column, what: str) -> Column:
     return F.concat(
         F.lit("bad value; '"), text, F.lit(f"' could not be parsed as {what}")
@@ -108,8 +118,14 @@ _INT_FORMS = {
 }
 
 
+def is_integer(text: Column) -> Column:
+    """an integer literal of any size, with 0x/0o/0b prefixes and _ separators."""
+    body = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), "^[+-]", "")
+    return body.rlike("^(?:" + "|".join(_INT_FORMS.values()) + r")\z")
+
+
 def parse_int(text: Column) -> Column:
-    """integer literal with 0x/0o/0b prefixes and _ separators (63 bits)."""
+    """value of an integer literal; NULL for others and beyond 63 bits (see `is_integer`)."""
     bare = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
     sign = F.regexp_extract(bare, r"^([+-]?)", 1)
     body = F.regexp_replace(bare, r"^[+-]", "")
@@ -149,24 +165,41 @@ def is_explicit_null(text: Column) -> Column:
 
 def scalar_problem(text: Column, kind: str) -> Column:
     """L14 for one property: why `text` is not a valid `kind` (NULL if it is)."""
-    parsed = {
-        "int": parse_int, "float": parse_float, "bool": parse_bool, "date": parse_date,
+    holds = {
+        "int": is_integer, "null": is_explicit_null, "regex": is_regex,
+        "float": lambda t: parse_float(t).isNotNull(),
+        "bool": lambda t: parse_bool(t).isNotNull(),
+        "date": lambda t: parse_date(t).isNotNull(),
     }
-    names = {
-        "int": "an integer", "float": "a real number", "bool": "a boolean value",
-        "date": "a date", "null": "an explicit null value",
-    }
-    if kind not in names:
+    if kind not in _KINDS:
         return F.lit(None).cast("string")
-    good = is_explicit_null(text) if kind == "null" else parsed[kind](text).isNotNull()
-    return F.when(text.isNotNull() & ~good, _bad(text, names[kind]))
+    return F.when(text.isNotNull() & ~holds[kind](text), _bad(text, _KINDS[kind]))
+
+
+def is_regex(text: Column) -> Column:
+    """Does Python take the text as a pattern?"""
+
+    @F.pandas_udf("boolean")
+    def compiles(patterns: pd.Series) -> pd.Series:
+        def good(pattern: str | None) -> bool | None:
+            if pattern is None:
+                return None
+            try:
+                re.compile(pattern)
+            except (re.error, OverflowError, RecursionError):
+                return False
+            return True
+
+        return patterns.map(good)
+
+    return compiles(text)
 
 
 def scalar_type(text: Column) -> Column:
     """Type a free label scalar takes: int, float, null, bool, then str."""
     return (
         F.when(text.isNull(), F.lit(None).cast("string"))
-        .when(parse_int(text).isNotNull(), "int")
+        .when(is_integer(text), "int")
         .when(parse_float(text).isNotNull(), "float")
         .when(is_explicit_null(text), "null")
         .when(parse_bool(text).isNotNull(), "bool")

@@ -85,6 +85,7 @@ def archive(spark, folder) -> Specs:
         F.when(urgency == "1", "ndim").when(urgency == "2", "dtype").when(urgency == "3", "index")
         .when(urgency == "4", "value_regex").otherwise("name").alias("property"),
         F.when(F.col("o_totalprice") > 400_000, "many").otherwise(F.col("o_totalprice").cast("bigint").cast("string")).alias("value"),
+        F.when(F.col("o_custkey") % 50 == 0, "map").when(F.col("o_custkey") % 50 == 1, "list").otherwise("scalar").alias("form"),
     )
     return Specs(types, patterns, first.unionByName(second), columns, meta, contacts, props, Specs.from_labels(spark, []).options)
 
@@ -177,7 +178,8 @@ props AS (
   SELECT 'parts' AS dataset, o_orderstatus AS delivery_id, '/filetypes/c' || o_custkey AS lpath,
     CASE o_orderstatus WHEN 'F' THEN 'column' ELSE 'metadata' END AS element,
     CASE o_orderpriority[1] WHEN '1' THEN 'ndim' WHEN '2' THEN 'dtype' WHEN '3' THEN 'index' WHEN '4' THEN 'value_regex' ELSE 'name' END AS prop,
-    CASE WHEN o_totalprice > 400000 THEN 'many' ELSE CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) END AS val
+    CASE WHEN o_totalprice > 400000 THEN 'many' ELSE CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) END AS val,
+    CASE o_custkey % 50 WHEN 0 THEN 'map' WHEN 1 THEN 'list' ELSE 'scalar' END AS form
   FROM orders)
 """
 
@@ -244,8 +246,13 @@ SELECT dataset, delivery_id, lpath || '/' || prop AS lpath,
   'bad value; ''' || val || ''' could not be parsed as '
     || CASE prop WHEN 'value_regex' THEN 'a boolean value' ELSE 'an integer' END AS problem
 FROM props
-WHERE (element = 'column' AND prop = 'ndim' AND val = 'many') OR (element = 'metadata' AND prop = 'index' AND val = 'many')
-  OR (element = 'metadata' AND prop = 'value_regex' AND val NOT IN ('0', '1'))
+WHERE form = 'scalar' AND ((element = 'column' AND prop = 'ndim' AND val = 'many') OR (element = 'metadata' AND prop = 'index' AND val = 'many')
+  OR (element = 'metadata' AND prop = 'value_regex' AND val NOT IN ('0', '1')))
+UNION ALL
+SELECT dataset, delivery_id, lpath || '/' || prop, 'bad value; expected a scalar, got a ' || form
+FROM props
+WHERE form <> 'scalar' AND prop IN ('ndim', 'dtype', 'name', 'index', 'value_regex')
+  AND NOT (element = 'column' AND prop IN ('index', 'value_regex')) AND NOT (element = 'metadata' AND prop IN ('ndim', 'dtype', 'name'))
 """,
 }
 ORACLE["lint_report"] = (

@@ -53,8 +53,9 @@ SPEC_OPTIONS = (
     "dataset string, delivery_id string, global_skip array<string>, "
     "missing_filetypes_ok boolean, no_assigned_filetype_ok boolean"
 )
-# One row per property written in a label; `element` is the element's class.
+# One row per property written in a label; `element` is the element's class,
+# `form` that of the value: scalar, null, list or map.
 SPEC_PROPS = (
     "dataset string, delivery_id string, lpath string, element string, "
-    "property string, value string"
+    "property string, value string, form string"
 )

@@ -283,18 +283,21 @@ _COLLECTIONS = {
 
 
 def _property_rows(element: Mapping, kind: str = "label", lpath: str = ""):
-    """(lpath, element, property, scalar text) of every property of a label."""
+    """(lpath, element, property, scalar text, form) of every property of a label."""
     for name, value in element.items():
         scalar = isinstance(value, (str, int, float, bool))
         text = str(value).lower() if isinstance(value, bool) else str(value)
-        yield lpath or "/", kind, name, text if scalar else None
+        form = "scalar" if scalar else "null" if value is None else "map" if isinstance(value, Mapping) else "list"
+        yield lpath or "/", kind, name, text if scalar else None, form
         here = f"{lpath}/{name}"
         if name in _CHILDREN.get(kind, {}) and isinstance(value, Mapping):
             yield from _property_rows(value, _CHILDREN[kind][name], here)
         elif name in _COLLECTIONS.get(kind, {}):
             child = _COLLECTIONS[kind][name]
-            items = value.items() if isinstance(value, Mapping) else enumerate(value)
+            items = value.items() if isinstance(value, Mapping) else () if scalar else enumerate(value or ())
             for key, item in items:
+                if not isinstance(item, Mapping):
+                    continue  # its form is told at the property itself
                 yield from _property_rows(item, child, f"{here}/{key}")
 
 

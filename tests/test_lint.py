@@ -106,3 +106,40 @@ def test_classification_details(spark):
     assert "tmp/x" not in {r.path for r in c.drop_ignored(classified, specs).collect()}
     needs = {r.type: r.needs_data for r in c.needs_data_check(specs).collect()}
     assert needs == {"text": False, "junk": False, "data": False}
+
+
+def test_forms_and_kinds_of_values(spark):
+    label = {
+        "dataset": ["d"], "delivery_id": 1, "contacts": "nobody", "time": {"delivery_start_date": "soon"},
+        "delivery_meta": {"schema_version": "1", "global_validation_options": {"skip": "all", "missing_filetypes_ok": "perhaps"}},
+        "filetypes": {"t": {"filename": "x", "standard": {"a": 1}, "validation_options": {"skip": {"b": 2}}, "objects": [
+            {"name": ["a", "b"], "ndim": "99999999999999999999999999", "value": "a(", "value_regex": True, "schema": "none"},
+            {"name": {"c": 1}, "ndim": 1.5, "value": "a(", "metadata": {"m": {"value": "(", "value_regex": "true"}}}]}},
+    }
+    label["filetypes"]["t"]["standard"] = "parquet"
+    found = {}
+    for r in lint.scalar_errors(_specs_of_props(spark, label)).collect():
+        found[r.lpath] = r.problem
+    assert found == {
+        "/dataset": "bad value; expected a scalar, got a list",
+        "/contacts": "bad value; expected a mapping, got a scalar",
+        "/time/delivery_start_date": "bad value; 'soon' could not be parsed as a date",
+        "/delivery_meta/global_validation_options/missing_filetypes_ok": "bad value; 'perhaps' could not be parsed as a boolean value",
+        "/filetypes/t/validation_options/skip": "bad value; expected a list, got a map",
+        "/filetypes/t/objects/0/value": "bad value; 'a(' could not be parsed as a regex",
+        "/filetypes/t/objects/0/schema": "bad value; expected a list of mappings, got a scalar",
+        "/filetypes/t/objects/1/name": "bad value; expected a name or a list of names, got a map",
+        "/filetypes/t/objects/1/ndim": "bad value; '1.5' could not be parsed as an integer",
+        "/filetypes/t/objects/1/metadata/m/value": "bad value; '(' could not be parsed as a regex",
+    }
+
+
+def _specs_of_props(spark, label):
+    """Only the table of properties: such a label can't be loaded as a whole."""
+    from dataclasses import replace
+
+    from lading import schemas
+    from lading.spec import _property_rows, local_table
+
+    rows = [("d", "1", *row) for row in _property_rows(label)]
+    return replace(Specs.from_labels(spark, []), props=local_table(spark, rows, schemas.SPEC_PROPS))
