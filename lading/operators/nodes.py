@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lading.functions.regex import java_pattern
 from lading.spec import Specs
 
 _CONTAINERS = r"^(OBJECT|ARRAY)"
@@ -110,8 +114,10 @@ def match_nodes(nodes: DataFrame, specs: Specs) -> DataFrame:
     found = found.unionByName(
         located.join(by_name, ["type", "__last"]).drop("__at", "__last")
     )
+    paths = _regex_paths(objects.filter("name_regex"))
+    portable = ~F.exists("regexes", lambda p: p.isNull())
     regexes = (
-        _regex_paths(objects.filter("name_regex"))
+        paths.filter(portable)
         .groupBy("type")
         .agg(F.collect_list(F.struct("obj_ix", "regexes", "bare")).alias("__regexes"))
     )
@@ -129,24 +135,53 @@ def match_nodes(nodes: DataFrame, specs: Specs) -> DataFrame:
         .withColumn("obj_ix", F.col("__hit.obj_ix"))
         .drop("__regexes", "__hit")
     )
-    return found.unionByName(by_regex)
+    foreign = paths.filter(~portable).select("type", "obj_ix", "patterns", "bare")
+    by_python = (
+        nodes.join(foreign, "type")
+        .filter(_python_path(F.col("node"), F.col("patterns"), F.col("bare")))
+        .drop("patterns", "bare")
+    )
+    return found.unionByName(by_regex).unionByName(by_python)
 
 
-def _regex_paths(objects: DataFrame) -> DataFrame:
-    """Java patterns of each path element; a bare name is searched, not matched."""
-    from lading.functions.regex import java_or_error
+def _python_path(node: Column, patterns: Column, bare: Column) -> Column:
+    """Do the elements of a path match their patterns, or its last one that of a bare name?"""
+
+    @F.pandas_udf("boolean")
+    def test(nodes: pd.Series, wanted: pd.Series, single: pd.Series) -> pd.Series:
+        known: dict[str, re.Pattern] = {}
+
+        def compiled(pattern: str) -> re.Pattern:
+            return known.get(pattern) or known.setdefault(pattern, re.compile(pattern))
+
+        def holds(elements, patterns, alone) -> bool:
+            if elements is None or not len(elements):
+                return False
+            if alone:
+                return compiled(patterns[0]).search(elements[-1]) is not None
+            return len(elements) == len(patterns) and all(
+                e is not None and compiled(p).match(e) for e, p in zip(elements, patterns, strict=True)
+            )
 
+        return pd.Series([holds(*row) for row in zip(nodes, wanted, single, strict=True)], dtype="object")
+
+    return test(node, patterns, bare)
+
+
+def _regex_paths(objects: DataFrame) -> DataFrame:
+    """Patterns of each path element, and their Java forms; a bare name is searched, not matched."""
     bare = F.col("name_path").isNull()
     elements = objects.withColumn("bare", bare).select(
         "type", "obj_ix", "bare",
         F.posexplode(F.when(bare, F.array("name")).otherwise(F.col("name_path"))).alias("k", "p"),
     )
-    java = F.when(F.col("bare"), java_or_error(F.col("p"), "search")).otherwise(
-        java_or_error(F.col("p"), "match")
-    )
+    java = F.when(F.col("bare"), java_pattern(F.col("p"), "search")).otherwise(java_pattern(F.col("p"), "match"))
     return (
         elements.withColumn("java", java)
         .groupBy("type", "obj_ix", "bare")
-        .agg(F.array_sort(F.collect_list(F.struct("k", "java"))).alias("__ps"))
-        .withColumn("regexes", F.transform("__ps", lambda p: p["java"]))
+        .agg(F.array_sort(F.collect_list(F.struct("k", "java", "p"))).alias("__ps"))
+        .withColumns({
+            "regexes": F.transform("__ps", lambda p: p["java"]),
+            "patterns": F.transform("__ps", lambda p: p["p"]),
+        })
     )

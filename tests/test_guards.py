@@ -7,7 +7,7 @@ from lading import load_specs
 from lading.operators import events as ev
 from lading.operators import hooks, scans
 from lading.operators.archive import match_types_by_delivery
-from lading.operators.nodes import document_problems, flatten_paths
+from lading.operators.nodes import document_problems, flatten_paths, match_nodes
 from lading.sources import events, files
 
 
@@ -82,6 +82,16 @@ def test_a_pattern_without_jvm_form_is_tested_by_python(spark):
     assert sorted(match_types_by_delivery(files, patterns).select("path", "types").collect()) == [("ab", ["t"]), ("ac", [])]
 
 
+def test_node_patterns_that_only_python_has(spark):
+    names = [["a", "(x)?(?(1)y|z)"], "(q)(?(1)r|s)$", ["b", r"\d+"]]
+    label = {"dataset": "d", "delivery_id": 1, "filetypes": {"t": {"filename": ".*", "standard": "asdf", "objects": [
+        {"name": n, "name_regex": True} for n in names]}}}
+    nodes = [["a", "xy"], ["a", "xz"], ["a", "z"], ["a", "z", "more"], ["c", "qr"], ["b", "12"], ["qs"], []]
+    df = spark.createDataFrame([("p", "t", n) for n in nodes], "path string, type string, node array<string>")
+    found = {(tuple(r.node), r.obj_ix) for r in match_nodes(df, load_specs(spark, label)).collect()}
+    assert found == {(("a", "xy"), 0), (("a", "z"), 0), (("c", "qr"), 1), (("b", "12"), 2)}
+
+
 def test_transfers_of_unknown_files_are_failures(spark):
     index = spark.createDataFrame([("a", True)], "path string, will_transfer boolean")
     log = spark.createDataFrame(
