@@ -23,6 +23,7 @@ LEAST_SHARE, MOST_SHARE = 0.001, 0.2  # of the texts that hold a term of the lex
 EDGES = ["80"] * 2 + ["20"] * 4 + ["08"] * 8 + ["02"] * 10
 NONE = "--------"
 BUCKET = 1000  # documents of a bucket when their neighbours are sought
+FAN, LEVELS = 64, 3
 BROADCAST_ROWS = 1_000_000  # of 24 bytes
 
 
@@ -106,6 +107,26 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.coalesce(F.try_divide(F.size(equal), F.size(pairs)), F.lit(1.0)))
 
 
+def into_buckets(docs: DataFrame, count: int) -> DataFrame:
+    """docs with `bucket`, numbers that rise with doc_id, some BUCKET rows each however the ids are spread.
+
+    Quantiles of the ids cut all rows into up to FAN ranges, then each range
+    again, LEVELS times at most; the edges are FAN numbers a range.
+    """
+    docs = docs.withColumn("bucket", F.lit(0).cast("bigint"))
+    wanted = -(-count // BUCKET)
+    for _ in range(LEVELS):
+        parts = min(FAN, wanted)
+        if parts < 2:
+            break
+        shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+        edges = docs.groupBy("bucket").agg(F.percentile_approx("doc_id", shares, 1000).alias("edges"))
+        at = F.size(F.filter("edges", lambda e: e <= F.col("doc_id")))
+        docs = docs.join(F.broadcast(edges), "bucket").withColumn("bucket", F.col("bucket") * FAN + at).drop("edges")
+        wanted = -(-wanted // parts)
+    return docs
+
+
 def with_next(docs: DataFrame, fingerprint) -> DataFrame:
     """Rows of docs (doc_id, text) with fingerprint, next_text and next_fingerprint.
 
@@ -113,10 +134,8 @@ def with_next(docs: DataFrame, fingerprint) -> DataFrame:
     largest.  Texts are shuffled once, into buckets of neighbouring ids; each
     bucket also gets the first document of the next one.
     """
-    span = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high, count = (x or 0 for x in span)
-    width = max(1, (high - low + 1) * BUCKET // max(1, count))
-    docs = docs.withColumn("bucket", F.floor((F.col("doc_id") - low) / width))
+    count = docs.count()
+    docs = into_buckets(docs, count)
     heads = docs.groupBy("bucket").agg(F.max("doc_id").alias("doc_id"))
     above = Window.orderBy("bucket")  # one small row a bucket
     top = heads.agg(F.min("bucket")).first()[0]

@@ -364,6 +364,19 @@ def test_store_is_bounded_and_changes_nothing(monkeypatch):
     assert small.used < store.used
 
 
+def test_buckets_hold_neighbours_however_ids_are_spread(spark):
+    ids = [*range(30_000), 10**15, -(10**12), *range(10**9, 10**9 + 5000)]
+    docs = spark.createDataFrame([(i,) for i in ids], "doc_id bigint")
+    found = imatch.into_buckets(docs, len(ids)).collect()
+    assert len(found) == len(ids)
+    sizes = {}
+    for r in found:
+        sizes.setdefault(r["bucket"], []).append(r["doc_id"])
+    assert max(map(len, sizes.values())) < 4 * imatch.BUCKET and len(sizes) > len(ids) / imatch.BUCKET / 3
+    spans = sorted((min(x), max(x), b) for b, x in sizes.items())
+    assert all(a[1] < b[0] and a[2] < b[2] for a, b in itertools.pairwise(spans))
+
+
 def test_imatch_equal_texts_and_neighbours(spark, odd, none):
     docs = spark.createDataFrame([(3 * i, prose(i % 37, 40 + i)) for i in range(60)] + [(1, None), (2, "")], "doc_id bigint, text string")
     out = {r["doc_id"]: r for r in imatch.edited_likeness(docs).collect()}
