@@ -1,13 +1,17 @@
 """Cutting lineage: results used several times are computed once.
 
 `cut` writes a reliable checkpoint to the folder the cluster names in
-spark.checkpoint.dir, so the loss of an executor loses nothing.
+spark.checkpoint.dir, so the loss of an executor loses nothing.  `stored`
+writes Parquet files there: its readers take only the columns they need, and
+the planner knows how large the result is, so small ones are broadcast.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 
@@ -26,3 +30,14 @@ def _checkpoint_folder(df: DataFrame) -> None:
 def cut(df: DataFrame) -> DataFrame:
     _checkpoint_folder(df)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`cut` for large rows read in parts; what Parquet can't hold is checkpointed."""
+    _checkpoint_folder(df)
+    at = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(at)
+    except AnalysisException:
+        return cut(df)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

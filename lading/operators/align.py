@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from lading.materialise import cut
+from lading.materialise import stored
 
 OBJECT = ("path", "type", "obj_ix")
 
@@ -35,8 +40,10 @@ def spec_runs(
     So an object's items are cut into runs of `width`; each full run is
     reduced to a small table from the state before it to the state after it,
     these tables are chained per object, and every run is then walked on its
-    own from its known start.
+    own from its known start.  Only objects of several runs have tables.  The
+    items of a run stream past in order; none are gathered.
     """
+    items = stored(items)
     repeats = (
         slots.groupBy("type", "obj_ix")
         .agg(
@@ -52,41 +59,46 @@ def spec_runs(
         )
         .filter(F.size("__repeated") > 0)
     )
+    repeats = stored(repeats)
     keyed = items.join(repeats, ["type", "obj_ix"], "left")
     plain = keyed.filter(F.col("__repeated").isNull()).withColumn("slot", F.col("pos"))
-    marked = keyed.filter(F.col("__repeated").isNotNull()).withColumns(
-        {
-            "__hits": _hits(F.col("name"), F.col("__repeated"), portable),
-            "__run": F.floor(F.col("pos") / F.lit(width)).cast("int"),
-        }
-    )
-    fields = [c for c in items.columns if c not in OBJECT]
-    runs = marked.groupBy(*OBJECT, "__run", "__n_slots").agg(
-        F.array_sort(
-            F.collect_list(F.struct("pos", "__hits", F.struct(*fields).alias("item")))
-        ).alias("__items")
-    )
-    starts = _run_starts(runs, strict, width)
-    taken = F.aggregate(
-        "__items",
-        F.struct(
-            F.coalesce("__start", F.lit(_BEGIN)).alias("code"),
-            F.array().cast("array<int>").alias("taken"),
-        ),
-        lambda state, item: _walk(state, _step(state["code"], item["__hits"], strict)),
-        lambda state: state["taken"],
-    )
-    walked = (
-        runs.join(starts, [*OBJECT, "__run"], "left")
-        .withColumn("__taken", taken)
-        .select(*OBJECT, F.explode(F.arrays_zip("__items", "__taken")).alias("z"))
-        .select(*OBJECT, "z.__items.item.*", F.col("z.__taken").alias("slot"))
+    run = F.floor(F.col("pos") / F.lit(width)).cast("int")
+    fields = [c for c in items.columns if c not in OBJECT and c != "pos"]
+    walkable = keyed.filter(F.col("__repeated").isNotNull()).withColumn("__run", run)
+    longer = stored(walkable.filter(run > 0).select(*OBJECT).distinct())
+    if longer.isEmpty():
+        started = walkable.withColumn("__start", F.lit(_BEGIN))
+    else:
+        long_runs = _runs(walkable.join(longer, list(OBJECT), "left_semi"), portable)
+        starts = stored(_run_starts(long_runs, strict, width))
+        started = walkable.join(starts, [*OBJECT, "__run"], "left")
+    run_key = [*OBJECT, "__run"]
+    ordered = (
+        started.withColumn("__hits", _hits(F.col("name"), F.col("__repeated"), portable))
+        .select(*items.columns, "__run", "__hits", F.coalesce("__start", F.lit(_BEGIN)).alias("__start"))
+        .repartition(*run_key)
+        .sortWithinPartitions(*run_key, "pos", "__hits", *fields)
+    )
+    walked = ordered.mapInArrow(
+        _walker(run_key, strict), StructType([*ordered.schema.fields, StructField("slot", IntegerType())])
     )
     return plain.drop("__repeated", "__n_slots").unionByName(
         walked.select(*items.columns, "slot")
     )
 
 
+def _runs(walkable: DataFrame, portable: bool) -> DataFrame:
+    """`__items` of each run in order: position and repeated slots hit."""
+    hits = _hits(F.col("name"), F.col("__repeated"), portable)
+    return (
+        walkable.withColumn("__hits", hits)
+        .groupBy(*OBJECT, "__run", "__n_slots")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("pos", "__hits"))).alias("__items")
+        )
+    )
+
+
 # State of a walk: twice the slot, plus one if the last item matched it.
 _BEGIN = -1
 
@@ -99,11 +111,38 @@ def _step(code: Column, hits: Column, strict: bool) -> Column:
     return after * 2 + F.when(F.array_contains(hits, after), 1).otherwise(0)
 
 
-def _walk(state: Column, code: Column) -> Column:
-    return F.struct(
-        code.alias("code"),
-        F.array_append(state["taken"], F.shiftright(code, 1)).alias("taken"),
-    )
+def _walker(run_key: list[str], strict: bool):
+    """`slot` of rows that come run by run, each run in order; the same steps as `_step`."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, slot, inside = None, 0, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hits = batch.column("__hits")
+            ends, found = hits.offsets.to_numpy(), hits.values.to_numpy()
+            opens = np.zeros(batch.num_rows, bool)
+            for k in run_key:
+                key, none = batch.column(k), batch.column(k).is_null().to_numpy(zero_copy_only=False)
+                other = pc.not_equal(key[1:], key[:-1]).fill_null(False)
+                opens[1:] |= other.to_numpy(zero_copy_only=False) | (none[1:] != none[:-1])
+            opens[0] = [batch.column(k)[0].as_py() for k in run_key] != last
+            last = [batch.column(k)[-1].as_py() for k in run_key]
+            slots = []
+            rows = zip(opens.tolist(), batch.column("__start").to_numpy().tolist(), ends[:-1].tolist(), ends[1:].tolist())
+            found = found.tolist()
+            for fresh, start, low, high in rows:
+                if fresh:
+                    slot, inside = start >> 1, bool(start & 1)
+                hit = found[low:high]
+                if not (slot in hit and (inside or not strict)):
+                    slot += 1
+                inside = slot in hit
+                slots.append(slot)
+            columns = [*batch.columns, pa.array(slots, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "slot"])
+
+    return walk
 
 
 def _run_starts(runs: DataFrame, strict: bool, width: int) -> DataFrame:
@@ -177,7 +216,7 @@ def align(
     objects to check, including those without any item.  Missing slots come
     with `pos`, numbered on from the last item.
     """
-    placed = cut(spec_runs(items, slots, portable, strict))
+    placed = stored(spec_runs(items, slots, portable, strict))
     spec = slots.select("type", "obj_ix", "slot", F.struct(slots.columns).alias("spec"))
     aligned = placed.join(spec, ["type", "obj_ix", "slot"], "left")
     reached = placed.groupBy(*OBJECT).agg(

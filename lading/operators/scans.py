@@ -9,8 +9,9 @@ order (an hour of the log, 4096 positions of a schema, ...):
 3. a window inside each (key, bucket), to which 2 is added.
 
 The rows are shuffled once, by (key, bucket), so a key that owns a third of
-the log is spread over as many tasks as it has buckets.  Keys must not be
-NULL.
+the log is spread over as many tasks as it has buckets.  Running aggregates
+and runs take steps 1 and 2 only for the keys that lie in several buckets,
+and store what those carry on, whose size then decides how it is joined.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lading.materialise import stored
+
 _BUCKET = "__bucket"
 _FIRST = -(1 << 62)  # bucket of rows whose order value is unknown
 
@@ -52,6 +55,32 @@ def _carry(totals: DataFrame, keys: Sequence[str], columns: Mapping[str, Column]
     ])
 
 
+def _spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Rows of the keys that lie in several buckets; None if there are none."""
+    low, high = rows.agg(F.min(_BUCKET), F.max(_BUCKET)).first()
+    if low == high:
+        return None
+    if not keys:
+        return rows
+    several = (
+        rows.groupBy(*[F.col(k).alias(f"__several_{k}") for k in keys])
+        .agg((F.min(_BUCKET) < F.max(_BUCKET)).alias("__several"))
+        .filter("__several")
+        .drop("__several")
+    )
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & F.col(key).eqNullSafe(F.col(f"__several_{key}"))
+    return rows.join(stored(several), condition, "left_semi")
+
+
+def _kept(carry: DataFrame, spread: DataFrame | None) -> DataFrame:
+    """What is carried on, stored; no rows if no key lies in several buckets."""
+    if spread is None:
+        return carry.filter(F.lit(False))
+    return stored(carry)
+
+
 def _join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     condition = F.col(_BUCKET) == F.col("__carry_bucket")
     for key in reversed(keys):
@@ -79,7 +108,8 @@ def running(
     earlier = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    totals = rows.groupBy(*keys, _BUCKET).agg(
+    spread = _spread(rows, keys)
+    totals = (rows if spread is None else spread).groupBy(*keys, _BUCKET).agg(
         *[
             _KINDS[kind][0](f"__in_{name}").alias(f"__total_{name}")
             for name, (kind, _) in measures.items()
@@ -93,6 +123,7 @@ def running(
             for name, (kind, _) in measures.items()
         },
     )
+    carry = _kept(carry, spread)
     so_far = Window.partitionBy(*keys, _BUCKET).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -160,18 +191,19 @@ def change_runs(
     """
     rows = _with_bucket(df, bucket).withColumn("__value", F.struct(value.alias("v")))
     inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
-    linked = rows.withColumn("__near", F.lag("__value").over(inside))
-
     def opens(before: Column, here: Column) -> Column:
         fresh = F.coalesce(changed(before["v"], here["v"]), F.lit(False))
         return F.when(fresh, 1).otherwise(0)
 
-    marked = linked.withColumn(
-        "__opened",
-        F.when(F.col("__near").isNotNull(), opens(F.col("__near"), F.col("__value"))),
-    )
+    def marked(some: DataFrame) -> DataFrame:
+        return some.withColumn("__near", F.lag("__value").over(inside)).withColumn(
+            "__opened",
+            F.when(F.col("__near").isNotNull(), opens(F.col("__near"), F.col("__value"))),
+        )
+
     sortable = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    totals = marked.groupBy(*keys, _BUCKET).agg(
+    spread = _spread(rows, keys)
+    totals = marked(rows if spread is None else spread).groupBy(*keys, _BUCKET).agg(
         F.min_by("__value", sortable).alias("__first"),
         F.max_by("__value", sortable).alias("__last"),
         F.coalesce(F.sum("__opened"), F.lit(0)).alias("__inner"),
@@ -185,11 +217,11 @@ def change_runs(
     )
     earlier = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
     gone = F.coalesce(F.sum(F.col("__entry") + F.col("__inner")).over(earlier), F.lit(0))
-    carry = _carry(entered, keys, {"__base": gone + F.col("__entry")})
+    carry = _kept(_carry(entered, keys, {"__base": gone + F.col("__entry")}), spread)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = marked.withColumn("__so_far", F.sum(F.coalesce("__opened", F.lit(0))).over(so_far))
+    local = marked(rows).withColumn("__so_far", F.sum(F.coalesce("__opened", F.lit(0))).over(so_far))
     return (
         _join_carry(local, carry, keys)
-        .withColumn(name, F.col("__base") + F.col("__so_far"))
+        .withColumn(name, F.coalesce("__base", F.lit(1)) + F.col("__so_far"))
         .drop(_BUCKET, "__value", "__near", "__opened", "__so_far", "__base")
     )

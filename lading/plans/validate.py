@@ -41,6 +41,23 @@ def _failures(
     )
 
 
+def _failures_of(
+    rows: DataFrame, object_: Column, checks: list[tuple[str, Column]]
+) -> DataFrame:
+    """Failures of several checks without keys, each a message or NULL, in one pass over the rows."""
+    told = F.array(
+        *[
+            F.struct(F.lit(check).alias("check"), message.alias("message"))
+            for check, message in checks
+        ]
+    )
+    return (
+        rows.select("path", object_.cast("string").alias("object"), F.explode(told).alias("told"))
+        .select("path", "object", "told.check", F.lit("").alias("key"), "told.message")
+        .filter(F.col("message").isNotNull())
+    )
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -139,27 +156,18 @@ def validate_hdus(files: DataFrame, catalog: Catalog, specs: Specs) -> DataFrame
     aligned, missing = align(items, slots, everything, specs.portable, strict=True)
     spec = F.col("spec")
     placed = aligned.filter(spec.isNotNull()).withColumn("obj_ix", F.col("pos"))
-    one = lambda problem: F.filter(F.array(problem), lambda m: m.isNotNull())
     has_data = F.coalesce("has_data", F.lit(False))
-    simple = [
-        ("name", one(p.object_name_problem(F.col("name"), spec, specs.portable))),
-        ("objtype", one(p.hdu_type_problem(F.col("objtype"), spec))),
-        (
-            "array_props",
-            p.hdu_array_problems(
-                F.col("objtype"), F.col("dtype"), F.col("ndim"), has_data, spec, F.col("skips")
-            ),
-        ),
-    ]
-    found = [
-        _failures(placed, F.col("obj_ix"), check, F.lit(""), messages)
-        for check, messages in simple
-    ]
-    found.append(
-        _failures(
-            aligned.filter(spec.isNull()), F.col("pos"), "base", F.lit(""), F.array(F.lit("extra"))
-        )
+    arrays = p.hdu_array_parts(
+        F.col("objtype"), F.col("dtype"), F.col("ndim"), has_data, spec, F.col("skips")
     )
+    checks = [
+        ("name", p.object_name_problem(F.col("name"), spec, specs.portable)),
+        ("objtype", p.hdu_type_problem(F.col("objtype"), spec)),
+        *[("array_props", message) for message in arrays],
+    ]
+    told = [(check, F.when(spec.isNotNull(), message)) for check, message in checks]
+    extra = F.when(spec.isNull(), "extra")
+    found = [_failures_of(aligned, F.col("pos"), [*told, ("base", extra)])]
     found.append(
         _failures(
             missing.filter(~F.col("spec.optional")), F.col("pos"), "base", F.lit(""),

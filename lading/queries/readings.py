@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lading.materialise import cut
+from lading.materialise import stored
 from lading.operators import scans
 
 
@@ -132,23 +132,24 @@ manifest AS (
 """
 
 
-def line_items(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+def line_items(
+    spark: SparkSession, folder: str, *columns: str, keep: bool = True
+) -> DataFrame:
     """Each order as a file, its line items as ordered entries from 0.
 
-    The position is a running count cut into buckets of the line number.  The
-    result is materialised, as its readers use it several times.
+    The position is a running count cut into buckets of 4096 line numbers.
+    `keep` materialises the result, for readers that use it several times.
     """
     order = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
     lines = table(spark, folder, "lineitem").select(
         *dict.fromkeys(["l_orderkey", *order, *columns])
     )
     counted = scans.running(
-        lines, ["l_orderkey"], [F.col(c) for c in order], F.col("l_linenumber"),
-        {"__n": ("sum", F.lit(1))},
+        lines, ["l_orderkey"], [F.col(c) for c in order],
+        scans.position_bucket(F.col("l_linenumber")), {"__n": ("sum", F.lit(1))},
     )
-    return cut(
-        counted.select("l_orderkey", (F.col("__n") - 1).cast("int").alias("pos"), *columns)
-    )
+    items = counted.select("l_orderkey", (F.col("__n") - 1).cast("int").alias("pos"), *columns)
+    return stored(items) if keep else items
 
 
 LINE_ITEMS_SQL = """
