@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lading.functions.regex import escape_regex
 
 EXCLUDE_MARK = "(?!)"
-STEM_PATTERN = r"(?s)^(.*?)((?:_|\d)*\d+)$"  # recognised suffix of repeated names
+STEM_PATTERN = r"(?s)^(.*?)([_\d]*\d)$"  # recognised suffix of repeated names
 STEM_SUFFIX = r"((?:_|\d)*\d+)"
 
 
@@ -90,7 +90,7 @@ def split_stem(name: Column) -> Column:
 def stem_of(name: Column) -> Column:
     """Stem of a name with a numeric suffix, NULL for other names."""
     return F.when(
-        name.rlike(STEM_PATTERN), F.regexp_extract(name, STEM_PATTERN, 1)
+        name.rlike(r"\d$"), F.regexp_extract(name, STEM_PATTERN, 1)
     )
 
 

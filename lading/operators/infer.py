@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lading.functions.names import generalise_repeated, stem_of
 from lading.functions.regex import escape_regex
-from lading.materialise import cut
+from lading.materialise import cut, stored
 from lading.operators import scans
 
 
@@ -131,8 +131,8 @@ def chunk_repeated(
 
     The result is materialised: unification reads it several times.
     """
-    items = cut(items)
-    known = recognised_stems(items, scope, file)
+    items = stored(items)
+    known = stored(recognised_stems(items, scope, file))
     stemmed = items.withColumn("__stem", stem_of(F.col("name")))
     joined = stemmed.join(
         known.withColumnRenamed("stem", "__stem"), [*scope, "__stem"], "left"
@@ -140,7 +140,7 @@ def chunk_repeated(
     grouped = stem_runs(
         joined, scope, file, position, F.when(F.col("__known"), F.col("__stem"))
     )
-    return cut(grouped.drop("__stem", "__known"))
+    return stored(grouped.drop("__stem", "__known"))
 
 
 def chunk_problems(
@@ -252,27 +252,40 @@ def unify_groups(
 
     `failure` holds the first disagreement (NULL when unified).
     """
-    low_high = [
-        agg(F.col(p).cast("string")).alias(f"__{tag}_{p}")
-        for p in properties
-        for tag, agg in (("lo", F.min), ("hi", F.max))
-    ]
-    nulls = [F.count(p).alias(f"__set_{p}") for p in properties]
-    in_file = grouped.groupBy(*scope, group, "stem", *file).agg(
-        *low_high, *nulls, F.count(F.lit(1)).alias("__n")
+    keys = [*scope, group]
+    # least and greatest text of the distinct values, so that equal rows are counted, not sorted
+    values = (
+        grouped.groupBy(*keys, *[F.col(p).cast("string").alias(f"__is_{p}") for p in properties])
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .groupBy(*[F.col(k).alias(f"__at_{k}") for k in keys])
+        .agg(
+            *[
+                agg(f"__is_{p}").alias(f"__{tag}_{p}")
+                for p in properties
+                for tag, agg in (("lo", F.min), ("hi", F.max))
+            ],
+            *[
+                F.sum(F.when(F.col(f"__is_{p}").isNotNull(), F.col("__n")).otherwise(0)).alias(f"__set_{p}")
+                for p in properties
+            ],
+            F.sum("__n").alias("__n"),
+        )
     )
-    unified = in_file.groupBy(*scope, group).agg(
-        *[
-            agg(f"__{tag}_{p}").alias(f"__{tag}_{p}")
-            for p in properties
-            for tag, agg in (("lo", F.min), ("hi", F.max))
-        ],
-        *[F.sum(f"__set_{p}").alias(f"__set_{p}") for p in properties],
-        F.sum("__n").alias("__n"),
-        F.count(F.lit(1)).alias("n_with"),
-        F.max("stem").alias("stem"),
-        (F.count_if(F.col("stem").isNull()) > 0).alias("__plain"),
+    in_file = grouped.groupBy(*keys, "stem", *file).agg(F.lit(1).alias("__one"))
+    stems = (
+        in_file.groupBy(*keys, "stem")
+        .agg(F.count(F.lit(1)).alias("n_with"))
+        .groupBy(*keys)
+        .agg(
+            F.sum("n_with").alias("n_with"),
+            F.max("stem").alias("stem"),
+            (F.count_if(F.col("stem").isNull()) > 0).alias("__plain"),
+        )
     )
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__at_{k}"))
+    unified = stems.join(values, same).drop(*[f"__at_{k}" for k in keys])
     files = file_counts(grouped, scope, file).select(*scope, "n_files")
 
     def text(column: str) -> Column:
