@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lading.functions.names import generalise_repeated, stem_of
@@ -66,22 +66,28 @@ def structure_variants(
     """Number of distinct item counts and of distinct name sets per scope.
 
     A file's set of names is reduced to two order-independent sums of hashes
-    over its distinct names, so no set is ever gathered.
+    over its distinct names, so no set is ever gathered.  Items are sorted by
+    file and name, so that a task keeps no table of them; sorts spill.
     """
-    in_file = items.groupBy(*scope, *file, name).agg(F.count(F.lit(1)).alias("__n"))
+    in_order = Window.partitionBy(*scope, *file).orderBy(name)
+    # is it the first item of its name?
+    fresh = F.coalesce(
+        ~F.lag(F.struct(name)).over(in_order).eqNullSafe(F.struct(name)), F.lit(True)
+    )
     wide = "decimal(38,0)"
-    prints = in_file.groupBy(*scope, *file).agg(
-        F.sum("__n").alias("__size"),
-        F.count(F.lit(1)).alias("__names"),
-        F.sum(F.xxhash64(name).cast(wide)).alias("__h1"),
-        F.sum(F.xxhash64(F.lit(1), F.col(name)).cast(wide)).alias("__h2"),
+    first = items.select(*scope, *file, name, fresh.alias("__fresh"))
+    prints = first.groupBy(*scope, *file).agg(
+        F.count(F.lit(1)).alias("__size"),
+        F.count_if("__fresh").alias("__names"),
+        F.sum(F.when(F.col("__fresh"), F.xxhash64(name).cast(wide))).alias("__h1"),
+        F.sum(F.when(F.col("__fresh"), F.xxhash64(F.lit(1), F.col(name)).cast(wide))).alias("__h2"),
     )
-    sizes = prints.groupBy(*scope, "__size").agg(F.lit(1).alias("__one"))
-    sets = prints.groupBy(*scope, "__names", "__h1", "__h2").agg(F.lit(1).alias("__one"))
-    return (
-        sizes.groupBy(*scope)
-        .agg(F.count(F.lit(1)).alias("n_sizes"))
-        .join(sets.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_sets")), list(scope))
+    variants = prints.groupBy(*scope, "__size", "__names", "__h1", "__h2").agg(F.lit(1).alias("__one"))
+    for column in scope:
+        variants = variants.filter(F.col(column).isNotNull())
+    return variants.groupBy(*scope).agg(
+        F.count_distinct("__size").alias("n_sizes"),
+        F.count_distinct("__names", "__h1", "__h2").alias("n_sets"),
     )
 
 
