@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lading.functions.names import generalise_repeated, stem_of
 from lading.functions.regex import escape_regex
-from lading.materialise import cut, stored
+from lading.materialise import stored
 from lading.operators import scans
 
 
@@ -180,7 +180,7 @@ def stem_sets(nodes: DataFrame, scope: Sequence[str], file: Sequence[str]) -> Da
     """
     last = F.element_at("node", -1)
     parent = F.slice("node", 1, F.size("node") - 1)
-    named = cut(
+    named = stored(
         nodes.withColumns(
             {
                 "name": F.to_json("node"),
@@ -190,8 +190,8 @@ def stem_sets(nodes: DataFrame, scope: Sequence[str], file: Sequence[str]) -> Da
         )
     )
     loose = name_counts(named, scope, file).filter(F.col("n_with") < F.col("n_files"))
-    known = (
-        named.join(loose.select(*scope, "name"), [*scope, "name"], "left_semi")
+    known = stored(
+        named.join(stored(loose.select(*scope, "name")), [*scope, "name"], "left_semi")
         .filter(F.col("__stem").isNotNull())
         .groupBy(*scope, "parent", "__stem")
         .agg(F.lit(True).alias("__known"))
@@ -204,7 +204,7 @@ def stem_sets(nodes: DataFrame, scope: Sequence[str], file: Sequence[str]) -> Da
             F.col("stem").isNotNull(), F.concat(F.col("parent"), F.lit("+"), F.col("stem"))
         ).otherwise(F.col("name")),
     )
-    return cut(keyed.drop("__stem", "__known"))
+    return keyed.drop("__stem", "__known")
 
 
 def generalise_names(
