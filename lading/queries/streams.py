@@ -7,10 +7,12 @@ is worked off and hands its result table back as a batch DataFrame.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lading.materialise import stored
 from lading.operators import events as ev
 from lading.operators.classify import classify
 from lading.queries import eventlog
@@ -48,15 +50,21 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix=f"lading-{name}-")
 
 
-def _chunks(rows: DataFrame, n: int = 4) -> tuple[str, str]:
-    """Rows as a folder of chunk files that arrive one after the other in time."""
-    folder = _scratch(rows.sparkSession, "chunks")
+def _arriving(rows: DataFrame, log: str, n: int = 4) -> Iterator[None]:
+    """Rows written to a log chunk by chunk, one after the other in time."""
     ends = rows.agg(F.min("time").alias("first"), F.max("time").alias("last")).first()
     step = (ends.last - ends.first) // n + 1
     for i in range(n):
         start = ends.first + i * step
         chunk = rows.filter((F.col("time") >= start) & (F.col("time") < start + step))
-        chunk.write.mode("append").parquet(f"{folder}/log")
+        yield chunk.write.mode("append").parquet(log)
+
+
+def _chunks(rows: DataFrame) -> tuple[str, str]:
+    """Rows as a folder of chunk files that arrived one after the other in time."""
+    folder = _scratch(rows.sparkSession, "chunks")
+    for _ in _arriving(rows, f"{folder}/log"):
+        pass
     return folder, f"{folder}/log"
 
 
@@ -121,22 +129,29 @@ def stream_once_only(spark, folder):
 
 
 def stream_sessions(spark, folder):
-    """Sessions folded with state, weeks in parallel; last row per session."""
-    stream, scratch = _follow(session_log(spark, folder))
+    """Sessions folded with state, weeks in parallel; last row per session.
+
+    A chunk of the log may have many files, in which sessions overlap, so each
+    chunk is worked off as a whole before the next one arrives.
+    """
+    log = stored(session_log(spark, folder))
+    scratch = _scratch(spark, "chunks")
     week = F.floor(F.col("time") / (7 * 86_400_000_000))
-    current = session.session_stream(stream, ORDER, timeouts=False, segment=week)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{scratch}/result/batch={batch_id}")
 
-    query = (
-        current.writeStream.outputMode("append")
-        .option("checkpointLocation", f"{scratch}/checkpoint")
-        .trigger(availableNow=True)
-        .foreachBatch(keep)
-        .start()
-    )
-    query.awaitTermination()
+    for _ in _arriving(log, f"{scratch}/log"):
+        stream = spark.readStream.schema(log.schema).parquet(f"{scratch}/log")
+        current = session.session_stream(stream, ORDER, timeouts=False, segment=week)
+        query = (
+            current.writeStream.outputMode("append")
+            .option("checkpointLocation", f"{scratch}/checkpoint")
+            .trigger(availableNow=True)
+            .foreachBatch(keep)
+            .start()
+        )
+        query.awaitTermination()
     rows = spark.read.parquet(f"{scratch}/result")
     last = rows.groupBy("delivery").agg(F.max_by(F.struct("status", "n_rows"), "batch").alias("s"))
     return last.select("delivery", "s.status", "s.n_rows")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import time
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,7 @@ _STATE = "status string, n_completed long, n_rows long, n_stop long"
 _OUT = "delivery string, status string, n_completed long, n_rows long, problem string"
 _BUSY = ("transfer", "initialization", "start")
 SEGMENT_SECONDS = 600  # rows of a delivery folded by one task of a micro-batch
+BUCKETS, PARTS = 256, 32  # of deliveries, and of each bucket's states; checkpoints of finished logs depend on them
 KEEP_SECONDS = 30 * 86400  # how long an ended session is remembered
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -40,36 +43,59 @@ _TABLE = (
 )
 
 
-def _first(mask: np.ndarray) -> int:
-    return int(mask.argmax()) if mask.any() else -1
+def segment_tables(rows: pa.Table, order: Sequence[str], keys: Sequence[str] = ()) -> pa.Table:
+    """The transition that the rows of each segment, in order, make up together; `keys` tell segments apart."""
+    by = {f"key {i}": pc.dictionary_encode(rows[k], null_encoding="encode").combine_chunks().indices for i, k in enumerate(keys)}
+    sorting = pa.table(by | {f"order {i}": rows[o] for i, o in enumerate(order)})
+    rows = rows.take(places := pc.sort_indices(sorting, sort_keys=[(c, "ascending") for c in sorting.column_names]))  # a stable sort
+    n = len(rows)
+    cuts = np.arange(n) == 0
+    for codes in by.values():
+        codes = codes.take(places).to_numpy()
+        cuts[1:] |= codes[1:] != codes[:-1]
+    starts = np.flatnonzero(cuts)
+    sizes = np.diff(starts, append=n)
+    place = np.arange(n) - np.repeat(starts, sizes)
+
+    def among(column: str, *values: str) -> np.ndarray:
+        return pc.is_in(rows[column], pa.array(values, rows[column].type)).to_numpy()
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(mask.astype("int64"), starts)
+
+    def first(mask: np.ndarray) -> np.ndarray:
+        found = np.minimum.reduceat(np.where(mask, place, n), starts)
+        return np.where(found == n, -1, found)
+
+    shutdown, stop = among("category", "shutdown"), among("category", "stop")
+    crash = shutdown & among("status", *FAILED)
+    busy, beat = among("category", *_BUSY), among("category", "keepalive")
+    end = first(stop | crash)
+    open_, at = end < 0, starts + np.maximum(end, 0)
+    end_of_row = np.repeat(np.where(open_, sizes, end), sizes)
+    ended = place > end_of_row
+    first_stop = first(stop)
+    columns = {k: rows[k].take(pa.array(starts)) for k in keys} | {
+        "n_rows": sizes,
+        "n_verdicts": count(among("category", "validation") & (place < end_of_row)),
+        "ending": pa.array(np.where(crash[at], "crashed", "stop").astype(object), mask=open_),
+        "n_expected": rows["n_expected"].take(pa.array(at, mask=open_)),
+        "last": np.where(shutdown[starts + sizes - 1], "shutting_down", "working").astype(object),
+        "n_stop": count(stop),
+        "first_stop": first_stop,
+        "second_stop": first(stop & (place > np.repeat(first_stop, sizes))),
+        "live_busy": first(busy & ended),
+        "live_beat": first(beat & ended),
+        "dead_busy": first(busy),
+        "dead_beat": first(beat),
+    }
+    return pa.table(columns)
 
 
 def segment_table(rows: pa.Table, order: Sequence[str]) -> dict:
-    """The transition that the rows of one segment, in order, make up together."""
-    rows = rows.take(pc.sort_indices(rows, sort_keys=[(o, "ascending") for o in order]))  # a stable sort
-    category, outcome = (rows[c].to_numpy() for c in ("category", "status"))
-    stop = category == "stop"
-    crash = (category == "shutdown") & np.isin(outcome.astype(str), FAILED)
-    ends = stop | crash
-    n = len(rows)
-    end = _first(ends) if ends.any() else n
-    ended = np.arange(n) > end
-    busy, beat = np.isin(category.astype(str), _BUSY), category == "keepalive"
-    stops = np.flatnonzero(stop)
-    return {
-        "n_rows": n,
-        "n_verdicts": int((category[:end] == "validation").sum()),
-        "ending": None if end == n else "crashed" if crash[end] else "stop",
-        "n_expected": rows["n_expected"][end].as_py() if end < n else None,
-        "last": "shutting_down" if category[-1] == "shutdown" else "working",
-        "n_stop": len(stops),
-        "first_stop": int(stops[0]) if len(stops) else -1,
-        "second_stop": int(stops[1]) if len(stops) > 1 else -1,
-        "live_busy": _first(busy & ended),
-        "live_beat": _first(beat & ended),
-        "dead_busy": _first(busy),
-        "dead_beat": _first(beat),
-    }
+    """The transition of one segment's rows."""
+    (table,) = segment_tables(rows, order).to_pylist()
+    return table
 
 
 def follow(state: tuple[str, int, int, int], table) -> tuple[tuple[str, int, int, int], list[str]]:
@@ -94,29 +120,30 @@ def follow(state: tuple[str, int, int, int], table) -> tuple[tuple[str, int, int
     return (status, completed, n_rows + int(table.n_rows), stops + int(table.n_stop)), problems
 
 
+def _told(sessions: Iterable[tuple[str | None, tuple[str, int, int, int], list[str]]]) -> pd.DataFrame:
+    """Rows of the result: deliveries, their states and problems."""
+    rows = [(d, *state[:3], "; ".join(dict.fromkeys(problems)) or None) for d, state, problems in sessions]
+    return pd.DataFrame(rows, columns=["delivery", "status", "n_completed", "n_rows", "problem"], dtype=object)
+
+
 class _Sessions(StatefulProcessor):
     """State of a delivery: four numbers; a timer for its silence."""
 
-    def __init__(self, missing: float, absent: float, keep: float, timeouts: bool):
-        self.missing, self.absent, self.keep, self.timeouts = missing, absent, keep, timeouts
+    def __init__(self, missing: float, absent: float, keep: float):
+        self.missing, self.absent, self.keep = missing, absent, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        lifetime = int(self.keep * 1000) if self.timeouts else None
-        self.state = handle.getValueState("session", _STATE, lifetime)
+        self.state = handle.getValueState("session", _STATE, int(self.keep * 1000))
 
     def _keep(self, key: tuple, state: tuple, problems: list[str], timers) -> pd.DataFrame:
         self.state.update(state)
-        if self.timeouts:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            if state[0] not in TERMINAL:
-                wait = self.absent - self.missing if state[0] == "missing" else self.missing
-                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + max(1, int(wait * 1000)))
-        status, completed, rows, _ = state
-        problem = "; ".join(dict.fromkeys(problems)) or None
-        out = {"delivery": [key[0]], "status": [status], "n_completed": [completed], "n_rows": [rows], "problem": [problem]}
-        return pd.DataFrame(out, dtype=object)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if state[0] not in TERMINAL:
+            wait = self.absent - self.missing if state[0] == "missing" else self.missing
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + max(1, int(wait * 1000)))
+        return _told([(key[0], state, problems)])
 
     def _known(self) -> tuple[str, int, int, int]:
         return tuple(self.state.get()) if self.state.exists() else ("unchecked", 0, 0, 0)
@@ -138,6 +165,35 @@ class _Sessions(StatefulProcessor):
         pass
 
 
+class _Logs(StatefulProcessor):
+    """States of a bucket's deliveries, stored in parts of some deliveries each, as a call to the store costs more
+    than a state; only parts with new rows are read and written.  No clock."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.parts = handle.getMapState("sessions", "part int", "sessions string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        tables = pd.concat(list(rows)).sort_values("segment", kind="stable", key=lambda s: s.fillna(-1))
+        parts: dict[int, dict] = {}
+        told: dict[str | None, list[str]] = {}
+        for table in tables.itertuples(index=False):
+            delivery = None if pd.isna(table.delivery) else table.delivery
+            part = zlib.crc32((delivery or "").encode()) % PARTS
+            if part not in parts:
+                known = self.parts.getValue((part,))
+                parts[part] = {d: state for d, *state in json.loads(known[0])} if known else {}
+            states = parts[part]
+            states[delivery], problems = follow(states.get(delivery, ("unchecked", 0, 0, 0)), table)
+            told.setdefault(delivery, []).extend(problems)
+        for part, states in parts.items():
+            self.parts.updateValue((part,), (json.dumps([(d, *state) for d, state in states.items()]),))
+        known = {d: state for states in parts.values() for d, state in states.items()}
+        yield _told((d, known[d], problems) for d, problems in told.items())
+
+    def close(self) -> None:
+        pass
+
+
 def session_stream(
     events: DataFrame,
     order: Sequence[str] = ("time",),
@@ -172,17 +228,16 @@ def session_stream(
     order = list(order)
 
     def fold(rows: pa.Table) -> pa.Table:
-        key = {"delivery": rows["delivery"][0].as_py(), "segment": rows["segment"][0].as_py()}
-        return pa.Table.from_pylist([key | segment_table(rows, order)], layout)
+        return segment_tables(rows, order, ["delivery", "segment"]).cast(layout)
 
     layout = to_arrow_schema(StructType.fromDDL(_TABLE))
-    tables = slim.groupBy("delivery", "segment").applyInArrow(fold, _TABLE)
-    return tables.groupBy("delivery").transformWithStateInPandas(
-        _Sessions(missing_seconds, absent_seconds, keep_seconds, timeouts),
-        _OUT,
-        "append",
-        "processingTime" if timeouts else "none",
-    )
+    bucket = F.pmod(F.xxhash64("delivery"), F.lit(BUCKETS))
+    tables = slim.withColumn("bucket", bucket).groupBy("bucket", "segment").applyInArrow(fold, _TABLE)
+    if timeouts:
+        timed = _Sessions(missing_seconds, absent_seconds, keep_seconds)
+        return tables.groupBy("delivery").transformWithStateInPandas(timed, _OUT, "append", "processingTime")
+    by_bucket = tables.withColumn("bucket", bucket).groupBy("bucket")
+    return by_bucket.transformWithStateInPandas(_Logs(), _OUT, "append", "none")
 
 
 class _Pulse(StatefulProcessor):

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lading.queries.streams import QUERIES
 from lading.streaming import session
 
 KINDS = [("start", "ok"), ("transfer", "ok"), ("validation", "ok"), ("keepalive", "ok"), ("shutdown", "ok"), ("other", "ok"),
@@ -106,6 +107,53 @@ def test_sessions_of_several_batches(spark, tmp_path, files):
     assert got == {d: plain(("unchecked", 0, 0, 0), rows)[0][:3] for d, rows in sessions.items()}
 
 
+def test_many_segments_in_one_pass_are_as_one_by_one():
+    rng = np.random.default_rng(5)
+    rows = [(d, g, *row) for d in ("a", "b", None, "") for g in (-1, 3, None) for row in drawn(rng, int(rng.integers(1, 30)), 0.3)]
+    frame = pd.DataFrame(rows, columns=["delivery", "segment", "category", "status", "n_expected"]).astype({"segment": "Int64"})
+    frame["time"], frame["seq"] = rng.integers(0, 5, len(frame)), rng.permutation(len(frame))
+    frame.loc[rng.random(len(frame)) < 0.1, ["category", "status"]] = None
+    mixed = pa.Table.from_pandas(frame.sample(frac=1, random_state=1), preserve_index=False)
+    order = ["time", "seq"]
+    found = {(t.pop("delivery"), t.pop("segment")): t for t in session.segment_tables(mixed, order, ["delivery", "segment"]).to_pylist()}
+    single = {}
+    for row in mixed.to_pylist():
+        single.setdefault((row["delivery"], row["segment"]), []).append(row)
+    assert found == {k: session.segment_table(pa.Table.from_pylist(v, mixed.schema), order) for k, v in single.items()}
+
+
+def test_states_of_many_deliveries_share_rows_of_the_store(spark, tmp_path):
+    n = 20_000
+    layout = "time long, delivery string, category string, status string, n_expected long"
+    for k, category in enumerate(("validation", "stop")):
+        rows = spark.range(n).select(
+            F.lit(k).cast("long").alias("time"), F.col("id").cast("string").alias("delivery"), F.lit(category).alias("category"),
+            F.lit("ok").alias("status"), (F.col("id") % 3).alias("n_expected"))
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    stream = spark.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
+    sessions = session.session_stream(stream, timeouts=False, segment=F.col("time"))
+    query = sessions.writeStream.option("checkpointLocation", f"{tmp_path}/ck").format("parquet").option(
+        "path", f"{tmp_path}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= session.BUCKETS * session.PARTS < n
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.groupBy("status", "n_rows").count().sort("status", "n_rows").collect() == [
+        ("done", 2, n - n // 3), ("quit", 2, n // 3), ("working", 1, n)]
+
+
+def test_a_chunk_of_overlapping_files_is_one_micro_batch(spark, tmp_path):
+    minute = 60_000_000
+    layout = "event_id long, at long, user_id long, event_type string, value double, props string"
+    verdicts = [[(i, i, 1, "purchase", 9.0, "{}") for i in range(5)], [(10 + i, i, 2, "purchase", 9.0, "{}") for i in range(5)]]
+    stops = [(20, 6, 2, "error", 0.5, "{}"), (99, 100, 3, "view", 1.0, "{}")], [(21, 6, 1, "error", 0.5, "{}")]
+    for early, late in zip(verdicts, stops, strict=True):
+        events = spark.createDataFrame(early + late, layout).withColumn(
+            "ts", F.timestamp_micros(F.col("at") * minute).cast("timestamp_ntz"))
+        events.drop("at").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    found = {tuple(r) for r in QUERIES["stream_sessions"](spark, str(tmp_path)).collect()}
+    assert found == {("1", "done", 6), ("2", "done", 6), ("3", "working", 1)}
+
+
 def test_once_only_forgets(spark, tmp_path):
     layout = "ref string, at timestamp"
     rows = [("a", 0), ("a", 5), ("b", 100_000), ("c", 100_001), ("a", 100_002), ("a", 100_003)]
